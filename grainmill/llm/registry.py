@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, sharding, token_counts, token_store
+from grainmill.llm import language, mixing, packing, sharding, token_counts, token_store, warc
 from grainmill.llm.common import read
 
 
@@ -17,6 +17,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(read(spark, sf_dir, "documents"), sample=2000)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read(spark, sf_dir, "pages"), segment_bytes=32768, revisit_from=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_by_bytes(read(spark, sf_dir, "documents"), shards=40)
 
@@ -30,7 +38,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_store, op3_packing, op7_sharding, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op2_token_store, op3_packing, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing)}
 
 
 def oracle_sql():
