@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import language, mixing, packing, sharding, token_counts, token_store, warc
+from grainmill.llm import language, mixing, neardup, packing, sharding, token_counts, token_store, warc
 from grainmill.llm.common import read
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=75)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -38,7 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_store, op3_packing, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_token_store, op3_packing, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing)}
 
 
 def oracle_sql():
