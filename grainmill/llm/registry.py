@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import language, mixing, neardup, packing, sharding, token_counts, token_store, warc
+from grainmill.llm import language, mixing, neardup, packing, sharding, token_counts, token_store, vectors, warc
 from grainmill.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(read(spark, sf_dir, "documents"), sample=2000)
 
@@ -41,8 +45,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents")).drop("n_copies")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_near_duplicates, op2_token_store, op3_packing, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_token_store, op3_packing, op4_near_vectors, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing, op10_nearest)}
 
 
 def oracle_sql():
