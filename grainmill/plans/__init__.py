@@ -1,11 +1,18 @@
-"""Registered queries and their oracles."""
+"""Registered queries over the driver's tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+from grainmill.plans import corpus_queries, ingest_queries, search_queries, state_queries, text_queries  # noqa: F401
+from grainmill.plans.catalogue import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark, sf_dir):
+    return search_queries.lexical_search(spark, sf_dir)
