@@ -22,91 +22,93 @@ rows are placed each. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import materialize
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 3, slack: float = 1.02) -> DataFrame:
-    """Rows of ``nodes`` (node, grp, size) with label; grp null: no links."""
-    labelled = materialize(nodes.withColumn("label", F.pmod("node", F.lit(shards)).cast("int")))
-    total = labelled.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    quota = max(1.0, slack * total / shards)
-    linked = labelled.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    linked = materialize(linked.select("grp", F.ceil(F.col("bytes") / (quota / 2)).cast("int").alias("spread")))
+def _pick(values: list[float], index: Column) -> Column:
+    """The value of a short list (one for each shard) at an index from 0."""
+    return F.element_at(F.array(*(F.lit(float(v)) for v in values)), index.cast("int") + 1)
+
+
+def propagate(linked: DataFrame, loads: list[int], quota: float, rounds: int = 2) -> DataFrame:
+    """``linked`` (node, grp, size, spread, label and more) with labels after some rounds; loads has the bytes of every shard."""
+    shards = len(loads)
     for step in range(rounds):
-        held = labelled.where("grp is not null").groupBy("grp", "label").agg(F.sum("size").alias("bytes"))
-        most = held.groupBy("grp").agg(F.max(F.struct("bytes", (-F.col("label")).alias("l"))).alias("m")).select("grp", (-F.col("m.l")).alias("home"))
+        homes = linked.groupBy("grp").agg(F.mode("label", True).alias("home"))
         wish = F.pmod(F.col("home") + F.pmod(F.xxhash64("node", F.lit("spread")), F.col("spread")), F.lit(shards)).cast("int")
-        wants = labelled.join(linked.join(most, "grp"), "grp", "left").withColumn("wish", F.coalesce(wish, "label"))
-        wants = materialize(wants.select("node", "grp", "size", "label", "wish"))
-        load = wants.groupBy(F.col("label").alias("s")).agg(F.sum("size").alias("load"), F.sum(F.when(F.col("label") != F.col("wish"), F.col("size")).otherwise(0)).alias("away"))
-        come = wants.where("label <> wish").groupBy(F.col("wish").alias("s")).agg(F.sum("size").alias("come"))
-        room = come.join(load, "s", "left").select("s", ((quota - F.coalesce("load", F.lit(0)) + F.coalesce("away", F.lit(0)) / 2) / F.col("come")).alias("chance"))
+        wants = materialize(linked.join(homes, "grp").withColumn("wish", wish).drop("home"))
+        flows = wants.where("label <> wish").groupBy("label", "wish").agg(F.sum("size").alias("bytes")).collect()  # shards x shards rows at most
+        if not flows:
+            return wants.drop("wish")
+        away, come = [0] * shards, [0] * shards
+        for r in flows:
+            away[r["label"]] += r["bytes"]
+            come[r["wish"]] += r["bytes"]
+        chance = [max(0.0, min(1.0, (quota - loads[s] + away[s] / 2) / come[s])) if come[s] else 0.0 for s in range(shards)]
+        loads = [loads[s] - away[s] / 2 + chance[s] * come[s] for s in range(shards)]
         draw = F.pmod(F.xxhash64("node", F.lit(f"move {step}")), F.lit(1 << 20)) / float(1 << 20)
-        # one row for each shard: at most ``shards`` rows are broadcast
-        moved = wants.join(F.broadcast(room), F.col("wish") == F.col("s"), "left")
-        moved = moved.withColumn("new", F.when((F.col("label") != F.col("wish")) & (draw < F.col("chance")), F.col("wish")).otherwise(F.col("label")))
-        labelled = materialize(moved.select("node", "grp", "size", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
-        done = labelled.where("moved").isEmpty()
-        labelled = labelled.drop("moved")
-        if done:
-            break
-    return labelled
+        goes = (F.col("label") != F.col("wish")) & (draw < _pick(chance, F.col("wish")))
+        linked = wants.withColumn("label", F.when(goes, F.col("wish")).otherwise(F.col("label"))).drop("wish")
+    return linked
 
 
 def shards_by_bytes(docs: DataFrame, shards: int = 40, bucket_rows: int = 1000) -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard)."""
-    text = F.encode(F.col("text"), "utf-8")
     base = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        F.crc32(F.encode(F.col("text"), "utf-8")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text"), F.octet_length("text"))).alias("grp"),
     )
-    base = materialize(base.withColumn("node", F.xxhash64("doc_id", "grp")))
-    n, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    base = base.withColumn("node", F.xxhash64("doc_id", "grp"))
+    base = materialize(base.withColumn("label", F.pmod("node", F.lit(shards)).cast("int")))
+    by_label = {r["label"]: (r["n"], r["bytes"]) for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}  # one row a shard
+    n, total = sum(v[0] for v in by_label.values()), sum(v[1] for v in by_label.values())
     per_shard = max(1.0, total / shards)
-    labels = propagate(base.select("node", "grp", "size"), shards).groupBy("node").agg(F.min("label").alias("label"))
-    count = base.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
-    rows = base.join(labels, "node").join(count, "grp", "left")
-    rows = rows.withColumn("big", F.col("size") > per_shard / 64)
+    quota = 1.02 * per_shard
+
+    groups = base.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    groups = groups.select("grp", F.ceil(F.col("bytes") / (quota / 2)).cast("int").alias("spread"), F.ceil(F.col("n") / bucket_rows).alias("salts"))
+    rows = materialize(base.join(groups, "grp", "left"))
+    linked = propagate(rows.where("spread is not null"), [by_label.get(s, (0, 0))[1] for s in range(shards)], quota)
+    rows = rows.where("spread is null").unionByName(linked)
     spread = max(1, int(n / shards / bucket_rows))
-    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows))
-    rows = materialize(rows.select("doc_id", "size", "text_crc32", "grp", "node", "label", "big", F.pmod(F.xxhash64(F.coalesce("grp", "node")), F.lit(spread)).alias("b"), salt.alias("salt")))
+    rows = rows.select(
+        "doc_id", "size", "text_crc32", "grp", "node", "label", (F.col("size") > per_shard / 64).alias("big"), F.pmod(F.xxhash64(F.coalesce("grp", "node")), F.lit(spread)).alias("b"),
+        F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("salts", F.lit(1))).alias("salt"),
+    )
 
-    # large documents, 64 for each shard at most
+    # large documents: 64 a shard at most
     rank = F.row_number().over(Window.orderBy(F.col("size").desc(), "node", "doc_id")) - 1
-    turn = (rank / shards).cast("int")
-    place = rank % shards
+    turn, place = (rank / shards).cast("int"), rank % shards
     big = rows.where("big").withColumn("shard", F.when(turn % 2 == 0, place).otherwise(shards - 1 - place).cast("int"))
-    given = big.groupBy("shard").agg(F.sum("size").alias("given"))
-    ids = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    lack = ids.join(given, "shard", "left").withColumn("lack", F.greatest(F.lit(0.0), per_shard - F.coalesce("given", F.lit(0))))
-    lack = lack.withColumn("lack", F.col("lack") / F.greatest(F.lit(1e-9), F.sum("lack").over(Window.partitionBy())))
-    until = F.sum("lack").over(Window.orderBy("shard"))
-    share = materialize(lack.select("shard", (until - F.col("lack")).alias("low"), until.alias("high")))  # ``shards`` rows
+    given = {r["shard"]: r["g"] for r in big.groupBy("shard").agg(F.sum("size").alias("g")).collect()}  # one row a shard
+    lack = [max(0.0, per_shard - given.get(s, 0)) for s in range(shards)]
+    open_ = [s for s in range(shards) if lack[s] > 0] or [0]
+    whole = sum(lack) or 1.0
+    ends = [sum(lack[: s + 1]) / whole for s in open_]
 
     # the others, in order of label, bucket and group
     small = rows.where("not big")
     buckets = small.groupBy("label", "b", "salt").agg(F.sum("size").alias("bytes"))
-    by_label = buckets.groupBy("label").agg(F.sum("bytes").alias("bytes"))
-    before = by_label.select("label", (F.sum("bytes").over(Window.orderBy("label")) - F.col("bytes")).alias("at"), F.sum("bytes").over(Window.partitionBy()).alias("all"))
     buckets = buckets.withColumn("inside", F.sum("bytes").over(Window.partitionBy("label").orderBy("b", "salt")) - F.col("bytes"))
-    buckets = buckets.join(F.broadcast(before), "label").select("label", "b", "salt", (F.col("at") + F.col("inside")).alias("at"), "all")  # ``shards`` rows
+    buckets = materialize(buckets)
+    sums = {r["label"]: r["s"] for r in buckets.groupBy("label").agg(F.sum("bytes").alias("s")).collect()}  # one row a shard
+    before = [sum(sums.get(t, 0) for t in range(s)) for s in range(shards)]
+    every = max(1, sum(sums.values()))
     run = F.sum("size").over(Window.partitionBy("label", "b", "salt").orderBy("grp", "node", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    spot = (F.col("at") + F.col("run") - F.col("size") / 2) / F.col("all")
-    placed = small.withColumn("run", run).join(buckets, ["label", "b", "salt"]).withColumn("spot", spot)
-    cuts = F.broadcast(share.where("high > low"))
-    placed = placed.join(cuts, (F.col("spot") >= F.col("low")) & (F.col("spot") < F.col("high")), "left")
-    last = share.where("high > low").agg(F.max("shard")).first()[0] or 0
-    placed = placed.withColumn("shard", F.coalesce("shard", F.lit(last)))
+    placed = small.withColumn("run", run).join(buckets.drop("bytes"), ["label", "b", "salt"])
+    spot = (_pick(before, F.col("label")) + F.col("inside") + F.col("run") - F.col("size") / 2) / every
+    at = F.least(F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end <= spot)), F.lit(len(open_) - 1))
+    placed = placed.withColumn("shard", _pick(open_, at).cast("int"))
     cols = ["doc_id", "size", "text_crc32", "node", "shard"]
-    placed = materialize(placed.select(*cols).unionByName(big.select(*cols)))
+    placed = placed.select(*cols).unionByName(big.select(*cols))
+    placed = materialize(placed.withColumn("b", F.pmod(F.xxhash64("node", F.lit("slot"), "doc_id"), F.lit(spread))))
 
     # slots: running numbers over hashed buckets of each shard
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("node", F.lit("slot"), "doc_id"), F.lit(max(1, spread))))
     held = placed.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("k"))
     held = held.select("shard", "b", (F.sum("k").over(Window.partitionBy("shard").orderBy("b")) - F.col("k")).alias("base"))
     number = F.row_number().over(Window.partitionBy("shard", "b").orderBy("doc_id", "node"))
