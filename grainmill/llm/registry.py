@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import language, mixing, neardup, packing, sharding, token_counts, token_store, vectors, warc
+from grainmill.llm import language, mixing, neardup, oracles, packing, sharding, token_counts, token_store, vectors, warc
 from grainmill.llm.common import read
 
 
@@ -60,4 +60,8 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """op2, op3, op5, op7, op8 and the pipeline have none: SQL has no tokenizer, model or label propagation."""
+    return {
+        "op1_near_duplicates": oracles.NEAR_DUPLICATES, "op4_near_vectors": oracles.NEAR_VECTORS, "op6_warc": oracles.WARC,
+        "op9_mixing": oracles.MIXING, "op10_nearest": oracles.NEAREST,
+    }
