@@ -12,7 +12,11 @@ from grainmill.sources.corpus import SQL
 
 ISO = corpus.SQL_ISO.format("updated_at")
 VIEWER = 7
-ITEM = ["query_id", "title", "dialect", "visibility", "star_count", feeds.iso("updated_at").alias("updated_at")]
+def item():
+    return ["query_id", "title", "dialect", "visibility", "star_count", feeds.iso("updated_at").alias("updated_at")]
+
+
+
 ITEM_SQL = f"query_id, title, dialect, visibility, star_count, {ISO} AS updated_at"
 
 
@@ -21,7 +25,7 @@ ITEM_SQL = f"query_id, title, dialect, visibility, star_count, {ISO} AS updated_
     FROM corpus WHERE visibility = 'public' OR owner_id = {VIEWER}""")
 def detail_projection(spark, sf_dir):
     rows = feeds.detail(corpus.heads(spark, sf_dir), corpus.stars(spark, sf_dir), VIEWER)
-    return rows.select(*ITEM, "version_id", "description", F.length("kql").cast("long").alias("body_length"), F.array_join("tables", " ").alias("tables"), "repository", "trusted", "owner_id", "starred_by_viewer")
+    return rows.select(*item(), "version_id", "description", F.length("kql").cast("long").alias("body_length"), F.array_join("tables", " ").alias("tables"), "repository", "trusted", "owner_id", "starred_by_viewer")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS query_id, trim(substr(split_part(text, chr(10), 1), 1, 180)) AS title, substr(text, 1, 480) AS preview, false AS starred_by_viewer FROM documents")
@@ -49,18 +53,18 @@ def visibility_filter(spark, sf_dir):
 
 @query(f"WITH {SQL} SELECT {ITEM_SQL} FROM corpus WHERE owner_id = {VIEWER} ORDER BY corpus.updated_at DESC, query_id DESC LIMIT 26")
 def owned_feed_page(spark, sf_dir):
-    return feeds.owned(corpus.heads(spark, sf_dir), VIEWER).select(*ITEM)
+    return feeds.owned(corpus.heads(spark, sf_dir), VIEWER).select(*item())
 
 
 @query(f"""WITH {SQL} SELECT {ITEM_SQL} FROM corpus JOIN star_rows USING (doc_id) WHERE user_id = {VIEWER} AND visibility = 'public'
     ORDER BY corpus.updated_at DESC, query_id DESC LIMIT 26""")
 def starred_feed_page(spark, sf_dir):
-    return feeds.starred(corpus.heads(spark, sf_dir), corpus.stars(spark, sf_dir), VIEWER).select(*ITEM)
+    return feeds.starred(corpus.heads(spark, sf_dir), corpus.stars(spark, sf_dir), VIEWER).select(*item())
 
 
 @query(f"WITH {SQL} SELECT {ITEM_SQL} FROM corpus WHERE visibility = 'public' ORDER BY star_count DESC, corpus.updated_at DESC, query_id DESC LIMIT 21")
 def public_feed_page(spark, sf_dir):
-    return feeds.public_feed(corpus.heads(spark, sf_dir)).select(*ITEM)
+    return feeds.public_feed(corpus.heads(spark, sf_dir)).select(*item())
 
 
 @query(f"""WITH {SQL}, c AS (SELECT * FROM (SELECT star_count, updated_at, query_id FROM corpus WHERE visibility = 'public' ORDER BY star_count DESC, updated_at DESC, query_id DESC LIMIT 20)
@@ -71,7 +75,7 @@ def public_feed_page(spark, sf_dir):
 def public_feed_page2(spark, sf_dir):
     heads = corpus.heads(spark, sf_dir)
     last = feeds.public_feed(heads).take(20)[-1]  # a cursor is one row
-    return feeds.public_feed(heads, (last["star_count"], last["updated_at"], last["query_id"])).select(*ITEM)
+    return feeds.public_feed(heads, (last["star_count"], last["updated_at"], last["query_id"])).select(*item())
 
 
 @query(f"""WITH {SQL} SELECT query_id, CAST(star_count AS VARCHAR) || '%7C' || replace({ISO}, ':', '%3A') || '%7C' || query_id AS cursor FROM corpus""")
