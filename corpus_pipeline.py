@@ -17,8 +17,7 @@ from grainmill.llm.common import materialize
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents whose language cannot be told (``und``) go."""
-    kept = language.identify(docs, language.fit(docs, sample=2000), keep=tuple(docs.columns))
-    return kept.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return language.recognised(docs, language.fit(docs, sample=2000))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,33 +168,46 @@ def fit(docs: DataFrame, sample: int = 2000) -> Model | None:
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, lang_pred, score) and the columns in ``keep``."""
+def _predictions(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, a bounded number of characters at a time."""
+    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    at = 0
+    while at < len(known):
+        stop, size = at, 0
+        while stop < len(known) and (stop == at or size + len(texts[known[stop]]) < 1_000_000):
+            size += len(texts[known[stop]])
+            stop += 1
+        part = known[at:stop]
+        got, s = model.predict([texts[i] for i in part])
+        for i, g in zip(part, got):
+            lang[i] = g
+        score[part] = s
+        at = stop
+    return lang, score
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows (doc_id, lang_pred, score)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-            at = 0
-            while at < len(known):
-                stop, size = at, 0
-                while stop < len(known) and (stop == at or size + len(texts[known[stop]]) < 1_000_000):
-                    size += len(texts[known[stop]])
-                    stop += 1
-                part = known[at:stop]
-                got, s = model.predict([texts[i] for i in part])
-                for i, g in zip(part, got):
-                    lang[i] = g
-                score[part] = s
-                at = stop
-            cols = [batch.column(c) for c in ("doc_id", *keep)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", *keep, "lang_pred", "score"])
-
-    names = dict.fromkeys(["doc_id", *keep])
-    keep = tuple(c for c in names if c != "doc_id")
-    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return docs.select(*dict.fromkeys(["doc_id", *keep, "text"])).mapInArrow(run, f"{kind}, lang_pred string, score double")
+            lang, score = _predictions(batch.column(1).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents, as they are, whose language can be told."""
+
+    def run(batches):
+        for batch in batches:
+            lang, _ = _predictions(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identified(docs: DataFrame, sample: int = 2000) -> DataFrame:

@@ -73,8 +73,12 @@ def _with_rate(sized: DataFrame, wanted: DataFrame, most: float, seed: str) -> D
 
 
 def mixed(docs: DataFrame, most: float = 3.0, seed: str = "") -> DataFrame:
-    """The mix itself: every document as often as the plan takes it, with the columns of ``docs``."""
+    """The mix itself: every document as often as the plan takes it, with the columns of ``docs``.
+
+    Whole rows travel in a struct, so columns of any name may come along.
+    """
     wanted = materialize(targets(docs.select("source", words(F.col("text")).alias("size")), most))
-    planned = _with_rate(docs, wanted, most, seed)
+    rows = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    planned = _with_rate(rows, wanted, most, seed)
     once = F.array_repeat(F.lit(True), F.col("n_copies").cast("int"))
-    return planned.where("n_copies > 0").withColumn("copy", F.explode(once)).select(*docs.columns)
+    return planned.where("n_copies > 0").select("row", F.explode(once)).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
