@@ -246,3 +246,71 @@ def issue_samples(issues: DataFrame, most: int = 10) -> DataFrame:
     few = issues.withColumn("k", salted).where(F.col("k") <= most).withColumn("k", rank).where(F.col("k") <= most)
     samples = few.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "query_id"))), lambda x: x["query_id"]), ",").alias("samples"))
     return issues.groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(samples, "code")
+
+
+def last_authors(commits: DataFrame) -> DataFrame:
+    """Author of each path's latest commit."""
+    return commits.groupBy("path").agg(F.max_by(F.coalesce("login", "name"), F.struct("ts", "sha")).alias("author"))
+
+
+def root_notice(tree: DataFrame) -> DataFrame:
+    """The first NOTICE file at each repository's root that is not too large."""
+    hit = tree.where(F.rlike("path", F.lit("(?i)^NOTICE(?:\\.(?:txt|md))?$")) & (F.coalesce("size", F.lit(0)) <= MAX_FILE_BYTES))
+    return hit.groupBy("repository").agg(F.min_by("path", "position").alias("path"))
+
+
+def requested_paths(asked: DataFrame, tree: DataFrame) -> DataFrame:
+    """Adds to each asked path what it is: unsafe, missing, unsupported or candidate."""
+    there = tree.select("repository", "path", F.lit(True).alias("there")).distinct()
+    state = F.when(~is_safe_path(F.col("path")), "unsafe").when(F.col("there").isNull(), "missing").when(file_kind(F.col("path")).isNull(), "unsupported").otherwise("candidate")
+    return asked.join(there, ["repository", "path"], "left").withColumn("state", state).drop("there")
+
+
+def checked_tree(tree: DataFrame, truncated: bool = False) -> DataFrame:
+    """The tree, if it is whole and within the limits of an import."""
+    if truncated:
+        raise ValueError("the tree is not whole")
+    sizes = tree.groupBy("repository").agg(F.count(F.lit(1)).alias("n"), F.sum(file_kind(F.col("path")).isNotNull().cast("int")).alias("candidates"))
+    if not sizes.where((F.col("n") > MAX_ENTRIES) | (F.col("candidates") > MAX_CANDIDATES)).isEmpty():
+        raise ValueError("a repository has too many entries")
+    return tree
+
+
+def is_repository_name(name: Column) -> Column:
+    return F.rlike(name, F.lit("^[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})/[A-Za-z0-9._-]{1,100}$")) & ~name.endswith("/.") & ~name.endswith("/..")
+
+
+def is_safe_ref(ref: Column) -> Column:
+    """A branch, tag or commit name that is no option, path trick or revision expression."""
+    return F.rlike(ref, F.lit("^[A-Za-z0-9][A-Za-z0-9._/-]{0,254}$")) & ~F.contains(ref, F.lit("..")) & ~F.contains(ref, F.lit("//")) & ~ref.endswith("/") & ~ref.endswith(".lock")
+
+
+def normalized_description(text: Column) -> Column:
+    """Links and tags out, labels off, 900 characters at most, ending like a sentence; under 8 characters, nothing."""
+    plain = F.regexp_replace(F.regexp_replace(text, "!\\[([^\\]]*)\\]\\([^)]+\\)", "$1"), "\\[([^\\]]+)\\]\\([^)]+\\)", "$1")
+    plain = t.collapse(F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), "(?i)^(?:use\\s*case|purpose|description)\\s*:\\s*", ""))
+    short = F.when(F.length(plain) > 900, F.concat(F.regexp_replace(F.substring(plain, 1, 897), "\\s+\\S*\\z", ""), F.lit("..."))).otherwise(plain)
+    ended = F.when(F.rlike(short, F.lit("[.!?]\\z")), short).otherwise(F.concat(short, F.lit(".")))
+    return F.when(F.length(plain) < 8, "").otherwise(ended)
+
+
+#: Verbs of titles and of the descriptions made from them; fixed values.
+VERBS = {
+    "show": "Returns", "list": "Lists", "find": "Finds", "detect": "Detects", "identify": "Identifies", "monitor": "Monitors",
+    "analy[sz]e": "Analyzes", "track": "Tracks", "check": "Checks", "count": "Counts", "get": "Returns",
+}
+
+
+def fallback_description(title: Column, tables: Column, label: Column) -> Column:
+    """A sentence from the title's verb and the tables, where a query has no description."""
+    low = lambda c: F.concat(F.lower(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+    few = F.slice(tables, 1, 3)
+    listed = F.when(F.size(few) == 2, F.array_join(few, " and ")).when(F.size(few) > 2, F.concat(F.array_join(F.slice(few, 1, 2), ", "), F.lit(", and "), F.get(few, F.lit(2)))).otherwise(F.get(few, F.lit(0)))
+    source = F.when(F.size(tables) == 0, F.concat(F.lit(" in "), label)).when(F.size(tables) == 1, F.concat(F.lit(" from "), listed)).otherwise(F.concat(F.lit(" by correlating "), listed))
+    made = [F.when(F.rlike(title, F.lit(f"(?i)^{v}\\s+.")), F.concat(F.lit(f"{verb} "), low(F.regexp_extract(title, f"(?i)^{v}\\s+(.+)", 1)), source)) for v, verb in VERBS.items()]
+    plain = (
+        F.when(F.size(tables) > 1, F.concat(F.lit("Correlates "), listed, F.lit(" to investigate "), low(title)))
+        .when(F.size(tables) == 1, F.concat(F.lit("Queries "), listed, F.lit(" to investigate "), low(title))).otherwise(F.concat(F.lit("Runs "), low(title), F.lit(" in "), label))
+    )
+    text = F.coalesce(*made, plain)
+    return F.when(F.rlike(text, F.lit("[.!?]\\z")), text).otherwise(F.concat(text, F.lit(".")))

@@ -183,3 +183,12 @@ def _result_order(last: str = "query_id"):
     from pyspark.sql import Window
 
     return Window.orderBy(F.desc(F.round("score", 9)), last)
+
+
+def all_terms(text: str, columns: Sequence[str]) -> Column:
+    """Every word of the text occurs somewhere in the columns, whatever the case."""
+    hay = F.lower(F.concat_ws(" ", *columns))
+    out = F.lit(True)
+    for word in text.lower().split():
+        out = out & F.contains(hay, F.lit(word))
+    return out
