@@ -24,7 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 1: of near duplicates the one with the smallest id stays; rows without an id stay."""
     ids = neardup.near_duplicates(docs, percent=75).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     ids = materialize(ids)
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # the ids kept grow with the corpus, so they are never broadcast: one shuffle of the texts at every size
+    kept = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not ids.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

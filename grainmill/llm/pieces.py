@@ -98,7 +98,7 @@ class PieceTable:
     memory stays bounded however many distinct pieces a corpus has.
     """
 
-    def __init__(self, cuts, encode, limit: int = 1_500_000) -> None:
+    def __init__(self, cuts, encode, limit: int = 1_000_000) -> None:
         self.cuts, self.encode, self.limit, self.hasher = cuts, encode, limit, Hasher()
         self.clear()
 
@@ -153,7 +153,7 @@ class PieceTable:
         return self.flat[step + np.arange(total[-1])], n
 
 
-def in_batches(texts: list[bytes], most: int = 3_000_000):
+def in_batches(texts: list[bytes], most: int = 2_000_000):
     """Slices of the list with about ``most`` bytes each; a longer text is a slice of its own."""
     at, size = 0, 0
     for i, x in enumerate(texts):

@@ -142,7 +142,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, sh
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, z in in_batches(texts, min(3_000_000, 2 * shard_ids)):
+            for a, z in in_batches(texts, min(2_000_000, 2 * shard_ids)):
                 ids, n = table.ids(texts[a:z])
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 held.append((ids, n + 1, doc_ids[a:z]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import ACCENTS
+from grainmill.sources.scratch import written
 
 #: Weights of the index fields; fixed values.
 WEIGHTS = {"title": 12.0, "tables": 8.0, "description": 4.0, "kql": 1.0, "operators": 6.0, "tags": 5.0, "author": 3.0, "repository": 3.0}
@@ -52,14 +53,14 @@ def postings(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Rows (doc_id, rank) of documents with one of the prefix terms.
 
-    Each document's tokens are counted in place, without exploding them: one narrow
-    pass gives its length and weighted frequencies; only the corpus totals, one row, are shuffled.
+    Each document's tokens are counted in place, without exploding them: one narrow pass over the
+    texts writes its length and weighted frequencies, a few numbers; only the corpus totals, one row, are shuffled.
     """
     toks = {f: tokens(F.coalesce(f, F.lit(""))) for f in WEIGHTS}
     counted = docs.select("doc_id", *(t.alias(f"t_{f}") for f, t in toks.items()))
     length = sum((F.size(f"t_{f}") for f in WEIGHTS), F.lit(0))
     freq = lambda term: sum((w * F.size(F.filter(f"t_{f}", lambda x: x.startswith(term))) for f, w in WEIGHTS.items()), F.lit(0.0))
-    rows = counted.select("doc_id", length.cast("long").alias("len"), *(freq(t).alias(f"f{i}") for i, t in enumerate(terms)))
+    rows = written(counted.select("doc_id", length.cast("long").alias("len"), *(freq(t).alias(f"f{i}") for i, t in enumerate(terms))))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -82,15 +83,21 @@ def lexical_score(query: str, now: Column) -> Column:
     )
 
 
-def lexical(heads: DataFrame, query: str, readable: Column, now: Column, filters: Column | None = None, limit: int = 20) -> DataFrame:
-    """Ranked hits that the viewer may read; no term, no hit."""
+def lexical(heads: DataFrame, docs: DataFrame, query: str, readable: Column, now: Column, filters: Column | None = None, limit: int = 20) -> DataFrame:
+    """Ranked hits that the viewer may read; no term, no hit.
+
+    ``docs`` has the texts, ``heads`` what filters and scores need as well. Texts are not carried
+    through joins and sorts: the hits, ``limit`` rows, are broadcast to fetch theirs.
+    """
     terms = match_terms(query)
     if not terms:
         return heads.limit(0).withColumn("score", F.lit(0.0))
-    ranks = bm25(index_documents(heads), terms)
-    rows = heads.where(readable if filters is None else readable & filters).join(ranks, "doc_id")
-    rows = rows.withColumn("score", lexical_score(query, now))
-    return rows.orderBy(F.desc(F.round("score", 9)), F.desc("star_count"), F.desc("updated_at"), "query_id").limit(limit)
+    ranks = bm25(index_documents(docs), terms)
+    narrow = heads.where(readable if filters is None else readable & filters).drop("kql", "description")
+    rows = narrow.join(ranks, "doc_id").withColumn("score", lexical_score(query, now))
+    order = [F.desc(F.round("score", 9)), F.desc("star_count"), F.desc("updated_at"), F.col("query_id")]
+    hits = rows.orderBy(*order).limit(limit)
+    return docs.select("doc_id", "kql", "description").join(F.broadcast(hits), "doc_id").orderBy(*order)
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -161,13 +168,13 @@ def namespaces(viewer: int | None) -> list[str]:
     return ["public"] if viewer is None else ["public", f"private:{viewer}"]
 
 
-def search(heads: DataFrame, vectors: DataFrame, query: str, viewer_readable: Column, now: Column, embedding: Sequence[float] | None = None, limit: int = 20) -> tuple[DataFrame, dict]:
+def search(heads: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, viewer_readable: Column, now: Column, embedding: Sequence[float] | None = None, limit: int = 20) -> tuple[DataFrame, dict]:
     """Lexical search; if that is not adequate and there is a query vector, hybrid search.
 
     ``vectors`` has vec_id (the document), query_id, version_id and embedding, in the viewer's
     namespaces only. Two small actions at most: the assessment, one row, and the results.
     """
-    hits = lexical(heads, query, viewer_readable, now, limit=limit)
+    hits = written(lexical(heads, docs, query, viewer_readable, now, limit=limit))
     ranked = hits.select("query_id", "version_id", "title", "tables", "score", "star_count", F.row_number().over(_result_order()).alias("place"))
     told = adequacy(ranked, query).first().asDict()
     if told["adequate"] or embedding is None:

@@ -33,7 +33,7 @@ hits AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, star_count
 
 def _hits(spark, sf_dir):
     now = F.lit(NOW).cast("timestamp_ntz")
-    return retrieval.lexical(corpus.heads(spark, sf_dir), TERMS, readable(VIEWER), now)
+    return retrieval.lexical(corpus.heads(spark, sf_dir), corpus.documents(spark, sf_dir), TERMS, readable(VIEWER), now)
 
 
 def _placed(hits):

@@ -34,7 +34,7 @@ def test_private_rows_are_their_owners_only(spark):
     now = F.lit(DAY).cast("timestamp_ntz")
     for viewer, seen in ((None, False), (2, False), (1, True)):
         assert (h.where(readable(viewer)).where("query_id = 'q01'").count() == 1) is seen
-        hits = {r["query_id"] for r in retrieval.lexical(h, "title", readable(viewer), now).collect()}
+        hits = {r["query_id"] for r in retrieval.lexical(h, h, "title", readable(viewer), now).collect()}
         assert ("q01" in hits) is seen
         assert (state.in_given_order(h.where(readable(viewer)), [1, 2]).where("query_id = 'q01'").count() == 1) is seen
 
@@ -115,6 +115,18 @@ def test_hybrid_needs_the_current_version(spark):
     assert got[0]["score"] == pytest.approx(0.5 * 0.62 + 0.9 * 0.38 + 0.06)
 
 
+def test_search_stops_when_adequate_and_merges_otherwise(spark):
+    h = heads(spark, 12, private=(3,))
+    v = h.select(F.col("doc_id").alias("vec_id"), "query_id", "version_id", F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"))
+    now = F.lit(DAY).cast("timestamp_ntz")
+    found, told = retrieval.search(h, h, v, "title 4", readable(None), now, [1.0, 3.0])
+    assert told["reason"] == "exact-title" and {r["match_type"] for r in found.collect()} == {"lexical"}
+    found, told = retrieval.search(h, h, v, "zzz", readable(None), now, [1.0, 3.0])
+    rows = found.collect()
+    assert told["reason"] == "no-results" and rows and {r["match_type"] for r in rows} == {"semantic"}
+    assert "q03" not in {r["query_id"] for r in rows}
+
+
 def test_match_terms():
     assert retrieval.match_terms("A SignIn signin x_y  é1") == ["signin", "x_y", "é1"]
     assert len(retrieval.match_terms(" ".join(f"w{i}" for i in range(30)))) == 16
