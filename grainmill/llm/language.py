@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm.pieces import frugal
+
 #: Families of languages; fixed values. A language that is not listed is a family of its own.
 FAMILIES = {
     "da": "germanic", "de": "germanic", "en": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -175,7 +177,7 @@ def _predictions(texts: list[str | None], model: Model | None) -> tuple[list[str
     at = 0
     while at < len(known):
         stop, size = at, 0
-        while stop < len(known) and (stop == at or size + len(texts[known[stop]]) < 1_000_000):
+        while stop < len(known) and (stop == at or size + len(texts[known[stop]]) < 250_000):
             size += len(texts[known[stop]])
             stop += 1
         part = known[at:stop]
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -207,7 +209,7 @@ def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, _ = _predictions(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
             yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def identified(docs: DataFrame, sample: int = 2000) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import connected_components, materialize
-from grainmill.llm.pieces import _SPACE, Hasher, in_batches
+from grainmill.llm.pieces import _SPACE, Hasher, frugal, in_batches
 
 COORDS, MATCHES = 40, 18
 SHINGLE = 5
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, z in in_batches(texts, 2_000_000):
+            for a, z in in_batches(texts, 500_000):
                 sets = shingle_sets(texts[a:z], hasher)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(size)
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 cols = [ids.slice(a, z - a), pa.array(size), pa.array(fp[0]), pa.array(fp[1]), pa.array(sig, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp1", "fp2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig array<bigint>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig array<bigint>")
 
 
 def prefix_posts(reps: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     rep, side, cluster = (frame[c].to_numpy() for c in ("rep", "side", "cluster"))
     sets: list[np.ndarray] = []
     texts = [t.encode("utf-8", "replace") for t in frame["text"]]
-    for a, z in in_batches(texts, 2_000_000):
+    for a, z in in_batches(texts, 500_000):
         sets += shingle_sets(texts[a:z], hasher)
     order = np.argsort(cluster, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):

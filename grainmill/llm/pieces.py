@@ -9,6 +9,7 @@ is made and the piece grows. Pieces are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,7 +154,7 @@ class PieceTable:
         return self.flat[step + np.arange(total[-1])], n
 
 
-def in_batches(texts: list[bytes], most: int = 2_000_000):
+def in_batches(texts: list[bytes], most: int = 500_000):
     """Slices of the list with about ``most`` bytes each; a longer text is a slice of its own."""
     at, size = 0, 0
     for i, x in enumerate(texts):
@@ -163,3 +164,14 @@ def in_batches(texts: list[bytes], most: int = 2_000_000):
         size += len(x)
     if at < len(texts):
         yield at, len(texts)
+
+
+def frugal(run):
+    """``run`` over record batches, giving Arrow's unused memory back after each: workers live on from task to task."""
+
+    def batches(given):
+        for out in run(given):
+            yield out
+            pa.default_memory_pool().release_unused()
+
+    return batches

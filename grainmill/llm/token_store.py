@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import shared_dir
 from grainmill.llm.library_tokens import piece_table
-from grainmill.llm.pieces import in_batches
+from grainmill.llm.pieces import frugal, in_batches
 
 STORE = (
     "part int, seq int, first_rule int, n_docs int, n_ids bigint, doc_ids array<bigint>, symbols binary, "
@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, sh
             yield shard()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, STORE).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(run), STORE).write.option("compression", "zstd").parquet(path)
 
 
 _ARROW = pa.schema([
@@ -184,7 +184,7 @@ def read_store(spark, path: str, with_ids: bool = True) -> DataFrame:
 
     kind = "part int, seq int, place int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in kind.split(", ")]
-    return spark.read.schema(STORE).parquet(path).mapInArrow(run, kind)
+    return spark.read.schema(STORE).parquet(path).mapInArrow(frugal(run), kind)
 
 
 def with_starts(spark, path: str, rows: DataFrame) -> DataFrame:
