@@ -13,6 +13,8 @@ from grainmill.llm.pieces import PieceTable, byte_level_cuts, word_level_cuts
 
 #: Words of plain Latin letters: one pre-token, whose normal form is its lower case.
 _PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -32,18 +34,27 @@ def piece_table(path: str) -> PieceTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
+    tokenize = tokenizer.model.tokenize
     words = "Lowercase" in repr(tokenizer.normalizer)
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found: list = [None] * len(pieces)
+        joined = b"".join(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.cumsum(size) - size
+        data = np.frombuffer(joined, np.uint8)
+        blank, other = data[start] == 32, ~_LETTER[data]
+        other[start] &= ~blank
+        letters = ~np.logical_or.reduceat(other, start) & (size > blank)  # ASCII letters, after a blank or none
+        spelled = (joined.lower() if words else joined).decode("latin-1").translate(BYTE_ALPHABET)
+        for i, a, b in zip(np.flatnonzero(letters).tolist(), start[letters].tolist(), (start + size)[letters].tolist()):
+            found[i] = [t.id for t in tokenize(spelled[a:b])]
         rest = []
-        for i, piece in enumerate(pieces):
-            text = piece.decode("utf-8", "replace")
+        for i in np.flatnonzero(~letters).tolist():
+            text = pieces[i].decode("utf-8", "replace")
             if _PLAIN.fullmatch(text):
-                if words:
-                    piece = text.lower().encode()
-                found[i] = [t.id for t in model.tokenize(piece.decode("latin-1").translate(BYTE_ALPHABET))]
+                piece = text.lower().encode() if words else pieces[i]
+                found[i] = [t.id for t in tokenize(piece.decode("latin-1").translate(BYTE_ALPHABET))]
             else:
                 rest.append((i, text))
         for (i, _), e in zip(rest, tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)):

@@ -28,6 +28,18 @@ _MAYBE = np.zeros(256, bool)
 _MAYBE[[0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20), 0x85]] = True
 
 
+#: What a byte is, as bits, for bytes.translate.
+SPACE, MAYBE, ALNUM, MARK, HIGH, BLANK = 1, 2, 4, 8, 16, 32
+_HIGH, _BLANK = np.arange(256) >= 0x80, np.arange(256) == 32
+_KIND = sum(bit * table.astype(np.uint8) for bit, table in ((SPACE, _SPACE), (MAYBE, _MAYBE), (ALNUM, _ALNUM), (MARK, _MARK), (HIGH, _HIGH), (BLANK, _BLANK))).astype(np.uint8).tobytes()
+
+
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds of each byte, of the one before and of the one after; a blank stands beyond both ends."""
+    kind = np.frombuffer((b" " + data.tobytes() + b" ").translate(_KIND), np.uint8)
+    return kind[1:-1], kind[:-2], kind[2:]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, up to n."""
     up, down = np.empty(n + 1, np.uint64), np.empty(n + 1, np.uint64)
@@ -63,35 +75,83 @@ def byte_level_cuts(data: np.ndarray) -> np.ndarray:
     cut = np.zeros(n + 1, bool)
     if not n:
         return cut
-    space = _SPACE[data]
-    nxt = np.append(data[1:], np.uint8(32))
-    word_next = ~(_SPACE[nxt] | _MAYBE[nxt])
-    prev = np.append(np.uint8(32), data[:-1])
-    word_prev = ~_SPACE[prev] & (prev < 0x80)
-    cut[:n] |= (data == 32) & word_next
-    lone = space & (data != 32) & word_next & word_prev
+    kind, prev, nxt = _kinds(data)
+    word_next = nxt & (SPACE | MAYBE) == 0
+    cut[:n] = (kind & BLANK != 0) & word_next
+    lone = (kind & (SPACE | BLANK) == SPACE) & word_next & (prev & (SPACE | HIGH) == 0)
     cut[:n] |= lone
     cut[1:] |= lone
-    alnum, mark = _ALNUM[data], _MARK[data]
-    cut[:n] |= mark & _ALNUM[prev]
-    cut[:n] |= alnum & _MARK[prev]
+    cut[:n] |= _mark_meets_word(kind, prev)
     return cut
 
 
+def _mark_meets_word(kind: np.ndarray, prev: np.ndarray) -> np.ndarray:
+    return (kind & MARK != 0) & (prev & ALNUM != 0) | (kind & ALNUM != 0) & (prev & MARK != 0)
+
+
 def word_level_cuts(data: np.ndarray) -> np.ndarray:
     """Sure cuts where white space only separates words; True at a piece's first byte."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if not n:
         return cut
-    prev = np.append(np.uint8(32), data[:-1])
-    space, alnum, mark = _SPACE[data], _ALNUM[data], _MARK[data]
-    cut[:n] |= space != _SPACE[prev]
-    cut[:n] |= mark & _ALNUM[prev]
-    cut[:n] |= alnum & _MARK[prev]
+    kind, prev, _ = _kinds(data)
+    cut[:n] = (kind ^ prev) & SPACE != 0
+    cut[:n] |= _mark_meets_word(kind, prev)
     return cut
 
 
+class HashIndex:
+    """Open-addressed table from well-mixed 64-bit hashes (not 0) to row numbers; doubles as it fills."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.count = bits, 0
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it has none."""
+        out, slot = np.full(len(keys), -1, np.int64), self._slots(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            got = self.keys[slot]
+            hit = got == keys[left]
+            out[left[hit]] = self.rows[slot[hit]]
+            on = ~hit & (got != 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Numbers distinct new keys, in their order, from ``count`` on."""
+        while 2 * (self.count + len(keys)) > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            held, rows = self.keys[full], self.rows[full]
+            self.bits += 1
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(held, rows)
+        self._put(keys, np.arange(self.count, self.count + len(keys), dtype=np.int32))
+        self.count += len(keys)
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            own = self.keys[slot] == keys
+            self.rows[slot[own]] = rows[own]
+            keys, rows, slot = keys[~own], rows[~own], (slot[~own] + 1) & (len(self.keys) - 1)
+
+
+def _appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``store`` with ``more`` behind its first ``used`` entries; room doubles as it fills."""
+    if used + len(more) > len(store):
+        store = np.concatenate([store[:used], np.zeros(max(used, len(more), 1024), store.dtype)])
+    store[used : used + len(more)] = more
+    return store
+
+
 class PieceTable:
     """What is known of pieces seen before, by hash: ``width`` and a slice of ``flat``.
 
@@ -104,10 +164,10 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.index = HashIndex()
         self.at = np.zeros(0, np.int64)
         self.width = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(0, np.int32), 0
 
     def lookup(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each piece of the texts in order: row of the table; and for each text its first piece and the end."""
@@ -120,27 +180,23 @@ class PieceTable:
         stops = starts[1:]
         starts = starts[:-1]
         first = np.searchsorted(starts, np.concatenate([[0], ends]))
-        h = self.hasher.ranges(data, starts, stops)
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.keys, keys)
-        known = pos < len(self.keys)
-        known[known] = self.keys[pos[known]] == keys[known]
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > self.limit:
+        h = np.maximum(self.hasher.ranges(data, starts, stops), np.uint64(1))
+        row = self.index.find(h)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            keys, where, back = np.unique(h[new], return_index=True, return_inverse=True)
+            if self.index.count and self.index.count + len(keys) > self.limit:
                 self.clear()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            at = where[new]
+                new = np.arange(len(h))
+                keys, where, back = np.unique(h, return_index=True, return_inverse=True)
+            raw, at = data.tobytes(), new[where]
             width, flat = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
-            offset = len(self.flat) + np.concatenate([[0], np.cumsum(width)[:-1]]) if len(width) else np.zeros(0, np.int64)
-            self.flat = np.concatenate([self.flat, flat])
-            spot = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, spot, keys[new])
-            self.at = np.insert(self.at, spot, offset.astype(np.int64))
-            self.width = np.insert(self.width, spot, width)
-            pos = np.searchsorted(self.keys, keys)
-        return pos[back], first[:-1], first[1:]
+            row[new] = self.index.count + back
+            self.at = _appended(self.at, self.index.count, self.used + np.cumsum(width) - width)
+            self.width = _appended(self.width, self.index.count, width)
+            self.flat, self.used = _appended(self.flat, self.used, flat), self.used + len(flat)
+            self.index.add(keys)
+        return row, first[:-1], first[1:]
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's number of ids."""

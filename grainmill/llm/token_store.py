@@ -50,30 +50,38 @@ def compress(ids: np.ndarray, n: np.ndarray, first_rule: int, rounds: int = 4, r
     for _ in range(rounds):
         if len(sym) < 2:
             break
-        key = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        inside = doc[:-1] == doc[1:]
+        key = sym[:-1].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= sym[1:]
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
         holder = np.zeros(1 << _SLOTS, np.uint64)
         holder[slot] = key  # a slot counts one of its pairs; another has its turn in a later round
-        own = inside & (holder[slot] == key)
+        own = holder[slot] == key
+        own &= doc[:-1] == doc[1:]
         count = np.bincount(slot[own], minlength=1 << _SLOTS)
         top = np.flatnonzero(count >= least)
         if not len(top):
             break
-        top = top[np.argsort(-count[top], kind="stable")[:rules_per_round]]
+        top = top[np.argsort(count[top], kind="stable")[-rules_per_round:]]
         weight = np.zeros(1 << _SLOTS, np.int32)
-        weight[top] = np.arange(len(top), 0, -1)
-        w = np.where(own, weight[slot], 0)
-        hit = (w > 0) & (w > np.append(0, w[:-1])) & (w >= np.append(w[1:], 0))
+        weight[top] = np.arange(1, len(top) + 1)
+        w = weight[slot]
+        w *= own
+        hit = w > 0
+        hit[1:] &= w[1:] > w[:-1]
+        hit[:-1] &= w[:-1] >= w[1:]
         spot = np.flatnonzero(hit)
-        used, number = np.unique(slot[spot], return_inverse=True)
+        chosen = np.bincount(w[spot], minlength=len(top) + 1) > 0
+        number = (np.cumsum(chosen) - 1)[w[spot]]
+        used = top[np.flatnonzero(chosen) - 1]
         pair = holder[used]
         a, b = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         size = lambda s: np.where(s < first_rule, 1, lengths[np.maximum(s.astype(np.int64) - first_rule, 0)] if len(lengths) else 1)
         lengths = np.concatenate([lengths, (size(a) + size(b)).astype(np.uint32)])
         rules.append(np.stack([a, b], 1))
         sym[spot] = following + number.astype(np.uint32)
-        stay = np.append(True, ~hit)
+        stay = np.ones(len(sym), bool)
+        np.logical_not(hit, out=stay[1:])
         sym, doc = sym[stay], doc[stay]
         following += len(used)
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
