@@ -34,12 +34,17 @@ def _pick(values: list[float], index: Column) -> Column:
 
 
 def propagate(linked: DataFrame, loads: list[int], quota: float, rounds: int = 2) -> DataFrame:
-    """``linked`` (node, grp, size, spread, label and more) with labels after some rounds; loads has the bytes of every shard."""
+    """``linked`` (node, grp, size, spread, salts, label and more) with labels after some rounds; loads has the bytes of every shard.
+
+    Documents meet the home of their group under a salt, so that a large group is spread over many tasks.
+    """
     shards = len(loads)
     for step in range(rounds):
-        homes = linked.groupBy("grp").agg(F.mode("label", True).alias("home"))
+        homes = linked.groupBy("grp").agg(F.mode("label", True).alias("home"), F.max("salts").alias("salts"))
+        homes = homes.select("grp", "home", F.explode(F.sequence(F.lit(1).cast("long"), "salts")).alias("salt"))
+        salt = F.pmod(F.xxhash64("node", F.lit("home")), F.col("salts")) + 1
         wish = F.pmod(F.col("home") + F.pmod(F.xxhash64("node", F.lit("spread")), F.col("spread")), F.lit(shards)).cast("int")
-        wants = materialize(linked.join(homes, "grp").withColumn("wish", wish).drop("home"))
+        wants = materialize(linked.withColumn("salt", salt).join(homes, ["grp", "salt"]).withColumn("wish", wish).drop("home", "salt"))
         flows = wants.where("label <> wish").groupBy("label", "wish").agg(F.sum("size").alias("bytes")).collect()  # shards x shards rows at most
         if not flows:
             return wants.drop("wish")
@@ -71,7 +76,8 @@ def shards_by_bytes(docs: DataFrame, shards: int = 40, bucket_rows: int = 1000)
     quota = 1.02 * per_shard
 
     groups = base.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    groups = groups.select("grp", F.ceil(F.col("bytes") / (quota / 2)).cast("int").alias("spread"), F.ceil(F.col("n") / bucket_rows).alias("salts"))
+    # a table of its own, so that the join shuffles both sides and Spark can split a large group
+    groups = materialize(groups.select("grp", F.ceil(F.col("bytes") / (quota / 2)).cast("int").alias("spread"), F.ceil(F.col("n") / bucket_rows).alias("salts")))
     rows = materialize(base.join(groups, "grp", "left"))
     linked = propagate(rows.where("spread is not null"), [by_label.get(s, (0, 0))[1] for s in range(shards)], quota)
     rows = rows.where("spread is null").unionByName(linked)
