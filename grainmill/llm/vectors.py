@@ -19,8 +19,10 @@ from grainmill.llm.common import connected_components, materialize
 
 #: Vectors that fit the rotations, at most about.
 FIT_SAMPLE = 4096
-#: Hamming tables. With 10 bits a table, 12 tables miss a pair of cosine 0.9 about once in 18, of cosine 0.95 once in 150.
+#: Hamming tables of balanced codes; the tables of random_tables come on top.
 TABLES = 12
+#: Probability that a pair exactly at the threshold meets in none of the random tables, however many bits a key has.
+MISS = 0.01
 BLOCK = 2048
 
 
@@ -62,9 +64,11 @@ class Quantiser:
 
     The centred sample is turned to its principal axes; each rotation alternates
     between the nearest binary codes and the orthogonal turn that fits them best.
+    ``random`` more bits are sides of random planes through the origin: their chance to
+    part two vectors is the angle over pi, whatever the data.
     """
 
-    def __init__(self, x: np.ndarray, bits: int, steps: int = 40) -> None:
+    def __init__(self, x: np.ndarray, bits: int, random: int = 0, steps: int = 40) -> None:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.mean = x.mean(0)
         _, axes = np.linalg.eigh(np.cov((x - self.mean).T).reshape(x.shape[1], -1))
@@ -76,10 +80,11 @@ class Quantiser:
                 u, _, w = np.linalg.svd(np.where(z @ r >= 0, 1.0, -1.0).T @ z)
                 r = (u @ w).T
             turns.append(axes @ r)
-        self.turn = np.hstack(turns)
+        self.turn = np.hstack(turns)[:, :bits]
+        self.planes = np.random.default_rng(97).normal(size=(x.shape[1], random))
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.turn >= 0
+        return np.hstack([(x - self.mean) @ self.turn >= 0, x @ self.planes >= 0])
 
 
 def table_bits(n: int) -> int:
@@ -87,12 +92,19 @@ def table_bits(n: int) -> int:
     return int(min(16, max(1, np.log2(max(n, 2)) - 6)))
 
 
+def random_tables(b: int, least: float) -> int:
+    """Tables of b random bits that a pair of cosine ``least`` misses all with probability MISS at most; nearer pairs less."""
+    meet = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** b
+    return 1 if meet >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
+
+
 def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept): all pairs found with cosine >= ``least``.
 
-    The code of a vector (a bit for each dimension of each rotation) is cut into substrings,
+    The code of a vector (a bit for each dimension of each rotation, then for each random plane) is cut into substrings,
     each the key of one Hamming table; vectors that agree in a substring are
-    candidates (two codes that differ in fewer bits than there are tables always are). A
+    candidates (two codes that differ in fewer bits than there are tables always are). Keys grow with
+    the table, and so does the number of random tables, which keeps the miss rate at MISS. A
     task takes many buckets; a bucket of more than BLOCK vectors is split, a task for
     each two blocks. Candidates are reranked by the original vectors, and a pair counts in
     the first table where it meets. Tasks return counts and spanning forests, not pairs.
@@ -103,8 +115,9 @@ def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     if len(x) < 2:
         edges = found.sparkSession.createDataFrame([], "kind int, a bigint, b bigint")
     else:
-        b, tables = table_bits(n), TABLES
-        model = Quantiser(x, b * tables)
+        b = table_bits(n)
+        tables = TABLES + random_tables(b, least)
+        model = Quantiser(x, b * TABLES, b * (tables - TABLES))
 
         def code(batches):
             power = 1 << np.arange(b, dtype=np.int64)

@@ -262,6 +262,22 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 # ---- 5
 
 
+def test_near_vectors_at_sixteen_bits(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "table_bits", lambda n: 16)  # the keys of four million vectors
+    r = np.random.default_rng(5)
+    a, u = r.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u -= (u * a).sum(1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    b = 0.902 * a + np.sqrt(1 - 0.902**2) * u
+    x = np.vstack([a, b])
+    want = np.triu(x @ x.T >= 0.9, 1).sum()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(df).agg(F.sum("n_links")).first()[0] / 2
+    print("links found", got, "of", want)
+    assert want >= 1500 and 0.98 * want <= got <= want
+
+
 def test_language(spark, odd, empty, sf):
     docs = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
     got = language.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
