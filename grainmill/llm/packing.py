@@ -1,8 +1,8 @@
 """Operator 3: packing token sequences by swap-based local search.
 
 Documents are cut into pieces of at most ``capacity`` tokens (only longer ones are
-cut). Pieces are dealt at random to groups of about ``group_rows`` documents, and each group
-packs its own: best fit in decreasing order gives a first packing; then underfull
+cut). Pieces are written once, then dealt by a hash of their place in the input (so copies
+spread like any other rows) to groups of about ``group_rows`` pieces, and each group packs its own: best fit in decreasing order gives a first packing; then underfull
 bins exchange one piece for one, two for one, or move a piece, whenever that raises
 the sum of squared fills, until no such step is left; bins that empty go. A group leaves
 about one bin underfull, so the loss is one bin in some ten thousand.
@@ -19,20 +19,23 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm.common import materialize
 from grainmill.llm.library_tokens import piece_table
 from grainmill.llm.pieces import frugal, in_batches
 
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint"
+PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, place bigint"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, groups: int, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part[, ids]); part is the group that packs the piece."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32, place[, ids]); place numbers the pieces over all partitions."""
 
     def run(batches):
         table = piece_table(tokenizer_path)
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -49,8 +52,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                 length = np.minimum(capacity, n[owner] - start)
                 first = (stop - n)[owner] + start
                 crc = np.array([zlib.crc32(raw[4 * i : 4 * (i + k)]) for i, k in zip(first.tolist(), length.tolist())], np.int64)
-                mixed = (crc * 2654435761 + start + length) % (1 << 32)
-                cols = [pa.array([doc_ids[a + i] for i in owner.tolist()], pa.int64()), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array((mixed * 40503) % (1 << 31) % groups)]
+                cols = [pa.array([doc_ids[a + i] for i in owner.tolist()], pa.int64()), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(place + np.arange(len(owner)))]
+                place += len(owner)
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, first[-1] + length[-1]).astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -60,6 +63,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), kind)
 
 
+def dealt(pieces: DataFrame, group_rows: int) -> DataFrame:
+    """Written pieces with part, the group that packs the piece, in place of their place."""
+    groups = max(1, -(-pieces.count() // group_rows))
+    return pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups))).drop("place")
+
+
 def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
     """Best fit in decreasing order of length; bins as lists of positions."""
     bins: list[list[int]] = []
@@ -157,5 +166,4 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, group_rows: int = 20_000, with_ids: bool = False) -> DataFrame:
-    groups = max(1, docs.count() // group_rows)
-    return pack(token_pieces(docs, tokenizer_path, end_id, capacity, groups, with_ids), capacity)
+    return pack(dealt(materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids)), group_rows), capacity)

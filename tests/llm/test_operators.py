@@ -215,6 +215,14 @@ def test_packing(spark, odd, empty, sf):
     assert packing.packed_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_copies_spread_over_packing_groups(spark):
+    rows = [(i, "the same text" if i % 3 else words(5, i)) for i in range(3000)]
+    got = packing.packed_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"), group_rows=300).collect()
+    check_packing(got, rows)
+    size = collections.Counter(r["sequence_id"] >> 40 for r in got)
+    assert len(size) == 10 and max(size.values()) < 400
+
+
 def test_local_search_frees_bins():
     length = np.array([6, 4, 5, 5, 3, 3, 4, 7, 3])
     bins = packing.local_search([[0], [1], [2], [3], [4, 5], [6], [7], [8]], length, 10)
