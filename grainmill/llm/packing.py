@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -93,53 +94,107 @@ def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], length: np.ndarray, capacity: int, most_bins: int = 64) -> list[list[int]]:
-    """Moves and exchanges between underfull bins while the sum of squared fills rises.
+class _Donors:
+    """For each length, and each sum of two lengths, the emptiest bin that holds it."""
 
-    The ``most_bins`` emptiest bins take part; others are full, or nearly so, and no
-    step between them can free a bin. Each step raises the sum of squares, which is bounded, so it ends.
+    def __init__(self, capacity: int) -> None:
+        self.low = np.full((2, 2 * capacity + 2), 1 << 40)
+        self.heaps: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        self.held: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
+        self.stamp = 0
+
+    def put(self, b: int, fill: int, singles: np.ndarray, pairs: np.ndarray) -> None:
+        self.stamp += 1
+        self.held[b] = (self.stamp, fill, singles, pairs)
+        for kind, keys in enumerate((singles, pairs)):
+            for k in keys.tolist():
+                heappush(self.heaps.setdefault((kind, k), []), (fill, b, self.stamp))
+            self.low[kind][keys] = np.minimum(self.low[kind][keys], fill)
+
+    def drop(self, b: int) -> None:
+        if b not in self.held:
+            return
+        _, fill, *held = self.held.pop(b)
+        for kind, keys in enumerate(held):
+            for k in keys[self.low[kind][keys] == fill].tolist():
+                heap = self.heaps[kind, k]
+                while heap and self.held.get(heap[0][1], (0,))[0] != heap[0][2]:
+                    heappop(heap)
+                self.low[kind, k] = heap[0][0] if heap else 1 << 40
+
+    def emptiest(self, kind: int, k: int) -> int:
+        return self.heaps[kind, k][0][1]
+
+
+def _sums(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different lengths of a bin (some 90 at most, as they add up to the capacity) and the sums of two pieces."""
+    singles, many = np.unique(own, return_counts=True)
+    i, j = np.triu_indices(len(singles))
+    return singles, np.unique((singles[i] + singles[j])[(i != j) | (many[i] > 1)])
+
+
+def local_search(bins: list[list[int]], length: np.ndarray, capacity: int) -> list[list[int]]:
+    """Moves and exchanges (one for one, two for one, one for two) between all bins with room, until none raises the sum of squared fills.
+
+    A step of net gain g from bin a to b raises the sum if g > fill a - fill b, so for each
+    length only the emptiest bin that holds it matters, and a step looks it up. Full bins
+    can take no part. The sum of squares is bounded, so the search ends.
     """
+    bins = [list(b) for b in bins]
     fill = [int(length[b].sum()) for b in bins]
-    order = sorted(range(len(bins)), key=lambda b: fill[b])[:most_bins]
-    under = [b for b in order if fill[b] < capacity]
-
-    def improve(a: int, b: int) -> bool:
-        """One step that makes the fuller bin b fuller still."""
-        room = capacity - fill[b]
-        best: tuple[int, list[int], list[int]] | None = None
-        xs = sorted(bins[a], key=lambda i: length[i])
-        ys = sorted(bins[b], key=lambda i: length[i])
-        ylen = [int(length[y]) for y in ys]
-        for x in xs:
-            k = int(length[x])
-            if k <= room and (best is None or k > best[0]):
-                best = (k, [x], [])
-            at = bisect_left(ylen, max(1, k - room))
-            if at < len(ys) and 0 < k - ylen[at] <= room and (best is None or k - ylen[at] > best[0]):
-                best = (k - ylen[at], [x], [ys[at]])
-        for p in range(min(len(xs), 64)):
-            for q in range(p + 1, min(len(xs), 64)):
-                k = int(length[xs[p]] + length[xs[q]])
-                at = bisect_left(ylen, max(1, k - room))
-                if at < len(ys) and 0 < k - ylen[at] <= room and (best is None or k - ylen[at] > best[0]):
-                    best = (k - ylen[at], [xs[p], xs[q]], [ys[at]])
-        if best is None:
-            return False
-        gain, give, take = best
-        bins[a] = [i for i in bins[a] if i not in give] + take
-        bins[b] = [i for i in bins[b] if i not in take] + give
-        fill[a] -= gain
-        fill[b] += gain
-        return True
+
+    def find(b: int, singles: np.ndarray, pairs: np.ndarray) -> tuple[int, int, int] | None:
+        """The step of largest gain into b: gain, what b gives for it (a length, a sum or 0), kind of what it takes."""
+        gains = np.arange(1, capacity - fill[b] + 1)
+        best = None
+        for given, kind in ((np.append(0, singles), 0), (singles, 1), (pairs, 0)):
+            for at in range(0, len(given), 256):
+                ys = given[at : at + 256]
+                ok = donors.low[kind][ys[:, None] + gains] - fill[b] < gains
+                hit = np.flatnonzero(ok.any(0))
+                if len(hit) and (best is None or gains[hit[-1]] > best[0]):
+                    best = (int(gains[hit[-1]]), int(ys[ok[:, hit[-1]].argmax()]), kind)
+        return best
+
+    def taken(b: int, k: int, two: bool) -> list[int]:
+        """One piece of length k of the bin, or two of that sum."""
+        seen: dict[int, int] = {}
+        for i in bins[b]:
+            n = int(length[i])
+            if not two and n == k:
+                return [i]
+            if two and k - n in seen:
+                return [seen[k - n], i]
+            seen[n] = i
+        return []
 
     again = True
     while again:
         again = False
-        under = sorted((b for b in under if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for p, a in enumerate(under):
-            for b in reversed(under[p + 1 :]):
-                while fill[a] and fill[a] <= fill[b] < capacity and improve(a, b):
-                    again = True
+        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
+        donors = _Donors(capacity)
+        for b in under:
+            donors.put(b, fill[b], *_sums(length[bins[b]]))
+        for b in under:
+            if not 0 < fill[b] < capacity:
+                continue
+            keys = donors.held[b][2:]
+            donors.drop(b)
+            while fill[b] < capacity and (step := find(b, *keys)):
+                again = True
+                gain, out, kind = step
+                a = donors.emptiest(kind, out + gain)
+                donors.drop(a)
+                give, take = (taken(b, out, False) or taken(b, out, True)) if out else [], taken(a, out + gain, kind == 1)
+                bins[a] = [i for i in bins[a] if i not in take] + give
+                bins[b] = [i for i in bins[b] if i not in give] + take
+                fill[a] -= gain
+                fill[b] += gain
+                if fill[a]:
+                    donors.put(a, fill[a], *_sums(length[bins[a]]))
+                keys = _sums(length[bins[b]])
+            if fill[b] < capacity:
+                donors.put(b, fill[b], *keys)
     return [b for b in bins if b]
 
 

@@ -230,6 +230,20 @@ def test_local_search_frees_bins():
     assert all(length[b].sum() <= 10 for b in bins)
 
 
+def test_local_search_leaves_no_step():
+    length = np.random.default_rng(3).integers(1300, 2600, 500)
+    first = packing.best_fit(length, 4096)
+    bins = packing.local_search(first, length, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(500))
+    fill = [int(length[b].sum()) for b in bins]
+    assert max(fill) <= 4096 and len(bins) <= len(first)
+    some = lambda b, most: [sum(c) for n in range(most + 1) for c in itertools.combinations(length[b].tolist(), n)]
+    for a, b in itertools.permutations(range(len(bins)), 2):
+        if fill[a] < 4096 and fill[b] < 4096:
+            best = [x - y for x in some(bins[a], 1) for y in some(bins[b], 2)] + [x - y for x in some(bins[a], 2) for y in some(bins[b], 1)[1:]]
+            assert not any(max(0, fill[a] - fill[b]) < g <= 4096 - fill[b] for g in best)
+
+
 # ---- 4, 10
 
 
