@@ -5,9 +5,10 @@ its group, not to one another), and a link is cut when its ends lie in different
 
 1. Labels start as a hash of the id.
 2. In each round the share of every linked group in every shard is summed, and documents
-   want to move to the shard that holds most of their group. Quotas hold: a shard accepts
+   want to move to the shard that holds most of their group, of those with room if one has (ties go by a hash). Rounds go on
+   until no document wants to move or the cut stops falling. Quotas hold: a shard accepts
    movers, by a hash, only with the probability room / bytes on their way to it. A group of
-   more than half a shard's quota aims at as many shards as it needs.
+   more than half a shard's quota aims at as many shards as it needs, from one that its hash gives.
 3. Last, documents stand in order of label and group, and running sums of bytes cut that
    order into shards of equal size. Documents so large that a cut at one of them would
    show (over 1/64 of a shard; at most 64 a shard) are dealt first, largest first, back
@@ -33,31 +34,44 @@ def _pick(values: list[float], index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(float(v)) for v in values)), index.cast("int") + 1)
 
 
-def propagate(linked: DataFrame, loads: list[int], quota: float, rounds: int = 2) -> DataFrame:
-    """``linked`` (node, grp, size, spread, salts, label and more) with labels after some rounds; loads has the bytes of every shard.
+def propagate(linked: DataFrame, loads: list[int], quota: float) -> DataFrame:
+    """``linked`` (node, grp, size, spread, salts, label and more) with the labels of the smallest cut; loads has the bytes of every shard.
 
+    Rounds go on until no document wants to move, or the cut has not fallen for two rounds.
     Documents meet the home of their group under a salt, so that a large group is spread over many tasks.
     """
     shards = len(loads)
-    for step in range(rounds):
-        homes = linked.groupBy("grp").agg(F.mode("label", True).alias("home"), F.max("salts").alias("salts"))
+    best, least, waited, step = linked, None, 0, 0
+    held = {r["label"]: r["bytes"] for r in linked.groupBy("label").agg(F.sum("size").alias("bytes")).collect()}  # one row a shard
+    fixed = [loads[s] - held.get(s, 0) for s in range(shards)]
+    while True:
+        votes = linked.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"), F.max("salts").alias("salts"), F.max("spread").alias("spread"))
+        # shards with room first, as a full one takes no more; a tie goes by a hash, so no shard draws more than others
+        most = F.max_by("label", F.struct(_pick([quota - load for load in loads], F.col("label")) > 0, "n", F.xxhash64("grp", "label")))
+        homes = votes.groupBy("grp").agg(F.when(F.max("spread") > 1, F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int")).otherwise(most).alias("home"), F.max("salts").alias("salts"))
         homes = homes.select("grp", "home", F.explode(F.sequence(F.lit(1).cast("long"), "salts")).alias("salt"))
         salt = F.pmod(F.xxhash64("node", F.lit("home")), F.col("salts")) + 1
         wish = F.pmod(F.col("home") + F.pmod(F.xxhash64("node", F.lit("spread")), F.col("spread")), F.lit(shards)).cast("int")
         wants = materialize(linked.withColumn("salt", salt).join(homes, ["grp", "salt"]).withColumn("wish", wish).drop("home", "salt"))
-        flows = wants.where("label <> wish").groupBy("label", "wish").agg(F.sum("size").alias("bytes")).collect()  # shards x shards rows at most
-        if not flows:
-            return wants.drop("wish")
-        away, come = [0] * shards, [0] * shards
+        flows = wants.groupBy("label", "wish").agg(F.sum("size").alias("bytes")).collect()  # shards x shards rows at most
+        cut = sum(r["bytes"] for r in flows if r["label"] != r["wish"])
+        if least is None or cut < least:
+            best, least, waited = wants.drop("wish"), cut, 0
+        else:
+            waited += 1
+        if not cut or waited == 2:
+            return best
+        loads, away, come = list(fixed), [0] * shards, [0] * shards
         for r in flows:
-            away[r["label"]] += r["bytes"]
-            come[r["wish"]] += r["bytes"]
+            loads[r["label"]] += r["bytes"]
+            if r["label"] != r["wish"]:
+                away[r["label"]] += r["bytes"]
+                come[r["wish"]] += r["bytes"]
         chance = [max(0.0, min(1.0, (quota - loads[s] + away[s] / 2) / come[s])) if come[s] else 0.0 for s in range(shards)]
-        loads = [loads[s] - away[s] / 2 + chance[s] * come[s] for s in range(shards)]
         draw = F.pmod(F.xxhash64("node", F.lit(f"move {step}")), F.lit(1 << 20)) / float(1 << 20)
         goes = (F.col("label") != F.col("wish")) & (draw < _pick(chance, F.col("wish")))
         linked = wants.withColumn("label", F.when(goes, F.col("wish")).otherwise(F.col("label"))).drop("wish")
-    return linked
+        step += 1
 
 
 def shards_by_bytes(docs: DataFrame, shards: int = 40, bucket_rows: int = 1000) -> DataFrame:

@@ -379,6 +379,16 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sum(len(v) > 1 for v in where.values()) < 0.5 * len(where)  # at random, 7 of 8 pairs are cut
 
 
+def test_shards_keep_pairs(spark):
+    rows = [(i, words(30, i % 1500)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at_random = docs.groupBy("text").agg(F.count_distinct(F.pmod(F.xxhash64("doc_id", F.xxhash64("text", F.octet_length("text"))), F.lit(8))).alias("k")).where("k > 1").count()
+    got = sharding.shards_by_bytes(docs, 8)
+    cut = got.groupBy("text_crc32").agg(F.count_distinct("shard").alias("k")).where("k > 1").count()
+    print("pairs cut at first", at_random, "and at last", cut, "of 1500")
+    assert at_random > 1200 and cut < 0.03 * 1500
+
+
 def test_mixing(spark, odd, empty):
     got = mixing.mix_plan(odd).collect()
     assert len(got) == len(awkward())
