@@ -226,8 +226,8 @@ def kd_leaves(points: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, norm: float, k: int) -> list[np.ndarray]:
-    """For each query the positions of at least its k best in ``data``, if there are as many."""
+def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, lone: np.ndarray, norm: float, k: int) -> list[np.ndarray]:
+    """For each query the positions in ``data`` (different vectors) of all that reach its k-th best score; a ``lone`` vector is not met by its own row."""
     turn = np.random.default_rng(11).normal(size=(data.shape[1] + 1, DIMS))
     lift = np.sqrt(np.maximum(0, norm**2 - (data**2).sum(1)))  # makes the largest product the nearest point
     points = np.column_stack([data, lift]) @ turn
@@ -240,7 +240,8 @@ def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_
     order = np.argsort(gap, axis=1, kind="stable")
     square = (queries**2).sum(1) + norm**2
     best = np.full((len(queries), k), -np.inf)
-    place = np.full((len(queries), k), -1, np.int64)
+    slack = 1e-9 * norm * np.linalg.norm(queries, axis=1)  # rounding must part no ties; exact scores decide later
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     active = np.arange(len(queries))
     for step in range(len(leaves)):
         leaf_of = order[active, step]
@@ -253,16 +254,18 @@ def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_
         for at in np.split(by, np.flatnonzero(np.diff(leaf_of[by])) + 1):
             q, leaf = active[at], leaves[leaf_of[at[0]]]
             got = queries[q] @ data[leaf].T
-            got[query_rows[q][:, None] == data_rows[leaf][None, :]] = -np.inf
-            hit = np.flatnonzero(got.max(1) > best[q].min(1))
+            got[(query_rows[q][:, None] == data_rows[leaf][None, :]) & lone[leaf]] = -np.inf
+            hit = np.flatnonzero(got.max(1) >= best[q].min(1) - slack[q])
             if len(hit):
-                q = q[hit]
-                both = np.hstack([best[q], got[hit]])
-                where = np.hstack([place[q], np.broadcast_to(leaf, (len(q), len(leaf)))])
-                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                best[q] = np.take_along_axis(both, top, 1)
-                place[q] = np.take_along_axis(where, top, 1)
-    return [p[b > -np.inf] for p, b in zip(place, best)]
+                q, got = q[hit], got[hit]
+                best[q] = -np.partition(-np.hstack([best[q], got]), k - 1, axis=1)[:, :k]
+                i, j = np.nonzero((got >= (best[q].min(1) - slack[q])[:, None]) & (got > -np.inf))
+                found.append((q[i], leaf[j], got[i, j]))
+    who, place, score = (np.concatenate(c) for c in zip(*found))
+    keep = score >= best[who].min(1) - slack[who]
+    who, place = who[keep], place[keep]
+    order = np.argsort(who, kind="stable")
+    return np.split(place[order], np.searchsorted(who[order], np.arange(1, len(queries))))
 
 
 def products(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -281,9 +284,20 @@ def _block(frame: pd.DataFrame, norm: float, k: int) -> pd.DataFrame:
     q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
     out = []
     if len(q) and len(d):
-        v_data = v[d]
-        for i, place in zip(q, _search(v[q], ids[q], v[d], ids[d], norm, k)):
-            out.append((np.full(len(place), ids[i]), ids[d][place], products(v_data[place], v[i])))
+        # equal vectors are searched as one, with their ids in ascending order
+        same = pd.factorize(np.array(frame["v"].to_numpy()[order][d], object))[0]
+        own = np.split(ids[d][np.argsort(same, kind="stable")], np.cumsum(np.bincount(same))[:-1])
+        v_data = v[d][np.unique(same, return_index=True)[1]]
+        low, high = np.array([m[0] for m in own]), np.array([m[-1] for m in own])
+        for at in range(0, len(q), 512):
+            some = q[at : at + 512]
+            for i, place in zip(some, _search(v[some], ids[some], v_data, low, low == high, norm, k)):
+                if len(place):
+                    near = [own[u][own[u] != ids[i]][:k] for u in place]
+                    score = np.repeat(products(v_data[place], v[i]), [len(m) for m in near])
+                    near = np.concatenate(near)
+                    top = np.lexsort((near, -score))[:k]
+                    out.append((np.full(len(top), ids[i]), near[top], score[top]))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 

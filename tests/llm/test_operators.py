@@ -284,6 +284,13 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 # ---- 5
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    rows = [(i, [2.0, 0.0, 0.0] if i % 2 else [0.0, 2.0, 0.0]) for i in range(1, 600)] + [(1000, [1.0, 1.0, 0.0])] + [(i, [0.1, 0.1, 1.0]) for i in range(1001, 1200)]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    got = vectors.nearest(df, k=5, every=100).where("query_id in (100, 1000)").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(100, i, 4.0) for i in (2, 4, 6, 8, 10)] + [(1000, i, 2.0) for i in (1, 2, 3, 4, 5)]
+
+
 def test_near_vectors_at_sixteen_bits(spark, monkeypatch):
     monkeypatch.setattr(vectors, "table_bits", lambda n: 16)  # the keys of four million vectors
     r = np.random.default_rng(5)
