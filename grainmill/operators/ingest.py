@@ -134,8 +134,9 @@ def structural_problem(body: Column) -> Column:
     """Why a text cannot be a query, or null: empty, too long, fences, quotes or brackets that do not pair, a leading pipe, a placeholder."""
     m = masked(body)
     only = F.regexp_replace(m, "[^()\\[\\]{}]", "")
-    for _ in range(12):
-        only = F.regexp_replace(only, "\\(\\)|\\[\\]|\\{\\}", "")
+    # a closing bracket takes its opening one off the stack, at any depth; what stays does not pair
+    pairs = lambda kept, c: c.isin(")", "]", "}") & (F.right(kept, F.lit(1)) == F.translate(c, ")]}", "([{"))
+    only = F.aggregate(F.split(only, ""), F.lit(""), lambda kept, c: F.when(pairs(kept, c), F.left(kept, F.length(kept) - 1)).otherwise(F.concat(kept, c)))
     return (
         F.when(F.trim(body) == "", "empty").when(F.length(body) > MAX_BODY, "too-long").when(F.contains(body, F.lit("```")), "code-fence")
         .when(F.rlike(F.regexp_replace(m, "\"\"", ""), F.lit("[\"']")), "unbalanced-quote").when(only != "", "unbalanced-delimiter")

@@ -207,3 +207,10 @@ def test_array_filter_ignores_case(spark):
     assert h.where(array_has("tables", ["ALPHA"])).count() == 2
     assert h.where(array_has("tables", [])).count() == 2
     assert h.where(array_has("tables", ["beta"])).count() == 0
+
+
+def test_deep_brackets_pair(spark):
+    deep = "([{" * 40 + "}])" * 40
+    rows = [(f"T | where {deep}",), (f"T | where {deep[:-1]}",), ("T | where ([)]",), ("T | where )(",), ("T",)]
+    got = spark.createDataFrame(rows, "body string").select(ingest.structural_problem(F.col("body"))).collect()
+    assert [r[0] for r in got] == [None, *["unbalanced-delimiter"] * 3, None]
