@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.sources.scratch import new_folder as shared_dir
+from grainmill.sources.scratch import remove
+from grainmill.sources.scratch import written as materialize
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local master without that setting gets a temporary folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="grainmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+#: Range of ``drawn``: fine enough for any number of rows a table can have.
+DRAWS = 1 << 62
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def drawn(key: list[Column], seed: str, share: float) -> Column:
+    """True for about ``share`` of all keys, by a hash; at least one chance in DRAWS, however small the share."""
+    draw = F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit(DRAWS - 1))
+    return draw < F.lit(max(1, min(DRAWS, int(DRAWS * share))))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -49,11 +30,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     can be reached; ids without an edge to another id have no row. Every round
     takes the smallest label among the neighbours and then follows labels one
     step, so that long chains need few rounds; each round is written to the
-    shared folder. Joins and minima only: no group is gathered in one task.
+    shared folder, and the one before is deleted. Joins and minima only: no group is gathered in
+    one task. A graph that has not settled after ``max_rounds`` rounds raises an error; nothing is cut off.
     """
+    spark = edges.sparkSession
+    paths = [shared_dir(spark) for _ in range(2)]
+
+    def stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a"))
-    both = materialize(both.distinct())
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "id"))
+    both = stored(both.distinct(), paths[0])
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "id"), paths[1])
     for _ in range(max_rounds):
         near = (
             both.join(labels.select(F.col("id").alias("b"), F.col("l").alias("lb")), "b")
@@ -61,12 +50,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         taken = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("l").alias("old"), F.least("l", "near").alias("l"))
         parent = labels.select(F.col("id").alias("l"), F.col("l").alias("up"))
-        moved = materialize(
-            taken.join(parent, "l", "left").select("id", "old", F.least(F.col("l"), F.coalesce("up", "l")).alias("l"))
-        )
+        paths.append(shared_dir(spark))
+        moved = stored(taken.join(parent, "l", "left").select("id", "old", F.least(F.col("l"), F.coalesce("up", "l")).alias("l")), paths[-1])
+        remove(spark, paths.pop(1))
         labels = moved.select("id", "l")
         if moved.where("l <> old").isEmpty():
+            remove(spark, paths[0])
             return labels.withColumnRenamed("l", "component")
     raise RuntimeError("components did not settle; raise max_rounds")
-
-

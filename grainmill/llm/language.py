@@ -5,27 +5,32 @@ ASCII character that is no letter taken as a blank. A first linear machine (one
 rest) predicts the language family; within a family of several languages linear
 support vector machines, one for each pair, vote by their margins.
 
-Training takes texts and labels only, from at most about ``sample`` labelled training rows,
-chosen by a hash of the id; all statistics of a machine come from that documented sample.
-Prediction reads whole texts, adds up each n-gram's weights and needs no shuffle; the model
+Training takes texts and labels only, from about ``sample`` labelled training rows at most,
+chosen by a hash of the id and shared evenly among the languages, so that a rare one is learned
+from all its rows; all statistics of a machine come from that documented sample. Features are
+counted where the rows are: the driver gets a vector of fixed size for each of them.
+Prediction reads whole texts, a bounded stretch at a time, adds up each n-gram's weights and needs no shuffle; the model
 has a fixed size whatever the corpus.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0. Rows without a label
 train nothing and are predicted. Where no labelled row is left, all are ``und``. A null id
-counts as the empty string in the fold. Repeated rows are predicted alike; an empty table gives no rows.
+counts as the empty string in the fold. Repeated rows are predicted alike, and train once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm.common import drawn
 from grainmill.llm.pieces import frugal
 
 #: Families of languages; fixed values. A language that is not listed is a family of its own.
@@ -37,7 +42,11 @@ FAMILIES = {
 
 UNKNOWN = "und"
 BITS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model can tell apart, at most; more labels than that are no languages, and an error.
+MAX_LANGUAGES = 500
+#: Bytes that are looked at in one step.
+STRETCH = 1 << 18
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -56,17 +65,30 @@ def _keys(data: np.ndarray) -> list[np.ndarray]:
 
 
 def _folded(text: str) -> bytes:
-    return b" " + text.lower().encode("utf-8", "replace") + b" "
+    return PAD + text.lower().encode("utf-8", "replace") + b" "
+
+
+#: Blanks before a text: as many as an n-gram reaches back, so that no text sees the one before it.
+PAD = b" " * len(_SEEDS)
+
+
+def _stretches(data: np.ndarray):
+    """(start, stop, keys) of stretches of the bytes; keys of n-grams that end there."""
+    for at in range(0, len(data), STRETCH):
+        back = min(at, len(PAD))
+        yield at, min(len(data), at + STRETCH), [k[back:] for k in _keys(_FOLD[data[at - back : at + STRETCH]])]
 
 
 def features(texts: list[str]) -> np.ndarray:
     """Mean n-gram counts, a row for each text."""
     out = np.zeros((len(texts), 1 << BITS), np.float32)
     for i, text in enumerate(texts):
-        data = _FOLD[np.frombuffer(_folded(text), np.uint8)]
-        for k in _keys(data):
-            out[i] += np.bincount(k, minlength=1 << BITS)
-        out[i] /= len(data)
+        data = np.frombuffer(_folded(text), np.uint8)
+        total = np.zeros(1 << BITS, np.int64)
+        for at, _, keys in _stretches(data):
+            for k in keys:
+                total += np.bincount(k[max(0, len(PAD) - at) :], minlength=1 << BITS)
+        out[i] = total / (len(data) - len(PAD))
     return out
 
 
@@ -99,12 +121,22 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         raw = [_folded(t) for t in texts]
-        data = _FOLD[np.frombuffer(b"".join(raw), np.uint8)]
+        data = np.frombuffer(b"".join(raw), np.uint8)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        total = np.zeros((len(data), self.weights.shape[1]), np.float32)
-        for k in _keys(data):
-            total += self.weights[k]
-        return np.add.reduceat(total, np.cumsum(size) - size, axis=0, dtype=np.float64) / size[:, None] + self.bias
+        first = np.cumsum(size) - size
+        starts, stops = first + len(PAD), first + size
+        out = np.zeros((len(texts), self.weights.shape[1]))
+        for at, stop, keys in _stretches(data):
+            total = np.zeros((stop - at, self.weights.shape[1]), np.float32)
+            for k in keys:
+                total += self.weights[k]
+            here = np.arange(np.searchsorted(stops, at, "right"), np.searchsorted(starts, stop))
+            if len(here):
+                # the PAD between two texts falls to neither: sums run from a text's start to its stop
+                edges = np.stack([np.maximum(starts[here], at), np.minimum(stops[here], stop)], 1).ravel() - at
+                sums = np.add.reduceat(np.vstack([total, np.zeros((1, total.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)[::2]
+                out[here] += sums
+        return out / (size - len(PAD))[:, None] + self.bias
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         s = self.scores(texts)
@@ -131,9 +163,11 @@ class Model:
 
 def train(texts: list[str], langs: list[str]) -> Model | None:
     """Fits all machines; languages in alphabetical order."""
-    if not texts:
-        return None
-    x, y = features(texts), np.array(langs, object)
+    return fitted_model(features(texts), np.array(langs, object)) if texts else None
+
+
+def fitted_model(x: np.ndarray, y: np.ndarray) -> Model:
+    langs = y.tolist()
     kinds: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         kinds.setdefault(FAMILIES.get(lang, lang), []).append(lang)
@@ -157,17 +191,39 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, sample: int) -> DataFrame:
-    """At most about ``sample`` labelled rows outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    n = rows.select(F.lit(1)).count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20))
-    return rows.where(draw < int((1 << 20) * min(1.0, sample / max(1, n)))).select("text", "lang").limit(2 * sample)
+    """About ``sample`` labelled rows outside the held-out fold at most: of each language an even share, or all it has."""
+    rows = docs.where(F.col("lang").isNotNull() & F.rlike("text", F.lit("\\p{L}")) & (fold(F.col("doc_id")) != 1))
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(many) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    share = sample / max(1, len(many))
+    chosen = F.lit(False)
+    for lang, n in many.items():
+        chosen = chosen | ((F.col("lang") == lang) & drawn([F.col("doc_id")], "train", share / n))
+    found = rows.where(chosen).select("doc_id", "lang", "text")
+    # ids that repeat are drawn alike, so a row counts once however often it repeats
+    key = F.struct(F.xxhash64("doc_id", "text"), "text")
+    return found.groupBy("lang", "doc_id").agg(F.min_by("text", key).alias("text")).select("text", "lang")
 
 
 def fit(docs: DataFrame, sample: int = 2000) -> Model | None:
-    rows = [r for r in training_rows(docs, sample).collect() if _LETTER.search(r["text"])]  # bounded by ``sample``
-    rows.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    """The model of a training sample; None where no row can train."""
+
+    def run(batches):
+        for batch in batches:
+            x = features(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(v).astype("<u2").tobytes() for v in x]), pa.array([v[v != 0].tobytes() for v in x]), batch.column(1)], names=["at", "value", "lang"])
+
+    rows = training_rows(docs, sample).mapInArrow(frugal(run), "at binary, value binary, lang string").collect()  # bounded by ``sample``
+    if not rows:
+        if not docs.where(F.col("lang").isNotNull() & F.rlike("text", F.lit("\\p{L}")) & (fold(F.col("doc_id")) != 1)).isEmpty():
+            raise RuntimeError("no row was drawn for training")
+        return None
+    rows.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
+    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)
+    return fitted_model(x, np.array([r["lang"] for r in rows], object))
 
 
 def _predictions(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
@@ -201,13 +257,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents, as they are, whose language can be told."""
+def recognised(docs: DataFrame, model: Model | None, languages: Sequence[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The documents, as they are, whose predicted language is one of ``languages`` (None: any) with a score of ``least`` or more.
+
+    A null lang becomes the predicted one. ``und`` always goes.
+    """
 
     def run(batches):
         for batch in batches:
-            lang, _ = _predictions(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
+            lang, score = _predictions(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
+            at = batch.schema.get_field_index("lang")
+            told = pc.fill_null(batch.column(at), pa.array(lang, pa.string()).cast(batch.schema.field(at).type))
+            fine = [x != UNKNOWN and (languages is None or x in languages) and s >= least for x, s in zip(lang, score)]
+            yield batch.set_column(at, batch.schema.field(at), told).filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(frugal(run), docs.schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import connected_components, materialize
-from grainmill.llm.pieces import _SPACE, Hasher, frugal, in_batches
+from grainmill.llm.pieces import _SPACE, frugal, in_batches, range_hashes
 
 COORDS, MATCHES = 40, 18
 SHINGLE = 5
@@ -51,13 +51,13 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     start, stop = edge[::2], edge[1::2]
-    word = hasher.ranges(data, start, stop)
+    word = range_hashes(data, start, stop)
     ends = np.cumsum([len(t) + 1 for t in texts])
     last = np.searchsorted(start, ends)
     many = max(0, len(word) - SHINGLE + 1)
@@ -95,12 +95,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, fp1, fp2, sig); sig is null for an empty set."""
 
     def run(batches):
-        hasher = Hasher()
         for batch in batches:
             ids = batch.column(0)
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, z in in_batches(texts, 500_000):
-                sets = shingle_sets(texts[a:z], hasher)
+                sets = shingle_sets(texts[a:z])
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(size)
                 fp = np.zeros((2, len(sets)), np.int64)
@@ -206,13 +205,13 @@ def _forest(alike: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 
 
 def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    hasher, edges = Hasher(), []
+    edges = []
     frame = frame.sort_values(["cluster", "rep", "text"]).drop_duplicates(["cluster", "rep"])
     rep, side, cluster = (frame[c].to_numpy() for c in ("rep", "side", "cluster"))
     sets: list[np.ndarray] = []
     texts = [t.encode("utf-8", "replace") for t in frame["text"]]
     for a, z in in_batches(texts, 500_000):
-        sets += shingle_sets(texts[a:z], hasher)
+        sets += shingle_sets(texts[a:z])
     order = np.argsort(cluster, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
         l, r = at[side[at] != 1], at[side[at] != 0]

@@ -3,7 +3,7 @@
 A piece is a stretch of text whose ids do not depend on what surrounds it, so each
 distinct piece needs encoding once, and a text's ids are those of its pieces in
 order. Only cuts that hold for every text are made; where a rule is unsure, no cut
-is made and the piece grows. Pieces are told apart by 64-bit hashes.
+is made and the piece grows. Pieces are found by 64-bit hashes and then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+#: Bytes that are hashed or compared in one step.
+STRETCH = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -40,33 +40,37 @@ def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind[1:-1], kind[:-2], kind[2:]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, up to n."""
-    up, down = np.empty(n + 1, np.uint64), np.empty(n + 1, np.uint64)
-    up[0] = down[0] = 1
-    np.multiply.accumulate(np.full(n, _BASE), out=up[1:])
-    np.multiply.accumulate(np.full(n, _INVERSE), out=down[1:])
-    return up, down
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on all bits of the 64-bit number."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-class Hasher:
-    """64-bit hashes of byte ranges by differences of one running sum."""
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that are in order and do not overlap.
 
-    def __init__(self) -> None:
-        self._up, self._down = powers(1 << 16)
-
-    def ranges(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        if len(data) >= len(self._up):
-            self._up, self._down = powers(max(len(data), 2 * len(self._up)))
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[data] * self._up[: len(data)], out=total[1:])
-        h = (total[stop] - total[start]) * self._down[start]
-        h ^= (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        return h
+    Each byte and its place in the range give a random number, and these are added up: no text has an
+    algebraic twin, as with polynomials modulo a power of two. Memory is that of one STRETCH.
+    """
+    h = np.zeros(len(start), np.uint64)
+    for lo in range(0, len(data), STRETCH):
+        hi = min(len(data), lo + STRETCH)
+        a, z = np.searchsorted(stop, lo, "right"), np.searchsorted(start, hi, "left")
+        if a >= z:
+            continue
+        s, e = np.maximum(start[a:z], lo), np.minimum(stop[a:z], hi)
+        place = np.arange(s[0], hi) - np.repeat(start[a:z], np.diff(np.append(s, hi)))
+        x = place.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x += _BYTE[data[s[0] : hi]]
+        total = np.zeros(hi - s[0] + 1, np.uint64)
+        np.cumsum(scrambled(x), out=total[1:])
+        h[a:z] += total[e - s[0]] - total[s - s[0]]
+    h ^= (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return scrambled(h)
 
 
 def byte_level_cuts(data: np.ndarray) -> np.ndarray:
@@ -153,61 +157,92 @@ def _appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """What is known of pieces seen before, by hash: ``width`` and a slice of ``flat``.
+    """What is known of pieces seen before: ``width`` and a slice of ``flat`` for each.
 
-    At most ``limit`` pieces are kept; when more come, the table starts anew, so
-    memory stays bounded however many distinct pieces a corpus has.
+    A piece is found by its hash and compared with the bytes that the table holds; one that differs is encoded
+    anew, so no collision gives a wrong result. At most ``limit`` pieces of ``most_bytes`` bytes together are
+    kept; when more come, the table starts anew, so memory stays bounded however many distinct pieces
+    a corpus has. A piece longer than a STRETCH is encoded and not kept.
     """
 
-    def __init__(self, cuts, encode, limit: int = 1_000_000) -> None:
-        self.cuts, self.encode, self.limit, self.hasher = cuts, encode, limit, Hasher()
+    def __init__(self, cuts, encode, limit: int = 1_000_000, most_bytes: int = 1 << 25) -> None:
+        self.cuts, self.encode, self.limit, self.most_bytes = cuts, encode, limit, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index = HashIndex()
-        self.at = np.zeros(0, np.int64)
-        self.width = np.zeros(0, np.int64)
+        self.at, self.width, self.spot, self.size = (np.zeros(0, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(0, np.int32), 0
+        self.raw, self.held = np.zeros(0, np.uint8), 0
 
-    def lookup(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each piece of the texts in order: row of the table; and for each text its first piece and the end."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(x) for x in texts])
-        cut = self.cuts(data)
-        cut[0] = True
-        cut[ends] = True
-        starts = np.flatnonzero(cut)
-        stops = starts[1:]
-        starts = starts[:-1]
-        first = np.searchsorted(starts, np.concatenate([[0], ends]))
-        h = np.maximum(self.hasher.ranges(data, starts, stops), np.uint64(1))
+    def _found(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The row of each piece; pieces lie side by side from the first byte on. -1: another piece has its hash."""
+        h = np.maximum(range_hashes(data, starts, stops), np.uint64(1))
         row = self.index.find(h)
         new = np.flatnonzero(row < 0)
         if len(new):
             keys, where, back = np.unique(h[new], return_index=True, return_inverse=True)
-            if self.index.count and self.index.count + len(keys) > self.limit:
+            if self.index.count and (self.index.count + len(keys) > self.limit or self.held + len(data) > self.most_bytes):
                 self.clear()
                 new = np.arange(len(h))
                 keys, where, back = np.unique(h, return_index=True, return_inverse=True)
             raw, at = data.tobytes(), new[where]
-            width, flat = self.encode([raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+            parts = [raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+            width, flat = self.encode(parts)
             row[new] = self.index.count + back
-            self.at = _appended(self.at, self.index.count, self.used + np.cumsum(width) - width)
-            self.width = _appended(self.width, self.index.count, width)
+            size, n = stops[at] - starts[at], self.index.count
+            self.at = _appended(self.at, n, self.used + np.cumsum(width) - width)
+            self.width = _appended(self.width, n, width)
+            self.spot = _appended(self.spot, n, self.held + np.cumsum(size) - size)
+            self.size = _appended(self.size, n, size)
             self.flat, self.used = _appended(self.flat, self.used, flat), self.used + len(flat)
+            self.raw, self.held = _appended(self.raw, self.held, np.frombuffer(b"".join(parts), np.uint8)), self.held + int(size.sum())
             self.index.add(keys)
-        return row, first[:-1], first[1:]
+        same = self.size[row] == stops - starts
+        if same.all():
+            same &= np.logical_and.reduceat(self.raw[np.repeat(self.spot[row] - starts, stops - starts) + np.arange(len(data))] == data, starts)
+        else:  # hardly ever: then one by one
+            raw = data.tobytes()
+            for i in np.flatnonzero(same).tolist():
+                same[i] = self.raw[self.spot[row[i]] : self.spot[row[i]] + self.size[row[i]]].tobytes() == raw[starts[i] : stops[i]]
+        return np.where(same, row, -1)
+
+    def lookup(self, texts: list[bytes], with_ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Width of each piece of the texts in order, their ids in order (if asked for), and for each text its first piece and the end."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(x) for x in texts])
+        cut = self.cuts(data)
+        cut[0] = True
+        cut[ends] = True
+        starts = np.flatnonzero(cut)
+        stops = starts[1:]
+        starts = starts[:-1]
+        first = np.searchsorted(starts, np.concatenate([[0], ends]))
+        widths, ids, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+        while at < len(starts):
+            z = max(at + 1, int(np.searchsorted(stops, starts[at] + STRETCH, "right")))
+            some = data[starts[at] : stops[z - 1]]
+            a, b = starts[at:z] - starts[at], stops[at:z] - starts[at]
+            row = self._found(some, a, b) if len(some) <= STRETCH else np.full(z - at, -1)
+            width, odd = self.width[row] if self.index.count else np.zeros(z - at, np.int64), np.flatnonzero(row < 0)
+            begin = self.at[row] if self.index.count else np.zeros(z - at, np.int64)
+            flat = self.flat
+            if len(odd):
+                raw = some.tobytes()
+                width[odd], more = self.encode([raw[x:y] for x, y in zip(a[odd].tolist(), b[odd].tolist())])
+                begin[odd] = self.used + np.cumsum(width[odd]) - width[odd]
+                flat = np.concatenate([self.flat[: self.used], more])
+            widths.append(width)
+            if with_ids and width.any():
+                ids.append(flat[np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())])
+            at = z
+        return np.concatenate(widths), np.concatenate(ids), first[:-1], first[1:]
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and each text's number of ids."""
-        row, first, stop = self.lookup(texts)
-        width = self.width[row]
+        width, ids, first, stop = self.lookup(texts, True)
         total = np.concatenate([[0], np.cumsum(width)])
-        n = total[stop] - total[first]
-        if not total[-1]:
-            return np.zeros(0, np.int32), n
-        step = np.repeat(self.at[row] - total[:-1], width)
-        return self.flat[step + np.arange(total[-1])], n
+        return ids, total[stop] - total[first]
 
 
 def in_batches(texts: list[bytes], most: int = 500_000):

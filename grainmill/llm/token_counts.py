@@ -7,7 +7,7 @@ occurrences are merged, for all pre-tokens at the same time; a pre-token without
 pair that merges has its number of surviving symbols as count.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens). Repeated rows are counted
-each. Other columns are not read. A null id is passed on.
+each. Other columns are not read. A null id is passed on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -142,8 +142,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
             texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
             n = np.zeros(len(texts), np.int64)
             for a, z in in_batches(texts):
-                row, first, stop = table.lookup(texts[a:z])
-                total = np.concatenate([[0], np.cumsum(table.width[row])])
+                width, _, first, stop = table.lookup(texts[a:z])
+                total = np.concatenate([[0], np.cumsum(width)])
                 n[a:z] = total[stop] - total[first]
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])

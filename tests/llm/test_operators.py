@@ -188,6 +188,36 @@ def test_token_counts_of_random_texts(spark):
     assert got == {i: len(ids) for i, ids in encoded("byte_bpe_50k.json", rows, [])}
 
 
+def _twins(n):
+    """Two texts that every polynomial hash modulo 2**64 takes for one: the Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_crafted_and_long_texts(spark):
+    one, two = _twins(4096)
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, "x" * 1_300_000), (5, "漢" * 600_000), (6, "y " * 700_000), (7, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = dict(encoded("byte_bpe_50k.json", rows, []))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    assert got == {i: len(x) for i, x in want.items()}
+    table = token_store.piece_table(P.path("byte_bpe_50k.json"))
+    for i, text in rows[:3]:
+        assert table.ids([text.encode()])[0].tolist() == want[i]
+    assert not set(neardup.shingle_sets([one.encode()])[0]) & set(neardup.shingle_sets([two.encode()])[0])
+
+
+def test_equal_hashes_do_not_mix_pieces(monkeypatch):
+    from grainmill.llm import pieces
+
+    monkeypatch.setattr(pieces, "range_hashes", lambda data, start, stop: (stop - start).astype(np.uint64) % np.uint64(3) * np.uint64(2**61) + np.uint64(1))
+    table = pieces.PieceTable(pieces.word_level_cuts, lambda parts: (np.array([2] * len(parts)), np.array([x for p in parts for x in (len(p), sum(p))], np.int32)), limit=4)
+    texts = [b"aa bb c", b"ddddd aa", b"", b"bb aa ddddd e"]
+    ids, n = table.ids(texts)
+    want = [x for t in texts for p in re.findall(rb"\s+|\S+", t) for x in (len(p), sum(p))]
+    assert ids.tolist() == want and n.tolist() == [10, 6, 0, 14]
+
+
 def check_packing(got, want_rows, capacity=4096):
     want = collections.Counter()
     for i, ids in encoded("word_bpe_49k.json", want_rows, [1]):
@@ -322,6 +352,30 @@ def test_language(spark, odd, empty, sf):
     assert [(r["lang_pred"], r["score"]) for r in language.identified(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_language_of_long_texts_and_rare_languages(spark, monkeypatch, sf):
+    docs = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
+    model = language.fit(docs)
+    texts = [r["text"] for r in docs.where("text is not null").limit(40).collect()]
+    texts = ["", *texts, " ".join(texts), "½ 12"]
+    alone = np.concatenate([model.scores([t]) for t in texts])
+    monkeypatch.setattr(language, "STRETCH", 100)  # texts are cut often, at any place, and stand beside one another
+    np.testing.assert_allclose(model.scores(texts), alone, atol=1e-4)
+    np.testing.assert_allclose(language.features(texts[1:4]).sum(1), 4, rtol=1e-4)
+    rare = docs.withColumn("lang", F.when(F.col("doc_id") == 0, "xx").otherwise(F.col("lang")))
+    assert {r["lang"] for r in language.training_rows(rare, 40).collect()} == {"xx", "en", "de", "fr", "es"}
+    assert language._predictions(["½ 12", None, "ab"], model)[0][:2] == ["und", "und"]
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    from grainmill.llm.common import drawn
+
+    ids = spark.range(1_000_000)
+    assert 300 < ids.where(drawn([F.col("id")], "s", 5e-4)).count() < 700
+    assert ids.where(drawn([F.col("id")], "s", 1.0)).count() == 1_000_000
+    text = str(drawn([F.col("id")], "s", 2000 / 1e12))  # the threshold of a sample of 2,000 of a trillion rows
+    assert text and int((1 << 62) * 2000 / 1e12) > 1e9
+
+
 # ---- 6
 
 
