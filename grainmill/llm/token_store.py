@@ -3,6 +3,7 @@
 Format. A store is a Parquet folder with a row for each shard:
   part, seq     order of the shards: parts follow the documents' order
   n_docs, n_ids documents and ids in the shard
+  low, high     smallest and largest document id (null where all are null): Parquet's statistics prune shards by them
   doc_ids       the documents' ids (null allowed), as array
   symbols       the shard's compressed sequence, little-endian uint32
   doc_symbols   number of symbols of each document, uint32
@@ -13,8 +14,9 @@ two documents, so a document is decoded from its own symbols alone, and the
 lengths tell where an id lies without expanding what comes before it.
 
 Compression follows Re-Pair (Larsson and Moffat) in rounds: each round counts the
-pairs of a shard in a hash table, makes rules of the most frequent ones and
-replaces their occurrences that do not overlap.
+pairs of a shard in a hash table, and replaces occurrences that do not overlap, those of the more frequent
+pairs first, wherever a rule is used often enough to pay. Rounds go on until an exact count finds no
+pair that occurs ``LEAST`` times; neither rounds nor rules are limited.
 
 Nulls: a null text is empty (the end id alone). Null ids come first. Repeated rows
 are stored each. Order among equal ids is that of their texts. An empty table
@@ -24,6 +26,7 @@ gives an empty store.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,56 +39,81 @@ from grainmill.llm.library_tokens import piece_table
 from grainmill.llm.pieces import frugal, in_batches
 
 STORE = (
-    "part int, seq int, first_rule int, n_docs int, n_ids bigint, doc_ids array<bigint>, symbols binary, "
+    "part int, seq int, first_rule int, n_docs int, n_ids bigint, low bigint, high bigint, doc_ids array<bigint>, symbols binary, "
     "doc_symbols binary, rules binary, lengths binary"
 )
-_SLOTS = 20
+#: A pair that occurs this often becomes a rule; one that is used less often than USES would cost more than it saves.
+LEAST, USES = 8, 4
 
 
-def compress(ids: np.ndarray, n: np.ndarray, first_rule: int, rounds: int = 4, rules_per_round: int = 4096, least: int = 8):
-    """Re-Pair in rounds. Returns symbols, symbols of each document, rules and expansion lengths."""
+def _counted(key: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts pairs in a hash table whose slots hold one pair each, with another hash function each step.
+
+    Gives each place's slot, whether the slot holds the place's pair, and for each slot its pair and count.
+    """
+    bits = int(np.clip(np.log2(len(key)) + 1, 8, 20))
+    slot = ((key * np.uint64((0x9E3779B97F4A7C15 * (2 * step + 1)) % 2**64)) >> np.uint64(64 - bits)).view(np.int64)
+    holder = np.zeros(1 << bits, np.uint64)
+    holder[slot] = key
+    own = holder[slot] == key
+    return slot, own, holder, np.bincount(slot[own], minlength=1 << bits)
+
+
+def _apart(place: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which of the places, in order, to replace: those that outweigh both neighbours, and every second one of a run of one pair (a a a a)."""
+    beside = np.diff(place) == 1
+    left, right = np.append(0, np.where(beside, w[:-1], 0)), np.append(np.where(beside, w[1:], 0), 0)
+    begin = left != w
+    run = np.cumsum(begin) - 1
+    first = np.flatnonzero(begin)
+    return ((np.arange(len(w)) - first[run]) % 2 == 0) & (w[first] > left[first])[run] & (w >= right)
+
+
+def compress(ids: np.ndarray, n: np.ndarray, first_rule: int, least: int = LEAST, uses: int = USES):
+    """Re-Pair in rounds. Returns symbols, symbols of each document, rules and expansion lengths.
+
+    A pair that was counted and is rare stays rare, so a round counts only pairs with a new symbol and those
+    that had no slot yet; when none is left, no pair is frequent.
+    """
     sym = ids.astype(np.uint32)
     doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    rules, lengths, following = [], np.zeros(0, np.uint32), first_rule
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
-        key = sym[:-1].astype(np.uint64)
-        key <<= np.uint64(32)
-        key |= sym[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).view(np.int64)
-        holder = np.zeros(1 << _SLOTS, np.uint64)
-        holder[slot] = key  # a slot counts one of its pairs; another has its turn in a later round
-        own = holder[slot] == key
-        own &= doc[:-1] == doc[1:]
-        count = np.bincount(slot[own], minlength=1 << _SLOTS)
+    open_ = np.append(doc[:-1] == doc[1:], False)[: len(doc)]  # places whose pair may be frequent
+    rules, lengths, following, step = [], np.ones(first_rule, np.uint32), first_rule, 0
+    while len(at := np.flatnonzero(open_)):
+        key = (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
+        slot, own, holder, count = _counted(key, step)
+        step += 1
+        open_[at[own & (count[slot] < least)]] = False
         top = np.flatnonzero(count >= least)
         if not len(top):
-            break
-        top = top[np.argsort(count[top], kind="stable")[-rules_per_round:]]
-        weight = np.zeros(1 << _SLOTS, np.int32)
+            continue
+        top = top[np.argsort(count[top], kind="stable")]
+        weight = np.zeros(len(count), np.int32)
         weight[top] = np.arange(1, len(top) + 1)
-        w = weight[slot]
-        w *= own
-        hit = w > 0
-        hit[1:] &= w[1:] > w[:-1]
-        hit[:-1] &= w[:-1] >= w[1:]
-        spot = np.flatnonzero(hit)
-        chosen = np.bincount(w[spot], minlength=len(top) + 1) > 0
-        number = (np.cumsum(chosen) - 1)[w[spot]]
-        used = top[np.flatnonzero(chosen) - 1]
-        pair = holder[used]
+        w = weight[slot] * own
+        place, w = at[w > 0], w[w > 0]
+        hit = _apart(place, w)
+        place, w = place[hit], w[hit] - 1
+        many = np.bincount(w, minlength=len(top))
+        keep = many >= uses
+        keep[np.argmax(many)] = True  # a round makes one rule at least, so rounds end
+        place, w, pair = place[keep[w]], w[keep[w]], holder[top[keep]]
         a, b = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size = lambda s: np.where(s < first_rule, 1, lengths[np.maximum(s.astype(np.int64) - first_rule, 0)] if len(lengths) else 1)
-        lengths = np.concatenate([lengths, (size(a) + size(b)).astype(np.uint32)])
+        lengths = np.concatenate([lengths, lengths[a] + lengths[b]])
         rules.append(np.stack([a, b], 1))
-        sym[spot] = following + number.astype(np.uint32)
+        sym[place] = following + (np.cumsum(keep) - 1)[w].astype(np.uint32)
+        following += len(pair)
         stay = np.ones(len(sym), bool)
-        np.logical_not(hit, out=stay[1:])
-        sym, doc = sym[stay], doc[stay]
-        following += len(used)
+        stay[place + 1] = False
+        kept = np.cumsum(stay) - 1
+        sym, doc, open_ = sym[stay], doc[stay], open_[stay]
+        new = kept[place]
+        for i in (new, new[new > 0] - 1):
+            i = i[i + 1 < len(sym)]
+            open_[i] = doc[i] == doc[i + 1]
+        open_[-1] = False
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sym, np.bincount(doc, minlength=len(n)).astype(np.uint32), flat, lengths
+    return sym, np.bincount(doc, minlength=len(n)).astype(np.uint32), flat, lengths[first_rule:]
 
 
 def decompress(sym: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +167,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, sh
             nonlocal held, size, seq
             ids, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             sym, doc_symbols, rules, lengths = compress(ids, n, first_rule)
+            docs_ = [d for h in held for d in h[2]]
+            known = [d for d in docs_ if d is not None]
             row = {
-                "part": part, "seq": seq, "first_rule": first_rule, "n_docs": len(n), "n_ids": len(ids), "doc_ids": [d for h in held for d in h[2]],
+                "part": part, "seq": seq, "first_rule": first_rule, "n_docs": len(n), "n_ids": len(ids), "doc_ids": docs_, "low": min(known, default=None), "high": max(known, default=None),
                 "symbols": sym.astype("<u4").tobytes(), "doc_symbols": doc_symbols.astype("<u4").tobytes(),
                 "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(),
             }
@@ -165,7 +195,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, sh
 
 
 _ARROW = pa.schema([
-    ("part", pa.int32()), ("seq", pa.int32()), ("first_rule", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("seq", pa.int32()), ("first_rule", pa.int32()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("symbols", pa.binary()), ("doc_symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()),
 ])
 
@@ -195,6 +225,51 @@ def read_store(spark, path: str, with_ids: bool = True) -> DataFrame:
     return spark.read.schema(STORE).parquet(path).mapInArrow(frugal(run), kind)
 
 
+def read_ids(spark, path: str, wanted: Sequence[int], start: int = 0, length: int | None = None) -> DataFrame:
+    """Rows (doc_id, ids) of some documents, or of the ids from ``start`` on, ``length`` of them at most.
+
+    Shards that hold none of the documents are skipped by their statistics. In a shard, expansion lengths tell which symbols cover
+    the range; only those are expanded.
+    """
+    wanted = sorted(set(wanted))
+    if not wanted:
+        return spark.createDataFrame([], "doc_id bigint, ids array<int>")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4")
+                width = np.concatenate([np.ones(row["first_rule"], np.int64), lengths])
+                upto = np.concatenate([[0], np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))])
+                for i, d in enumerate(row["doc_ids"]):
+                    if d in wanted:
+                        sym = np.frombuffer(row["symbols"], "<u4")[upto[i] : upto[i + 1]]
+                        stop = np.cumsum(width[sym])
+                        end = int(stop[-1]) if length is None else min(int(stop[-1]), start + length)
+                        a, z = np.searchsorted(stop, start, "right"), np.searchsorted(stop, end) + 1
+                        got = expanded(sym[a:z], rules, row["first_rule"]) if end > start else []
+                        skip = start - int(stop[a - 1]) if a and end > start else start
+                        out.append({"doc_id": d, "ids": got[skip : skip + max(0, end - start)]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    near = (F.col("high") >= wanted[0]) & (F.col("low") <= wanted[-1])
+    here = F.arrays_overlap("doc_ids", F.array(*map(F.lit, wanted)))
+    return spark.read.schema(STORE).parquet(path).where(near & here).mapInArrow(frugal(run), "doc_id bigint, ids array<int>")
+
+
+def expanded(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> list[int]:
+    """The ids of a few symbols, without expanding any other rule."""
+    out, todo = [], symbols[::-1].tolist()
+    while todo:
+        s = todo.pop()
+        if s < first_rule:
+            out.append(s)
+        else:
+            todo += [int(rules[s - first_rule, 1]), int(rules[s - first_rule, 0])]
+    return out
+
+
 def with_starts(spark, path: str, rows: DataFrame) -> DataFrame:
     """Adds ``start``, the number of ids of all documents before: parts first, then shards of a part, then the shard."""
     heads = spark.read.schema(STORE).parquet(path).select("part", "seq", "n_ids")

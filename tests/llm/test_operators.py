@@ -164,7 +164,7 @@ def test_re_pair_round_trip(seed):
     r = np.random.default_rng(seed)
     n = r.integers(0, 60, 30)
     ids = r.integers(0, 2 + 4 * seed, n.sum()).astype(np.int32)
-    sym, per_doc, rules, lengths = token_store.compress(ids, n, 1000, rounds=5, least=2)
+    sym, per_doc, rules, lengths = token_store.compress(ids, n, 1000, least=2, uses=1)
     back, width = token_store.decompress(sym, rules, lengths, 1000)
     assert (back == ids).all() and per_doc.sum() == len(sym)
     first = np.concatenate([[0], np.cumsum(per_doc)]).astype(int)
@@ -173,6 +173,36 @@ def test_re_pair_round_trip(seed):
         assert (some == ids[n[:d].sum() : n[: d + 1].sum()]).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_re_pair_leaves_no_frequent_pair(seed):
+    """With the production minimum: passages that repeat, long runs of one id, and text-like ids."""
+    r = np.random.default_rng(seed)
+    parts = [np.tile(r.integers(0, 5000, 512), 60), np.full(3000, 7), np.tile([1, 2, 1], 500), (r.zipf(1.3, 30_000) % 4000)]
+    n = np.array([len(p) for p in parts])
+    ids = np.concatenate(parts).astype(np.int32)
+    sym, per_doc, rules, lengths = token_store.compress(ids, n, 1 << 17)
+    back, _ = token_store.decompress(sym, rules, lengths, 1 << 17)
+    assert (back == ids).all()
+    owner = np.repeat(np.arange(4), per_doc)
+    pairs = collections.Counter(zip(sym[:-1][owner[:-1] == owner[1:]].tolist(), sym[1:][owner[:-1] == owner[1:]].tolist()))
+    assert max(pairs.values()) < token_store.LEAST
+    assert per_doc[0] <= 60 and per_doc[1] < 40 and lengths.max() >= 512
+
+
+def test_store_decodes_single_documents_and_ranges(spark, sf):
+    from grainmill.llm.common import shared_dir
+
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet"), shared_dir(spark)
+    token_store.write_store(docs, P.path("byte_bpe_50k.json"), 2, path, shard_ids=20_000)
+    want = dict(encoded("byte_bpe_50k.json", [(r["doc_id"], r["text"]) for r in docs.collect()], [2]))
+    some = sorted(want, key=lambda i: len(want[i]))[-3:] + [0]
+    assert {r["doc_id"]: list(r["ids"]) for r in token_store.read_ids(spark, path, some).collect()} == {i: want[i] for i in some}
+    for start, length in ((0, 5), (17, 40), (1000, 333), (10**6, 2)):
+        got = {r["doc_id"]: list(r["ids"]) for r in token_store.read_ids(spark, path, some, start, length).collect()}
+        assert got == {i: want[i][start : start + length] for i in some}
+    assert token_store.read_ids(spark, path, []).count() == 0
+
+
 def test_token_counts(odd, empty):
     got = token_counts.token_counts(odd, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     want = collections.Counter((i, len((t or "").encode()), len(ids), len(ids) > 512) for (i, ids), t in zip(encoded("byte_bpe_50k.json", [(r[0], r[1]) for r in awkward()], []), [r[1] for r in awkward()]))
