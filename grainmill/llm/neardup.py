@@ -7,17 +7,22 @@
    similarity of 0.75 agree in fewer than ``MATCHES`` of 40 coordinates with a probability
    of about 1 in 100,000. So a representative that shares s posted values can skip
    the MATCHES - 1 most frequent of them (prefix): a pair with enough collisions still meets
-   in the first s - MATCHES + 1, in ascending order of list length.
-3. Each prefix list names its most connected member as head; lists that overlap, by member and
-   head, form clusters. Pairs are compared only within clusters: small ones many
-   in a task, large ones in blocks, a task for each two blocks. There
-   collisions are counted, pairs below MATCHES skipped, the others confirmed on full
-   sets, and a spanning forest of the links is returned, not all pairs.
-4. Components of the links, and of the classes, give each document its component.
+   in one of the first s - MATCHES + 1 lists, in ascending order of length.
+3. Each list names its most connected member as head. First every representative is compared with one head only, the
+   most connected of its lists: collisions are counted, and pairs of MATCHES or more confirmed on full
+   sets. That joins a group of near copies with a comparison for each member.
+4. Lists whose members all are joined by now are skipped. In the others collisions are counted
+   between members not joined yet, lists of one head together; pairs below MATCHES are dropped, the others confirmed on full sets.
+   Small lists share a task; long ones are cut into blocks, a task for each two blocks.
+   Tasks return spanning forests of the links, not all pairs.
+5. Components of the links, and of the classes, give each document its component.
+
+Members of different lists never meet, so a long chain of documents that are each like the next costs
+as many comparisons as its lists are long. All members of one list are compared only where they are neither equal nor joined by a head.
 
 Nulls: a null or empty text, or one of white space alone, has an empty set and links with nothing; it is its
 own component. A row without an id links with nothing, and component_id and kept are null.
-Rows that repeat an id are one node. An empty table gives no rows. Extra columns are not read.
+Rows that repeat an id are one node with the links of all their texts. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -128,11 +133,23 @@ def prefix_posts(reps: DataFrame) -> DataFrame:
     return ranked.where((F.col("s") >= MATCHES) & (F.col("r") <= F.col("s") - MATCHES + 1)).select("rep", "key", "weight")
 
 
-def clusters(posts: DataFrame) -> DataFrame:
-    """Rows (rep, cluster): members of overlapping lists."""
+def list_heads(posts: DataFrame) -> DataFrame:
+    """Rows (key, head, weight, n) of lists of several members; the head is the member that shares the most posts."""
     heads = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = posts.join(heads.select("key", (-F.col("h.r")).alias("head")), "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    return connected_components(edges).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    return heads.select("key", (-F.col("h.r")).alias("head"), F.col("h.weight").alias("weight"), "n")
+
+
+def stars(posts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (rep, head): for each representative the most connected head of its lists, if that is another one."""
+    best = posts.select("rep", "key").join(heads, "key").groupBy("rep").agg(F.max(F.struct("weight", (-F.col("head")).alias("h"))).alias("b"))
+    return best.select("rep", (-F.col("b.h")).alias("head")).where("rep <> head")
+
+
+def unjoined_lists(posts: DataFrame, heads: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (rep, head, part): members of lists with members of different parts, by the list's head; ``joined`` has rep and part."""
+    members = posts.select("rep", "key").join(joined, "rep", "left").select("rep", "key", F.coalesce("part", "rep").alias("part"))
+    mixed = members.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a <> z").join(heads.select("key", "head"), "key").select("key", "head")
+    return members.join(mixed, "key").select("rep", "head", "part").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
@@ -166,9 +183,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int =
     return out
 
 
-def _alike(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """True where 100 * intersection >= percent * union, among pairs with enough collisions."""
+def _alike(left: list[np.ndarray], right: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> np.ndarray:
+    """True where 100 * intersection >= percent * union, among pairs with enough collisions (and ``apart``)."""
     near = overlaps(list(np.sort(signatures(left), 1)), list(np.sort(signatures(right), 1))) >= MATCHES
+    if apart is not None:
+        near &= apart
     rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
     out = np.zeros(near.shape, bool)
     if len(rows):
@@ -204,52 +223,101 @@ def _forest(alike: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label) if i != k]
 
 
-def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    edges = []
-    frame = frame.sort_values(["cluster", "rep", "text"]).drop_duplicates(["cluster", "rep"])
-    rep, side, cluster = (frame[c].to_numpy() for c in ("rep", "side", "cluster"))
-    sets: list[np.ndarray] = []
+def _sets(frame: pd.DataFrame) -> list[np.ndarray]:
     texts = [t.encode("utf-8", "replace") for t in frame["text"]]
-    for a, z in in_batches(texts, 500_000):
-        sets += shingle_sets(texts[a:z])
-    order = np.argsort(cluster, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+    return [s for a, z in in_batches(texts, 500_000) for s in shingle_sets(texts[a:z])]
+
+
+def _groups(*keys: np.ndarray) -> list[np.ndarray]:
+    """Positions of each group of equal keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return np.split(order, np.flatnonzero(new))
+
+
+def _compare_with_heads(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges (a, b) from members to the head they are like; side 1 is the head's own text."""
+    frame = frame.drop_duplicates(["head", "rep", "text"])
+    sets, edges = _sets(frame), []
+    rep, side, head = (frame[c].to_numpy() for c in ("rep", "side", "head"))
+    for at in _groups(head):
+        l, r = at[side[at] == 0], at[side[at] == 1]
+        if len(l) and len(r):
+            alike = _alike([sets[i] for i in l], [sets[i] for i in r], percent).any(1)
+            edges += [(int(rep[i]), int(head[i])) for i in l[alike]]
+    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+
+def _compare(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges (a, b) of spanning forests of the links between members of different parts."""
+    frame = frame.drop_duplicates(["head", "rep", "text"]).sort_values(["head", "rep"])
+    sets, edges = _sets(frame), []
+    rep, side, head, part = (frame[c].to_numpy() for c in ("rep", "side", "head", "part"))
+    for at in _groups(head):
         l, r = at[side[at] != 1], at[side[at] != 0]
         if len(l) and len(r):
-            edges += _forest(_alike([sets[i] for i in l], [sets[i] for i in r], percent), rep[l], rep[r])
+            alike = _alike([sets[i] for i in l], [sets[i] for i in r], percent, part[l][:, None] != part[r][None, :])
+            edges += _forest(alike, rep[l], rep[r])
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between representatives; ``members`` has rep, cluster and n_shingles."""
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+def _texts_of(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """The texts of the ids in ``wanted`` (rep and more), each different text of an id once."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    if repeated:
+        texts = texts.join(wanted.select("rep").distinct(), "rep", "left_semi").distinct()
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "rep")
+
+
+def star_links(docs: DataFrame, pairs: DataFrame, repeated: bool, percent: int) -> DataFrame:
+    """Edges (a, b) of the pairs (rep, head) that are alike. The members of a large star meet copies of its head in several tasks."""
+    size = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    sides = pairs.join(size, "head").select("rep", "head", "salts", F.array(F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).alias("salt"), F.lit(0).alias("side"))
+    own = size.select(F.col("head").alias("rep"), "head", "salts", F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(1).alias("side"))
+    wanted = materialize(sides.unionByName(own))
+    spread = F.lit(max(1, wanted.count() // 500))
+    task = F.when(F.col("salts") == 1, F.pmod(F.xxhash64("head"), spread)).otherwise(F.xxhash64("head", "s"))
+    rows = _texts_of(docs, wanted, repeated).withColumn("s", F.explode("salt")).select(task.alias("task"), "rep", "head", "side", "text")
+    return rows.groupBy("task").applyInPandas(lambda frame: _compare_with_heads(frame, percent), "a bigint, b bigint")
+
+
+def list_links(docs: DataFrame, members: DataFrame, repeated: bool, percent: int) -> DataFrame:
+    """Edges (a, b) between members (rep, head, part, n_shingles) of lists of one head."""
+    size = members.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     size = size.where("n > 1").withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    members = materialize(members.join(size.select("cluster", "blocks"), "cluster"))
-    n = members.count()
-    wanted = members if n > BROADCAST_IDS else F.broadcast(members)
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    members = materialize(members.join(size.select("head", "blocks"), "head"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # side 0 and 1: first and second block of a task; 2: both, where a block meets itself
     other = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x = block, 2, if(block < x, 0, 1))))")
-    spread = F.lit(max(1, n // 500))
-    tasks = texts.withColumn("block", block).withColumn("t", F.explode(other)).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), spread)).otherwise(F.xxhash64("cluster", "t.i", "t.j")).alias("task"), "rep", "cluster", "text", F.col("t.side").alias("side")
-    )
-    return tasks.groupBy("task").applyInPandas(lambda frame: _compare(frame, percent), "a bigint, b bigint")
+    spread = F.lit(max(1, members.count() // 500))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("head"), spread)).otherwise(F.xxhash64("head", "t.i", "t.j"))
+    rows = _texts_of(docs, members, repeated).withColumn("block", block).withColumn("t", F.explode(other))
+    rows = rows.select(task.alias("task"), "rep", "head", "part", "text", F.col("t.side").alias("side"))
+    return rows.groupBy("task").applyInPandas(lambda frame: _compare(frame, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept)."""
     prints = materialize(fingerprints(docs))
     full = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows_"), F.count_distinct("doc_id").alias("ids"))
     classes = materialize(classes)
+    repeated = not classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("rows_") > F.col("ids")).alias("same")).where("n > 1 or same").isEmpty()
     posts = materialize(prefix_posts(classes.select("rep", "sig")))
-    found = clusters(posts)
-    members = found.join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
-    edges = materialize(links(docs, members, percent))
-    component = connected_components(edges).select(F.col("id").alias("rep"), "component")
-    named = classes.join(component, "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    heads = materialize(list_heads(posts))
+    first = materialize(star_links(docs, stars(posts, heads), repeated, percent))
+    parts = connected_components(first).select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+    rest = unjoined_lists(posts, heads, parts).join(sizes, "rep")
+    rest = materialize(list_links(docs, rest, repeated, percent))
+    # links between parts join whole parts
+    of = lambda side: parts.select(F.col("rep").alias(side), F.col("part").alias(f"{side}_"))
+    between = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    whole = connected_components(between).select(F.col("id").alias("part"), "component")
+    named = classes.select("fp1", "fp2", "n_shingles", "rep").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")).join(whole, "part", "left")
+    named = named.select("fp1", "fp2", "n_shingles", F.coalesce("component", "part").alias("component_id"))
     rows = prints.drop("sig").join(named, ["fp1", "fp2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))

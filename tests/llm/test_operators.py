@@ -116,6 +116,46 @@ def test_near_duplicate_blocks(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def _window_chain(n, step, width=40):
+    """Texts that slide over one long text: each is like the next few, the ends have nothing in common."""
+    w = [f"w{i}" for i in range(n * step + width)]
+    return [(i, " ".join(w[i * step : i * step + width])) for i in range(n)]
+
+
+def test_near_duplicate_chain_is_not_compared_whole(spark, monkeypatch):
+    """A chain of documents is one component, found without comparing each with each."""
+    pairs, inner, n = [], neardup.list_links, 4000
+
+    def counted(docs, members, *rest):
+        pairs.append(members.groupBy("head").count().agg(F.sum(F.col("count") ** 2)).first()[0] or 0)
+        return inner(docs, members, *rest)
+
+    monkeypatch.setattr(neardup, "list_links", counted)
+    docs = spark.createDataFrame(_window_chain(n, 3), "doc_id long, text string").repartition(4)
+    got = {r["component_id"]: r["n"] for r in neardup.near_duplicates(docs).groupBy("component_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: n} and 0 < pairs[0] < n * 400
+
+
+def test_near_duplicates_below_and_at_the_threshold(spark):
+    """Clusters whose members are not all like one head; texts that share an id; all as brute force."""
+    r, rows = random.Random(8), []
+    for c in range(12):
+        base = words(80, 300 + c).split()
+        for i in range(25):
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"edit{r.randint(0, 99)}"
+            rows.append((1000 * c + i, " ".join(w)))
+    rows += [(20_000 + i, t) for i, t in _window_chain(120, 2)]
+    want = brute_groups(rows)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    a, b = words(50, 71), words(50, 72)
+    twice = [(1, a), (2, b), (5, a + " x"), (5, b + " y"), (5, b + " y"), (9, "other words of no use here at all")]
+    rows = neardup.near_duplicates(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in rows} == {(1, 1), (2, 1), (5, 1), (9, 9)} and len(rows) == 6
+
+
 def test_overlaps_counts_frequent_and_rare_values():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 90, r.integers(1, 60)).astype(np.uint64)) for _ in range(90)]
