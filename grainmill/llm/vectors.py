@@ -2,9 +2,11 @@
 
 Vectors that are null or empty, have a null or non-finite component, or are zero take no part:
 operator 4 gives them a row of their own without links, operator 10 no row. Vectors of another
-length than most take no part either. A null id takes no part (operator 4: null component). Rows that repeat an id count
-as separate vectors with the same id; they are no links of themselves, and their links are counted together. Ties go to the
-smaller id. Empty tables give no rows.
+length than most take no part either. A null id takes no part (operator 4: null component).
+Equal vectors are one class everywhere, so copies cost nothing but their count. Rows that repeat an
+id count as vectors of their own: operator 4 gives each row the links of its own vector, and their id is one node of the
+components; operator 10 takes no row with the query's id for a candidate. Ties go to the
+smaller id. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,49 +16,59 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from grainmill.llm.common import connected_components, materialize
+from grainmill.llm.common import connected_components, drawn, materialize
 
-#: Vectors that fit the rotations, at most about.
-FIT_SAMPLE = 4096
+#: Vectors that fit the rotations, and that give the cuts of the kd-tree of cells, at most about.
+FIT_SAMPLE, CUT_SAMPLE = 4096, 1 << 16
 #: Hamming tables of balanced codes; the tables of random_tables come on top.
 TABLES = 12
 #: Probability that a pair exactly at the threshold meets in none of the random tables, however many bits a key has.
 MISS = 0.01
-BLOCK = 2048
+#: Vectors of a bucket that are compared in one task, and about the number a bucket should have.
+BLOCK, BUCKET = 2048, 256
+#: Standard deviations that the Hamming distance of a pair at the threshold may lie above its mean (1 in 30,000 does).
+SLACK = 4.0
+#: Candidates for each vector of a bucket beyond which a task does not name them but asks for the vectors.
+DENSE = 8
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """Rows (vec_id, v) with v the components as little-endian doubles, of usable vectors only."""
+    """Rows (vec_id, v), written; v has the components as little-endian floats or doubles, and is null where a vector takes no part."""
+    kind = "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = x.values
-                if i is None or values is None or not len(values) or values.null_count:
-                    continue
-                v = values.to_numpy(zero_copy_only=False).astype("<f8")
-                if np.isfinite(v).all() and v.any():
-                    ids.append(i)
-                    out.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
-
-    found = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id bigint, v binary")
-    found = materialize(found)
-    widths = found.groupBy(F.octet_length("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
-    return found.where(F.octet_length("v") == (widths["w"] if widths else 0))
-
-
-def matrix(values) -> np.ndarray:
+            ids, lists = batch.column(0), batch.column(1)
+            at, holes = lists.offsets.to_numpy(), np.asarray(lists.values.is_null())
+            values = lists.values.cast(pa.float32() if kind == "<f4" else pa.float64()).to_numpy(zero_copy_only=False)
+            fine = np.isfinite(values) & ~holes
+            out: list = []
+            for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                good = z > a and ids[i].is_valid and lists[i].is_valid and fine[a:z].all() and values[a:z].any()
+                out.append(values[a:z].astype(kind).tobytes() if good else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], names=["vec_id", "v"])
+
+    found = materialize(rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id bigint, v binary"))
+    widths = found.where("v is not null").groupBy(F.octet_length("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
+    return found.withColumn("v", F.when(F.octet_length("v") == (widths["w"] if widths else 0), F.col("v")))
+
+
+def item_type(rows: DataFrame) -> str:
+    return "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+
+
+def matrix(values, kind: str) -> np.ndarray:
     raw = b"".join(values)
-    return np.frombuffer(raw, "<f8").reshape(len(values), -1)
+    return np.frombuffer(raw, kind).reshape(len(values), -1).astype(float)
 
 
-def _sample(found: DataFrame, n: int) -> np.ndarray:
-    draw = F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 20))
-    rows = found.where(draw < int((1 << 20) * min(1.0, FIT_SAMPLE / max(1, n)))).limit(2 * FIT_SAMPLE).collect()
-    return matrix([bytes(r["v"]) for r in sorted(rows)]) if rows else np.zeros((0, 1))
+def _sample(found: DataFrame, n: int, most: int, kind: str) -> np.ndarray:
+    rows = found.where(drawn([F.col("v")], "fit", most / max(1, n))).select("v").limit(2 * most).collect()  # bounded by ``most``
+    if n and not rows:
+        rows = found.select("v").limit(2).collect()
+    return matrix(sorted(bytes(r["v"]) for r in rows), kind) if rows else np.zeros((0, 1))
 
 
 class Quantiser:
@@ -88,8 +100,8 @@ class Quantiser:
 
 
 def table_bits(n: int) -> int:
-    """Bits of a table's key: some 64 vectors a bucket, but not so many bits that near vectors part."""
-    return int(min(16, max(1, np.log2(max(n, 2)) - 6)))
+    """Bits of a table's key: some BUCKET vectors a bucket."""
+    return int(min(30, max(1, np.log2(max(n, 2) / BUCKET))))
 
 
 def random_tables(b: int, least: float) -> int:
@@ -98,84 +110,158 @@ def random_tables(b: int, least: float) -> int:
     return 1 if meet >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
 
 
+def distance_limit(random: int, least: float) -> int:
+    """Random bits in which a pair of cosine ``least`` or more may differ."""
+    p = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
+    return int(np.floor(p * random + SLACK * np.sqrt(random * p * (1 - p)) + 1))
+
+
 def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept): all pairs found with cosine >= ``least``.
 
     The code of a vector (a bit for each dimension of each rotation, then for each random plane) is cut into substrings,
-    each the key of one Hamming table; vectors that agree in a substring are
-    candidates (two codes that differ in fewer bits than there are tables always are). Keys grow with
-    the table, and so does the number of random tables, which keeps the miss rate at MISS. A
-    task takes many buckets; a bucket of more than BLOCK vectors is split, a task for
-    each two blocks. Candidates are reranked by the original vectors, and a pair counts in
-    the first table where it meets. Tasks return counts and spanning forests, not pairs.
+    each the key of one Hamming table; vectors that agree in a substring meet. Keys grow with
+    the table, and so does the number of random tables, which keeps the miss rate at MISS. Only codes travel to the tables:
+    pairs whose codes are near enough are candidates, each named by the first table where it meets, and
+    their original vectors are fetched once to rerank them. A bucket where that would name most pairs fetches
+    its vectors instead, in blocks. A task takes many buckets; a bucket of more than BLOCK vectors
+    is split, a task for each two blocks. Tasks return counts and spanning forests, or a bounded number of pairs.
     """
+    kind = item_type(rows)
     found = usable(rows)
-    n = found.count()
-    x = _sample(found, n)
-    if len(x) < 2:
-        edges = found.sparkSession.createDataFrame([], "kind int, a bigint, b bigint")
-    else:
-        b = table_bits(n)
-        tables = TABLES + random_tables(b, least)
-        model = Quantiser(x, b * TABLES, b * (tables - TABLES))
-
-        def code(batches):
-            power = 1 << np.arange(b, dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = matrix(batch.column(1).to_pylist())
+    good = found.where("v is not null")
+    classes = materialize(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("row", F.monotonically_increasing_id()))
+    m = classes.count()
+    edges = _class_links(classes, m, least, kind) if m > 1 else classes.sparkSession.createDataFrame([], EDGES)
+    edges = materialize(edges)
+    counts = edges.where("kind = 0").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("links"))
+    component = connected_components(edges.where("kind = 1").select("a", "b")).withColumnRenamed("id", "rep")
+    told = classes.join(counts, "row", "left").join(component, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("part"))
+    out = good.join(told, "v").unionByName(found.where("v is null").withColumns({"links": F.lit(0).cast("long"), "part": F.col("vec_id")}))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("part").alias("component_id"), (F.col("vec_id") == F.col("part")).alias("kept"))
+
+
+EDGES = "kind int, a bigint, b bigint"
+
+
+def _class_links(classes: DataFrame, m: int, least: float, kind: str) -> DataFrame:
+    """Links between different vectors. Kind 0: a row and the number of vectors that it links with; kind 1: edges of forests over ids."""
+    b = table_bits(m)
+    tables = TABLES + random_tables(b, least)
+    model = Quantiser(_sample(classes, m, FIT_SAMPLE, kind), b * TABLES, b * (tables - TABLES))
+    limit = distance_limit(b * (tables - TABLES), least)
+
+    def code(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column(1).to_pylist(), kind)
                 bits = model.bits(v / np.linalg.norm(v, axis=1, keepdims=True))
-                keys = np.stack([bits[:, t * b : (t + 1) * b] @ power for t in range(tables)], 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["vec_id", "v", "keys"])
-
-        coded = materialize(found.mapInArrow(code, "vec_id bigint, v binary, keys array<bigint>").withColumn("row", F.monotonically_increasing_id()))
-        posts = coded.select("row", "vec_id", "v", "keys", F.posexplode("keys").alias("t", "key"))
-        large = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
-        posts = posts.join(large.select("t", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        posts = posts.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-        other = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x = block, 2, if(block < x, 0, 1))))")
-        spread = F.lit(max(1, n * tables // 4096))
-        tasks = posts.withColumn("p", F.explode(other)).select(
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), spread)).otherwise(F.xxhash64("t", "key", "p.i", "p.j")).alias("task"),
-            (F.col("t").cast("long") * (1 << 20) + F.col("key")).alias("bucket"), "t", "row", "vec_id", "v", "keys", F.col("p.side").alias("side"),
-        )
-        edges = materialize(tasks.groupBy("task").applyInPandas(lambda frame: _near(frame, least), "kind int, a bigint, b bigint"))
-    counts = edges.where("kind = 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("b").alias("n_links"))
-    component = connected_components(edges.where("kind = 1").select("a", "b")).withColumnRenamed("id", "vec_id")
-    ids = rows.select(F.col("vec_id").cast("long"))
-    out = ids.join(counts, "vec_id", "left").join(component, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"))
-
-
-def _near(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links in the buckets of a task: kind 0, a vector's number of links; kind 1, edges of a forest."""
-    ids, rows, side, bucket = (frame[c].to_numpy() for c in ("vec_id", "row", "side", "bucket"))
-    v = matrix(frame["v"].tolist())
-    v = v / np.linalg.norm(v, axis=1, keepdims=True)
-    keys = np.stack(frame["keys"].tolist())
-    table = frame["t"].to_numpy()
-    counts, edges = [], []
-    order = np.argsort(bucket, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                keys = _keys(bits, b)
+                packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], names=["row", "code", "keys"])
+
+    coded = materialize(classes.select("row", "v").mapInArrow(code, "row bigint, code binary, keys array<int>"))
+    posts = coded.select("row", "code", F.posexplode("keys").alias("t", "key"))
+    sizes = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("m"))
+    large = sizes.where(F.col("m") > BLOCK).select("t", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    posts = posts.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x = block, 2, if(block < x, 0, 1))))")
+    posts = posts.withColumn("p", F.explode(other)).select("t", "key", "p.i", "p.j", "p.side", "blocks", "row", "code")
+    spread = F.lit(max(1, m * tables // 16384))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), spread)).otherwise(F.xxhash64("t", "key", "i", "j"))
+    met = posts.withColumn("task", task).groupBy("task").applyInPandas(lambda frame: _candidates(frame, b, limit), "t int, key int, i int, j int, a bigint, b bigint")
+    met = materialize(met)
+    both = met.where("a is not null")
+    side = lambda s: classes.select(F.col("row").alias(s), F.col("v").alias(f"v{s}"), F.col("rep").alias(f"rep{s}"), F.col("n").alias(f"n{s}"))
+    reranked = both.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_rerank(least, kind), EDGES)
+    buckets = met.where("a is null").select("t", "key", "i", "j")
+    dense = posts.join(buckets, ["t", "key", "i", "j"]).join(classes, "row")
+    return reranked.unionByName(dense.groupBy("t", "key", "i", "j").applyInPandas(lambda frame: _dense(frame, b, least, kind), EDGES))
+
+
+def _keys(bits: np.ndarray, b: int) -> np.ndarray:
+    """A key for each table, from the bits of each code."""
+    power = 1 << np.arange(b, dtype=np.int64)
+    return (bits.reshape(len(bits), -1, b) @ power).astype(np.int32)
+
+
+def _unpacked(frame: pd.DataFrame, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the random planes as -1 and 1, and the keys."""
+    bits = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1)
+    bits = bits[:, : bits.shape[1] // b * b]
+    return bits[:, TABLES * b :].astype(np.float32) * 2 - 1, _keys(bits, b)
+
+
+def _fresh(keys: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet in no table before t."""
+    for k in range(t):
+        new = keys[i, k] != keys[j, k]
+        i, j = i[new], j[new]
+    return i, j
+
+
+def _candidates(frame: pd.DataFrame, b: int, limit: int) -> pd.DataFrame:
+    """Pairs (a, b) of rows whose codes are near and that meet here first; or the bucket alone where they are too many to be named."""
+    signs, keys = _unpacked(frame, b)
+    t, key, first, second, side, row = (frame[c].to_numpy() for c in ("t", "key", "i", "j", "side", "row"))
+    order = np.lexsort([row, key, t])
+    new = (np.diff(t[order]) != 0) | (np.diff(key[order]) != 0)
+    out = []
+    for at in np.split(order, np.flatnonzero(new) + 1):
         l, r = at[side[at] != 1], at[side[at] != 0]
-        if len(l) and len(r):
-            i, j = np.nonzero(v[l] @ v[r].T >= least)
-            i, j = l[i], r[j]
-            same = side[at[0]] == 2 and len(l) == len(at) == len(r)
-            fine = (rows[i] < rows[j]) if same else (rows[i] != rows[j])
-            fine &= ids[i] != ids[j]
-            i, j = i[fine], j[fine]
-            for t in range(int(table[at[0]])):
-                fresh = keys[i, t] != keys[j, t]
-                i, j = i[fresh], j[fresh]
-            if len(i):
-                counts += [ids[i], ids[j]]
-                edges += _spanning(ids[i], ids[j])
-    a = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    who, many = np.unique(a, return_counts=True)
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"kind": np.repeat([0, 1], [len(who), len(e)]).astype("int32"), "a": np.concatenate([who, e[:, 0]]), "b": np.concatenate([many, e[:, 1]])})
+        if not len(l) or not len(r):
+            continue
+        near = signs[l] @ signs[r].T >= signs.shape[1] - 2 * limit
+        if side[at[0]] == 2:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        i, j = _fresh(keys, int(t[at[0]]), l[i], r[j])
+        place = [np.full(1, x[at[0]]) for x in (t, key, first, second)]
+        if len(i) > DENSE * len(at) + 1000:
+            out.append(pd.DataFrame(dict(zip("t key i j".split(), place)) | {"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64")}))
+        elif len(i):
+            out.append(pd.DataFrame(dict(zip("t key i j".split(), [np.repeat(x, len(i)) for x in place])) | {"a": pd.array(row[i], "Int64"), "b": pd.array(row[j], "Int64")}))
+    return pd.concat(out) if out else pd.DataFrame({c: pd.array([], "Int64") for c in "t key i j a b".split()})
+
+
+def _rerank(least: float, kind: str):
+    """Links among candidate pairs, as rows of EDGES."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c))
+            x, y = matrix(col("va").to_pylist(), kind), matrix(col("vb").to_pylist(), kind)
+            cosine = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            a, b, rep_a, rep_b, n_a, n_b = (col(c).to_numpy()[cosine >= least] for c in ("a", "b", "repa", "repb", "na", "nb"))
+            kinds = np.repeat([0, 0, 1], len(a)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([a, b, rep_a])), pa.array(np.concatenate([n_b, n_a, rep_b]))], names=["kind", "a", "b"])
+
+    return run
+
+
+def _dense(frame: pd.DataFrame, b: int, least: float, kind: str) -> pd.DataFrame:
+    """Links in a bucket, or in two of its blocks, with the vectors at hand; as rows of EDGES."""
+    frame = frame.sort_values("row")
+    row, side, rep, n = (frame[c].to_numpy() for c in ("row", "side", "rep", "n"))
+    keys = _unpacked(frame, b)[1]
+    v = matrix(frame["v"].tolist(), kind)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    near = v[l] @ v[r].T >= least
+    if side[0] == 2:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    i, j = _fresh(keys, int(frame["t"].iloc[0]), l[i], r[j])
+    links = np.zeros(len(frame), np.int64)
+    np.add.at(links, i, n[j])
+    np.add.at(links, j, n[i])
+    who = np.flatnonzero(links)
+    forest = np.array(_spanning(rep[i], rep[j]), np.int64).reshape(-1, 2)
+    kinds = np.repeat([0, 1], [len(who), len(forest)]).astype(np.int32)
+    return pd.DataFrame({"kind": kinds, "a": np.concatenate([row[who], forest[:, 0]]), "b": np.concatenate([links[who], forest[:, 1]])})
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -226,27 +312,64 @@ def kd_leaves(points: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, lone: np.ndarray, norm: float, k: int) -> list[np.ndarray]:
-    """For each query the positions in ``data`` (different vectors) of all that reach its k-th best score; a ``lone`` vector is not met by its own row."""
-    turn = np.random.default_rng(11).normal(size=(data.shape[1] + 1, DIMS))
-    lift = np.sqrt(np.maximum(0, norm**2 - (data**2).sum(1)))  # makes the largest product the nearest point
-    points = np.column_stack([data, lift]) @ turn
-    asked = queries @ turn[:-1]
+def kd_cuts(points: np.ndarray, leaves: int) -> list[tuple[int, float]]:
+    """A kd-tree of ``leaves`` (a power of two) cells as (axis, value) for each inner node, in heap order."""
+    cuts: list[tuple[int, float]] = []
+    level = [points]
+    while len(level) < leaves:
+        following = []
+        for p in level:
+            axis = int(np.argmax(p.max(0) - p.min(0))) if len(p) else 0
+            value = float(np.median(p[:, axis])) if len(p) else 0.0
+            cuts.append((axis, value))
+            following += [p[p[:, axis] < value], p[p[:, axis] >= value]]
+        level = following
+    return cuts
+
+
+def cell_of(points: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
+    axis, value = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts])
+    node = np.zeros(len(points), np.int64)
+    for _ in range((len(cuts) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axis[node]] >= value[node])
+    return node - len(cuts)
+
+
+def box_gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box."""
+    out = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        x = points[:, d, None]
+        out += np.maximum(0, np.maximum(low[None, :, d] - x, x - high[None, :, d])) ** 2
+    return out
+
+
+def stable_projection(x: np.ndarray, norm: float | None) -> np.ndarray:
+    """Gaussian projections to DIMS dimensions; data (with the largest norm given) get one more component, which
+    makes the largest inner product the nearest point, queries a zero there."""
+    turn = np.random.default_rng(11).normal(size=(x.shape[1] + 1, DIMS))
+    if norm is None:
+        return x @ turn[:-1]
+    return np.column_stack([x, np.sqrt(np.maximum(0, norm**2 - (x**2).sum(1)))]) @ turn
+
+
+def _search(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, data: np.ndarray, norm: float, k: int) -> list[np.ndarray]:
+    """For each query the positions in ``data`` (different vectors) of all that reach its k-th best score, and its bound.
+
+    ``own`` names the data that a query must not meet (-1: none).
+    """
+    points, asked = stable_projection(data, norm), stable_projection(queries, None)
     leaves = kd_leaves(points)
-    gap = np.empty((len(queries), len(leaves)))
-    for j, leaf in enumerate(leaves):
-        low, high = points[leaf].min(0), points[leaf].max(0)
-        gap[:, j] = (np.maximum(0, np.maximum(low - asked, asked - high)) ** 2).sum(1)
+    gap = box_gap(asked, np.array([points[x].min(0) for x in leaves]), np.array([points[x].max(0) for x in leaves]))
     order = np.argsort(gap, axis=1, kind="stable")
     square = (queries**2).sum(1) + norm**2
-    best = np.full((len(queries), k), -np.inf)
+    best = np.repeat(bound[:, None], k, axis=1)
     slack = 1e-9 * norm * np.linalg.norm(queries, axis=1)  # rounding must part no ties; exact scores decide later
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     active = np.arange(len(queries))
     for step in range(len(leaves)):
         leaf_of = order[active, step]
-        kth = np.maximum(1e-300, square[active] - 2 * best[active].min(1))
-        go = ~(chi_square_cdf(gap[active, leaf_of] / kth) >= SURE)
+        go = ~left_out(gap[active, leaf_of], square[active] - 2 * best[active].min(1))
         active, leaf_of = active[go], leaf_of[go]
         if not len(active):
             break
@@ -254,7 +377,7 @@ def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_
         for at in np.split(by, np.flatnonzero(np.diff(leaf_of[by])) + 1):
             q, leaf = active[at], leaves[leaf_of[at[0]]]
             got = queries[q] @ data[leaf].T
-            got[(query_rows[q][:, None] == data_rows[leaf][None, :]) & lone[leaf]] = -np.inf
+            got[own[q][:, None] == leaf[None, :]] = -np.inf
             hit = np.flatnonzero(got.max(1) >= best[q].min(1) - slack[q])
             if len(hit):
                 q, got = q[hit], got[hit]
@@ -268,6 +391,11 @@ def _search(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_
     return np.split(place[order], np.searchsorted(who[order], np.arange(1, len(queries))))
 
 
+def left_out(gap: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """The stopping test: would a vector nearer than the k-th (squared distance) have been met before this squared gap?"""
+    return chi_square_cdf(gap / np.maximum(1e-300, kth)) >= SURE
+
+
 def products(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products added up in order of the components, so equal vectors have equal scores wherever they stand."""
     out = np.zeros(len(rows))
@@ -276,55 +404,113 @@ def products(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block(frame: pd.DataFrame, norm: float, k: int) -> pd.DataFrame:
-    asks = frame["ask"].to_numpy()
-    ids, v = frame["vec_id"].to_numpy(), matrix(frame["v"].tolist())
-    order = np.argsort(ids, kind="stable")
-    asks, ids, v = asks[order], ids[order], v[order]
+def _block(frame: pd.DataFrame, norm: float, k: int, kind: str) -> pd.DataFrame:
+    """The k best of a block's data for each of its queries."""
+    asks = frame["query_id"].notna().to_numpy()
     q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
     out = []
     if len(q) and len(d):
-        # equal vectors are searched as one, with their ids in ascending order
-        same = pd.factorize(np.array(frame["v"].to_numpy()[order][d], object))[0]
-        own = np.split(ids[d][np.argsort(same, kind="stable")], np.cumsum(np.bincount(same))[:-1])
-        v_data = v[d][np.unique(same, return_index=True)[1]]
-        low, high = np.array([m[0] for m in own]), np.array([m[-1] for m in own])
+        v = matrix(frame["v"].tolist(), kind)
+        query, bound = frame["query_id"].to_numpy()[q].astype(np.int64), frame["bound"].to_numpy(float)[q]
+        ids = [np.asarray(x, np.int64) for x in frame["ids"].to_numpy()[d]]
+        lone = {int(x[0]): i for i, x in enumerate(ids) if len(x) == 1}  # a vector with no other id than the query's is not met
+        own = np.array([lone.get(int(i), -1) for i in query])
         for at in range(0, len(q), 512):
-            some = q[at : at + 512]
-            for i, place in zip(some, _search(v[some], ids[some], v_data, low, low == high, norm, k)):
+            z = min(len(q), at + 512)
+            for i, place in zip(range(at, z), _search(v[q[at:z]], bound[at:z], own[at:z], v[d], norm, k)):
                 if len(place):
-                    near = [own[u][own[u] != ids[i]][:k] for u in place]
-                    score = np.repeat(products(v_data[place], v[i]), [len(m) for m in near])
+                    near = [ids[u][ids[u] != query[i]][:k] for u in place]
+                    score = np.repeat(products(v[d[place]], v[q[i]]), [len(x) for x in near])
                     near = np.concatenate(near)
                     top = np.lexsort((near, -score))[:k]
-                    out.append((np.full(len(top), ids[i]), near[top], score[top]))
+                    out.append((np.full(len(top), query[i]), near[top], score[top]))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
 
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, data_block: int = 8192, query_block: int = 4096) -> DataFrame:
+def _met(data: DataFrame, asked: DataFrame, norm: float, k: int, kind: str, data_block: int, query_block: int) -> DataFrame:
+    """Rows (query_id, vec_id, score): queries (query_id, v, bound, cell) against the data (v, ids, cell) of their cells."""
+    parts = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / data_block).alias("parts"))
+    turns = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("turns"))
+    plan = F.broadcast(parts.join(turns, "cell"))  # a row for each cell, of which there are CUT_SAMPLE / 16 at most
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = data.join(plan, "cell").select(F.lit(None).cast("long").alias("query_id"), "v", "ids", F.lit(None).cast("double").alias("bound"), "cell", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"), upto("turns").alias("turn"))
+    right = asked.join(plan, "cell").select("query_id", "v", F.lit(None).cast("array<bigint>").alias("ids"), "bound", "cell", upto("parts").alias("part"), F.pmod(F.xxhash64("query_id", "v"), F.col("turns")).alias("turn"))
+    return left.unionByName(right).groupBy("cell", "part", "turn").applyInPandas(lambda frame: _block(frame, norm, k, kind), "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, cell_rows: int = 4096, first: int = 4, data_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k largest inner products found for each query.
 
-    Queries are the rows whose id is divisible by ``every``. Blocks of queries meet
-    blocks of data. In a block the data's stable (Gaussian) projections to
-    DIMS dimensions are indexed by a kd-tree (Sun et al., SRS): leaves are visited in ascending distance
-    from the projected query and verified with the original vectors, until a chi-square test
-    says that a nearer vector would have been met with probability SURE. A query's own row is no candidate.
+    Queries are the rows whose id is divisible by ``every``. The data's stable (Gaussian) projections to
+    DIMS dimensions are indexed by a kd-tree (Sun et al., SRS), whose upper levels are cells of
+    the whole table, cut by a sample, and whose lower levels stand in each task. A query is verified in its
+    ``first`` nearest cells; with the k-th score found there it goes on to those cells only that the chi-square test leaves open,
+    that is where a nearer vector would not yet have been met with probability SURE. In a cell, leaves are visited in ascending
+    distance and verified with the original vectors until the same test holds.
     """
-    found = usable(rows).withColumn("row", F.xxhash64("vec_id", "v"))
-    norm = lambda x: float(np.linalg.norm(np.frombuffer(x, "<f8")))
+    kind = item_type(rows)
+    good = usable(rows).where("v is not null")
 
-    def longest(batches):
+    def largest(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([max(norm(x) for x in batch.column(0).to_pylist())])], names=["norm"])
-
-    top = found.select("v").mapInArrow(longest, "norm double").agg(F.max("norm")).first()[0] or 1.0
-    n = found.count()
-    asked = found.where(F.col("vec_id") % every == 0)
-    parts, turns = max(8, -(-n // data_block)), max(1, -(-asked.count() // query_block))
-    data = found.select("vec_id", "v", F.lit(False).alias("ask"), F.pmod("row", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"))
-    query = asked.select("vec_id", "v", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod("row", F.lit(turns)).alias("turn"))
-    got = data.unionByName(query).groupBy("part", "turn").applyInPandas(lambda frame: _block(frame, top, k), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(matrix(batch.column(0).to_pylist(), kind), axis=1).max())])], names=["norm"])
+
+    top = good.select("v").mapInArrow(largest, "norm double").agg(F.max("norm")).first()[0] or 1.0
+    n = good.count()
+    sample = _sample(good, n, CUT_SAMPLE, kind)
+    cells = 1 << max(0, min(n // cell_rows, len(sample) // 16, CUT_SAMPLE // 16).bit_length() - 1)
+    cuts = kd_cuts(stable_projection(sample, top), cells) if cells > 1 else []
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                # copies in a batch become one row with the smallest ids
+                ids, values = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+                order = np.argsort(ids, kind="stable")
+                same, names = pd.factorize(values[order])
+                own = np.split(ids[order][np.argsort(same, kind="stable")], np.cumsum(np.bincount(same))[:-1])
+                points = stable_projection(matrix(list(names), kind), top)
+                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary()), pa.array([x[: k + 1] for x in own], pa.list_(pa.int64())), pa.array(cell_of(points, cuts)), pa.array(list(points), pa.list_(pa.float64()))], names=["v", "ids", "cell", "point"])
+
+    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1)
+    data = good.mapInArrow(placed, "v binary, ids array<bigint>, cell bigint, point array<double>").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    for key in (["v", "cell", "point", "salt"], ["v", "cell", "point"]):  # ids of a frequent vector come together in two steps
+        data = data.groupBy(*key).agg(smallest.alias("ids"))
+    data = materialize(data)
+    box = data.groupBy("cell").agg(*(F.min(F.col("point")[d]).alias(f"l{d}") for d in range(DIMS)), *(F.max(F.col("point")[d]).alias(f"h{d}") for d in range(DIMS))).orderBy("cell").collect()  # a row a cell
+    low, high = (np.array([[r[f"{side}{d}"] for d in range(DIMS)] for r in box]).reshape(-1, DIMS) for side in "lh")
+    names = np.array([r["cell"] for r in box], np.int64)
+    data = data.select("v", "ids", "cell")
+
+    def routed(chosen):
+        """Queries in the cells that ``chosen`` picks from their gaps, nearest cells first, and bounds."""
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows and len(names):
+                    x, bound = matrix(batch.column(1).to_pylist(), kind), batch.column(2).to_numpy(zero_copy_only=False)
+                    gap = box_gap(stable_projection(x, None), low, high)
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    i, j = np.nonzero(chosen(np.take_along_axis(gap, order, 1), (x**2).sum(1) + top**2 - 2 * bound))
+                    at = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(names[order[i, j]])], names=["query_id", "v", "bound", "cell"])
+
+        return run
+
+    kinds = "query_id bigint, v binary, bound double, cell bigint"
+    asked = good.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("bound"))
+    nearby = asked.mapInArrow(routed(lambda gap, _: np.broadcast_to(np.arange(gap.shape[1]) < first, gap.shape)), kinds)
+    begun = materialize(_ranked(_met(data, nearby, top, k, kind, data_block, query_block), k))
+    if cells > first:
+        bounds = begun.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        again = asked.drop("bound").join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+        rest = materialize(again.mapInArrow(routed(lambda gap, kth: (np.arange(gap.shape[1]) >= first) & ~left_out(gap, kth[:, None])), kinds))
+        begun = _ranked(begun.drop("rank").unionByName(_met(data, rest, top, k, kind, data_block, query_block)), k)
+    return begun.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -372,7 +372,8 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     want = (cos >= 0.9).sum(1) - 1
     got = np.array([r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()])
     assert (got <= want).all() and got.sum() >= 0.95 * want.sum()
-    near = vectors.nearest(df, k=10, every=50).collect()
+    near = vectors.nearest(df, k=10, every=50, cell_rows=60, first=2, data_block=50, query_block=5).collect()
+    assert len(vectors.nearest(df, k=10, every=50).collect()) == 240
     ip = d @ d.T
     hit = 0
     for q in range(0, 1200, 50):
@@ -391,8 +392,9 @@ def test_nearest_ties_go_to_smaller_ids(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(100, i, 4.0) for i in (2, 4, 6, 8, 10)] + [(1000, i, 2.0) for i in (1, 2, 3, 4, 5)]
 
 
-def test_near_vectors_at_sixteen_bits(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "table_bits", lambda n: 16)  # the keys of four million vectors
+@pytest.mark.parametrize("bits", [10, 13, 16])
+def test_near_vectors_with_the_keys_of_large_tables(spark, monkeypatch, bits):
+    monkeypatch.setattr(vectors, "table_bits", lambda n: bits)  # 16: the keys of 17 million vectors
     r = np.random.default_rng(5)
     a, u = r.normal(size=(2, 1500, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -407,6 +409,19 @@ def test_near_vectors_at_sixteen_bits(spark, monkeypatch):
     assert want >= 1500 and 0.98 * want <= got <= want
 
 
+def test_dense_buckets_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "DENSE", -20)  # buckets with candidates fetch their vectors
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(90, 16)), 4, axis=0)
+    x[100:220] = x[100] + 0.1 * r.normal(size=(120, 16))
+    want = (x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {y["vec_id"]: (y["n_links"], y["component_id"]) for y in vectors.near_vectors(df).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.98 * want.sum() and all(got[i][0] <= want[i] for i in got)
+    assert got[0] == (3, 0) and got[3] == (3, 0)
+
+
 def test_language(spark, odd, empty, sf):
     docs = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
     got = language.identified(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
