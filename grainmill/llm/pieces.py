@@ -15,6 +15,9 @@ _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 #: Bytes that are hashed or compared in one step.
 STRETCH = 1 << 19
+#: Random numbers of each byte at each of the first places of a range.
+_PLACES = 64
+_EARLY = _RNG.integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -63,11 +66,15 @@ def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
         if a >= z:
             continue
         s, e = np.maximum(start[a:z], lo), np.minimum(stop[a:z], hi)
-        place = np.arange(s[0], hi) - np.repeat(start[a:z], np.diff(np.append(s, hi)))
-        x = place.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x += _BYTE[data[s[0] : hi]]
+        place = np.arange(s[0], hi, dtype=np.int32)
+        place -= np.repeat(start[a:z].astype(np.int32), np.diff(np.append(s, hi)))
+        byte = data[s[0] : hi]
+        late = np.flatnonzero(place >= _PLACES)
+        x = _EARLY[((place & (_PLACES - 1)) << 8) | byte]
+        if len(late):
+            x[late] = scrambled(place[late].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _BYTE[byte[late]])
         total = np.zeros(hi - s[0] + 1, np.uint64)
-        np.cumsum(scrambled(x), out=total[1:])
+        np.cumsum(x, out=total[1:])
         h[a:z] += total[e - s[0]] - total[s - s[0]]
     h ^= (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return scrambled(h)
@@ -200,7 +207,10 @@ class PieceTable:
             self.index.add(keys)
         same = self.size[row] == stops - starts
         if same.all():
-            same &= np.logical_and.reduceat(self.raw[np.repeat(self.spot[row] - starts, stops - starts) + np.arange(len(data))] == data, starts)
+            place = np.arange(len(data), dtype=np.int32)
+            place += np.repeat((self.spot[row] - starts).astype(np.int32), stops - starts)  # most_bytes fits
+            differ = np.flatnonzero(self.raw[place] != data)
+            same[np.searchsorted(stops, differ, "right")] = False
         else:  # hardly ever: then one by one
             raw = data.tobytes()
             for i in np.flatnonzero(same).tolist():

@@ -51,7 +51,7 @@ def _counted(key: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
     Gives each place's slot, whether the slot holds the place's pair, and for each slot its pair and count.
     """
-    bits = int(np.clip(np.log2(len(key)) + 1, 8, 20))
+    bits = int(np.clip(np.log2(len(key)) + 1, 8, 17))
     slot = ((key * np.uint64((0x9E3779B97F4A7C15 * (2 * step + 1)) % 2**64)) >> np.uint64(64 - bits)).view(np.int64)
     holder = np.zeros(1 << bits, np.uint64)
     holder[slot] = key
@@ -76,8 +76,9 @@ def compress(ids: np.ndarray, n: np.ndarray, first_rule: int, least: int = LEAST
     that had no slot yet; when none is left, no pair is frequent.
     """
     sym = ids.astype(np.uint32)
-    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    open_ = np.append(doc[:-1] == doc[1:], False)[: len(doc)]  # places whose pair may be frequent
+    last = np.zeros(len(sym), bool)  # the last symbol of a document
+    last[np.cumsum(n)[n > 0] - 1] = True
+    open_ = ~last  # places whose pair may be frequent
     rules, lengths, following, step = [], np.ones(first_rule, np.uint32), first_rule, 0
     while len(at := np.flatnonzero(open_)):
         key = (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
@@ -103,17 +104,17 @@ def compress(ids: np.ndarray, n: np.ndarray, first_rule: int, least: int = LEAST
         rules.append(np.stack([a, b], 1))
         sym[place] = following + (np.cumsum(keep) - 1)[w].astype(np.uint32)
         following += len(pair)
+        last[place] = last[place + 1]
         stay = np.ones(len(sym), bool)
         stay[place + 1] = False
-        kept = np.cumsum(stay) - 1
-        sym, doc, open_ = sym[stay], doc[stay], open_[stay]
-        new = kept[place]
-        for i in (new, new[new > 0] - 1):
-            i = i[i + 1 < len(sym)]
-            open_[i] = doc[i] == doc[i + 1]
-        open_[-1] = False
+        sym, last, open_ = sym[stay], last[stay], open_[stay]
+        new = place - np.arange(len(place))
+        for i in (new, np.maximum(new - 1, 0)):
+            open_[i] = ~last[i]
     flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return sym, np.bincount(doc, minlength=len(n)).astype(np.uint32), flat, lengths[first_rule:]
+    per_doc = np.zeros(len(n), np.uint32)
+    per_doc[n > 0] = np.diff(np.append(-1, np.flatnonzero(last)))
+    return sym, per_doc, flat, lengths[first_rule:]
 
 
 def decompress(sym: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:

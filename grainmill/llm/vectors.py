@@ -28,6 +28,8 @@ TABLES = 12
 MISS = 0.01
 #: Vectors of a bucket that are compared in one task, and about the number a bucket should have.
 BLOCK, BUCKET = 2048, 256
+#: Random bits of a code, at least; beyond those of the tables they serve to tell candidates from others.
+CHECK_BITS = 256
 #: Standard deviations that the Hamming distance of a pair at the threshold may lie above its mean (1 in 30,000 does).
 SLACK = 4.0
 #: Candidates for each vector of a bucket beyond which a task does not name them but asks for the vectors.
@@ -148,15 +150,16 @@ def _class_links(classes: DataFrame, m: int, least: float, kind: str) -> DataFra
     """Links between different vectors. Kind 0: a row and the number of vectors that it links with; kind 1: edges of forests over ids."""
     b = table_bits(m)
     tables = TABLES + random_tables(b, least)
-    model = Quantiser(_sample(classes, m, FIT_SAMPLE, kind), b * TABLES, b * (tables - TABLES))
-    limit = distance_limit(b * (tables - TABLES), least)
+    random = max(b * (tables - TABLES), CHECK_BITS)
+    model = Quantiser(_sample(classes, m, FIT_SAMPLE, kind), b * TABLES, random)
+    limit = distance_limit(random, least)
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
                 v = matrix(batch.column(1).to_pylist(), kind)
                 bits = model.bits(v / np.linalg.norm(v, axis=1, keepdims=True))
-                keys = _keys(bits, b)
+                keys = _keys(bits[:, : b * tables], b)
                 packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], names=["row", "code", "keys"])
 
@@ -170,14 +173,14 @@ def _class_links(classes: DataFrame, m: int, least: float, kind: str) -> DataFra
     posts = posts.withColumn("p", F.explode(other)).select("t", "key", "p.i", "p.j", "p.side", "blocks", "row", "code")
     spread = F.lit(max(1, m * tables // 16384))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("t", "key"), spread)).otherwise(F.xxhash64("t", "key", "i", "j"))
-    met = posts.withColumn("task", task).groupBy("task").applyInPandas(lambda frame: _candidates(frame, b, limit), "t int, key int, i int, j int, a bigint, b bigint")
+    met = posts.withColumn("task", task).groupBy("task").applyInPandas(lambda frame: _candidates(frame, b, tables, random, limit), "t int, key int, i int, j int, a bigint, b bigint")
     met = materialize(met)
     both = met.where("a is not null")
     side = lambda s: classes.select(F.col("row").alias(s), F.col("v").alias(f"v{s}"), F.col("rep").alias(f"rep{s}"), F.col("n").alias(f"n{s}"))
     reranked = both.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_rerank(least, kind), EDGES)
     buckets = met.where("a is null").select("t", "key", "i", "j")
     dense = posts.join(buckets, ["t", "key", "i", "j"]).join(classes, "row")
-    return reranked.unionByName(dense.groupBy("t", "key", "i", "j").applyInPandas(lambda frame: _dense(frame, b, least, kind), EDGES))
+    return reranked.unionByName(dense.groupBy("t", "key", "i", "j").applyInPandas(lambda frame: _dense(frame, b, tables, least, kind), EDGES))
 
 
 def _keys(bits: np.ndarray, b: int) -> np.ndarray:
@@ -186,11 +189,8 @@ def _keys(bits: np.ndarray, b: int) -> np.ndarray:
     return (bits.reshape(len(bits), -1, b) @ power).astype(np.int32)
 
 
-def _unpacked(frame: pd.DataFrame, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the random planes as -1 and 1, and the keys."""
-    bits = np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1)
-    bits = bits[:, : bits.shape[1] // b * b]
-    return bits[:, TABLES * b :].astype(np.float32) * 2 - 1, _keys(bits, b)
+def _unpacked(frame: pd.DataFrame) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), axis=1)
 
 
 def _fresh(keys: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +201,10 @@ def _fresh(keys: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> tuple[np.n
     return i, j
 
 
-def _candidates(frame: pd.DataFrame, b: int, limit: int) -> pd.DataFrame:
+def _candidates(frame: pd.DataFrame, b: int, tables: int, random: int, limit: int) -> pd.DataFrame:
     """Pairs (a, b) of rows whose codes are near and that meet here first; or the bucket alone where they are too many to be named."""
-    signs, keys = _unpacked(frame, b)
+    bits = _unpacked(frame)
+    signs, keys = bits[:, TABLES * b : TABLES * b + random].astype(np.float32) * 2 - 1, _keys(bits[:, : b * tables], b)
     t, key, first, second, side, row = (frame[c].to_numpy() for c in ("t", "key", "i", "j", "side", "row"))
     order = np.lexsort([row, key, t])
     new = (np.diff(t[order]) != 0) | (np.diff(key[order]) != 0)
@@ -242,11 +243,11 @@ def _rerank(least: float, kind: str):
     return run
 
 
-def _dense(frame: pd.DataFrame, b: int, least: float, kind: str) -> pd.DataFrame:
+def _dense(frame: pd.DataFrame, b: int, tables: int, least: float, kind: str) -> pd.DataFrame:
     """Links in a bucket, or in two of its blocks, with the vectors at hand; as rows of EDGES."""
     frame = frame.sort_values("row")
     row, side, rep, n = (frame[c].to_numpy() for c in ("row", "side", "rep", "n"))
-    keys = _unpacked(frame, b)[1]
+    keys = _keys(_unpacked(frame)[:, : b * tables], b)
     v = matrix(frame["v"].tolist(), kind)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -367,15 +368,19 @@ def _search(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, data: np.nd
     slack = 1e-9 * norm * np.linalg.norm(queries, axis=1)  # rounding must part no ties; exact scores decide later
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     active = np.arange(len(queries))
-    for step in range(len(leaves)):
-        leaf_of = order[active, step]
-        go = ~left_out(gap[active, leaf_of], square[active] - 2 * best[active].min(1))
-        active, leaf_of = active[go], leaf_of[go]
-        if not len(active):
-            break
+    step = 0
+    while step < len(leaves) and len(active):
+        # each step takes twice as many leaves as the one before; the test is made for each leaf with what is known before the step
+        order_, gap_ = order[active, step : 2 * step + 1], np.take_along_axis(gap[active], order[active, step : 2 * step + 1], 1)
+        go = ~left_out(gap_, (square[active] - 2 * best[active].min(1))[:, None])
+        who, leaf_of = np.nonzero(go)
+        who, leaf_of = active[who], order_[go]
+        active, step = active[go[:, -1]], 2 * step + 1
         by = np.argsort(leaf_of, kind="stable")
         for at in np.split(by, np.flatnonzero(np.diff(leaf_of[by])) + 1):
-            q, leaf = active[at], leaves[leaf_of[at[0]]]
+            if not len(at):
+                continue
+            q, leaf = who[at], leaves[leaf_of[at[0]]]
             got = queries[q] @ data[leaf].T
             got[own[q][:, None] == leaf[None, :]] = -np.inf
             hit = np.flatnonzero(got.max(1) >= best[q].min(1) - slack[q])
