@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.sources.scratch import new_folder as shared_dir
-from grainmill.sources.scratch import remove
+from grainmill.sources.scratch import cleared, remove  # noqa: F401
 from grainmill.sources.scratch import written as materialize
 
 #: Range of ``drawn``: fine enough for any number of rows a table can have.

@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens (only longer ones are
 cut). Pieces are written once, then dealt by a hash of their place in the input (so copies
-spread like any other rows) to groups of about ``group_rows`` pieces, and each group packs its own: best fit in decreasing order gives a first packing; then underfull
-bins exchange one piece for one, two for one, or move a piece, whenever that raises
+spread like any other rows) to groups of about ``group_rows`` pieces, and each group packs its own: pieces in random order are put
+where they fit, which leaves many bins underfull; then all of these exchange one piece for one, two for one, or move a piece, whenever that raises
 the sum of squared fills, until no such step is left; bins that empty go. A group leaves
 about one bin underfull, so the loss is one bin in some ten thousand.
 
@@ -70,12 +70,12 @@ def dealt(pieces: DataFrame, group_rows: int) -> DataFrame:
     return pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups))).drop("place")
 
 
-def best_fit(length: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit in decreasing order of length; bins as lists of positions."""
+def first_bins(length: np.ndarray, capacity: int, seed: int = 0) -> list[list[int]]:
+    """Pieces in random order, each put into the fullest bin that has room; bins as lists of positions."""
     bins: list[list[int]] = []
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms: list[int] = []
-    for i in np.argsort(-length, kind="stable").tolist():
+    for i in np.random.default_rng(seed).permutation(len(length)).tolist():
         k = int(length[i])
         at = bisect_left(rooms, k)
         if at == len(rooms):
@@ -201,7 +201,7 @@ def local_search(bins: list[list[int]], length: np.ndarray, capacity: int) -> li
 def _pack(key, frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
     length = frame["length"].to_numpy()
-    bins = local_search(best_fit(length, capacity), length, capacity)
+    bins = local_search(first_bins(length, capacity), length, capacity)
     order = np.array([i for b in bins for i in b])
     number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
     n = length[order]

@@ -3,7 +3,7 @@
 Law ``bytes``: shard sizes are near equal. Documents of equal text are linked (each to
 its group, not to one another), and a link is cut when its ends lie in different shards.
 
-1. Labels start as a hash of the id.
+1. Labels start as a hash of the row.
 2. In each round the share of every linked group in every shard is summed, and documents
    want to move to the shard that holds most of their group, of those with room if one has (ties go by a hash). Rounds go on
    until no document wants to move or the cut stops falling. Quotas hold: a shard accepts
@@ -17,8 +17,8 @@ its group, not to one another), and a link is cut when its ends lie in different
 Sums run over buckets of bounded size, then over buckets of a label, then over labels, so
 no task sees all rows, and a group of a third of all rows is salted over many buckets.
 
-Nulls: a null text has 16 bytes, crc32 null, and no links. Null ids hash alike. Repeated
-rows are placed each. An empty table gives no rows.
+Nulls: a null text has 16 bytes, crc32 null, and no links. Repeated
+rows are placed each, spread like any other members of a group. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def shards_by_bytes(docs: DataFrame, shards: int = 40, bucket_rows: int = 1000)
         F.crc32(F.encode(F.col("text"), "utf-8")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text"), F.octet_length("text"))).alias("grp"),
     )
-    base = base.withColumn("node", F.xxhash64("doc_id", "grp"))
+    # the row's number parts rows that repeat: it is fixed when the table is written, and they spread over salts and buckets
+    base = base.withColumn("node", F.xxhash64("doc_id", "grp", F.monotonically_increasing_id()))
     base = materialize(base.withColumn("label", F.pmod("node", F.lit(shards)).cast("int")))
     by_label = {r["label"]: (r["n"], r["bytes"]) for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}  # one row a shard
     n, total = sum(v[0] for v in by_label.values()), sum(v[1] for v in by_label.values())

@@ -330,9 +330,19 @@ def test_local_search_frees_bins():
     assert all(length[b].sum() <= 10 for b in bins)
 
 
+def test_local_search_makes_the_packing():
+    """Bins before and after the search, for texts of usual and of middling lengths."""
+    r = np.random.default_rng(0)
+    for length, most in ((np.clip(r.lognormal(5.5, 1.0, 8000).astype(int) + 1, 1, 4096), 1.001), (r.integers(1300, 2600, 3000), 1.025)):
+        first = packing.first_bins(length, 4096)
+        bins = packing.local_search(first, length, 4096)
+        print("bins", len(first), "after the search", len(bins), "at least", -(-length.sum() // 4096))
+        assert len(bins) < len(first) and len(bins) <= most * -(-length.sum() // 4096) + 1
+
+
 def test_local_search_leaves_no_step():
     length = np.random.default_rng(3).integers(1300, 2600, 500)
-    first = packing.best_fit(length, 4096)
+    first = packing.first_bins(length, 4096)
     bins = packing.local_search(first, length, 4096)
     assert sorted(i for b in bins for i in b) == list(range(500))
     fill = [int(length[b].sum()) for b in bins]
@@ -561,10 +571,12 @@ def test_pipeline_against_plain_version(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])}
+    given = {r["doc_id"]: r for r in docs.collect()}
     stage = dict(corpus_pipeline.STAGES)
     known = stage["language"](spark, docs, sf)
-    assert {r["doc_id"] for r in known.collect()} == set(rows)
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.fit(docs)).collect()}
+    rows = {i: r["text"] for i, r in given.items() if told[i][0] != "und" and told[i][1] >= corpus_pipeline.LEAST_SCORE}
+    assert {r["doc_id"]: (r["text"], r["lang"]) for r in known.collect()} == {i: (t, given[i]["lang"] or told[i][0]) for i, t in rows.items()}
     single = stage["near_duplicates"](spark, known, sf)
     groups = brute_groups(list(rows.items()))
     kept = {i for i, (_, c) in groups.items() if c == i}
@@ -576,6 +588,15 @@ def test_pipeline_against_plain_version(spark, sf):
     assert copies == collections.Counter({i: n for i, n in plan.items() if n})
     out = corpus_pipeline.run(spark, sf).collect()
     check_packing(out, [(i, rows[i]) for i, n in copies.items() for _ in range(n)])
+    assert all(crc(list(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in out)
+
+
+def test_pipeline_takes_the_same_text_of_a_repeated_id(spark, sf):
+    import corpus_pipeline
+
+    rows = [(1, words(30, 1), "en", "a", 0), (2, words(40, 5), "en", "b", 0), (2, words(40, 3), "en", "a", 0), (2, words(40, 5), "en", "a", 0), (None, "x y", "en", "a", 0)]
+    kept = [sorted(map(str, dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(some, DOC).repartition(n), sf).collect())) for some, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
 
 
 def test_pipeline_awkward(spark, odd):
