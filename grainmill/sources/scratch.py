@@ -18,7 +18,7 @@ def new_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only a local master without that setting gets one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="grainmill-")
         spark.conf.set("spark.checkpoint.dir", root)
