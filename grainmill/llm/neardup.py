@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import connected_components, materialize
-from grainmill.llm.pieces import _SPACE, frugal, in_batches, range_hashes
+from grainmill.llm.pieces import _SPACE, frugal, hashes, in_batches
 
 COORDS, MATCHES = 40, 18
 SHINGLE = 5
@@ -62,7 +62,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     start, stop = edge[::2], edge[1::2]
-    word = range_hashes(data, start, stop)
+    word = hashes(data, start, stop)
     ends = np.cumsum([len(t) + 1 for t in texts])
     last = np.searchsorted(start, ends)
     many = max(0, len(word) - SHINGLE + 1)

@@ -65,9 +65,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
 
 def dealt(pieces: DataFrame, group_rows: int) -> DataFrame:
-    """Written pieces with part, the group that packs the piece, in place of their place."""
+    """Written pieces with part, the group that packs the piece."""
     groups = max(1, -(-pieces.count() // group_rows))
-    return pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups))).drop("place")
+    return pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.lit(groups)))
 
 
 def first_bins(length: np.ndarray, capacity: int, seed: int = 0) -> list[list[int]]:
@@ -199,7 +199,7 @@ def local_search(bins: list[list[int]], length: np.ndarray, capacity: int) -> li
 
 
 def _pack(key, frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values("place").reset_index(drop=True)
     length = frame["length"].to_numpy()
     bins = local_search(first_bins(length, capacity), length, capacity)
     order = np.array([i for b in bins for i in b])
@@ -221,4 +221,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, group_rows: int = 20_000, with_ids: bool = False) -> DataFrame:
-    return pack(dealt(materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids)), group_rows), capacity)
+    """All pieces with their sequence and offset, and with their ids if asked for: these do not travel through the search, but meet its result by place."""
+    pieces = materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids))
+    packed = pack(dealt(pieces.drop("ids"), group_rows), capacity)
+    if with_ids:
+        packed = packed.join(pieces.select("place", "ids").hint("merge"), "place")
+    return packed.drop("place")

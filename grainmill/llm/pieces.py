@@ -80,6 +80,31 @@ def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return scrambled(h)
 
 
+#: The first bytes of a little-endian word, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+
+
+def _gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all bytes of some ranges, range by range."""
+    at = np.cumsum(size) - size
+    place = np.arange(size.sum(), dtype=np.int32)
+    place += np.repeat((start - at).astype(np.int32), size)
+    return place
+
+
+def hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; those of up to 7 bytes are one to one."""
+    size = stop - start
+    words = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    h = scrambled((words[start] & _FIRST[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56)))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        n = size[long]
+        at = np.cumsum(n) - n
+        h[long] = range_hashes(data[_gathered(start[long], n)], at, at + n)
+    return h
+
+
 def byte_level_cuts(data: np.ndarray) -> np.ndarray:
     """Sure cuts of the byte-level pattern (a blank joins the word after it); True at a piece's first byte."""
     n = len(data)
@@ -166,8 +191,8 @@ def _appended(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 class PieceTable:
     """What is known of pieces seen before: ``width`` and a slice of ``flat`` for each.
 
-    A piece is found by its hash and compared with the bytes that the table holds; one that differs is encoded
-    anew, so no collision gives a wrong result. At most ``limit`` pieces of ``most_bytes`` bytes together are
+    A piece is found by its hash and, unless the hash is one to one, compared with the bytes that the table holds; one that differs
+    is encoded anew, so no collision gives a wrong result. At most ``limit`` pieces of ``most_bytes`` bytes together are
     kept; when more come, the table starts anew, so memory stays bounded however many distinct pieces
     a corpus has. A piece longer than a STRETCH is encoded and not kept.
     """
@@ -184,7 +209,7 @@ class PieceTable:
 
     def _found(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The row of each piece; pieces lie side by side from the first byte on. -1: another piece has its hash."""
-        h = np.maximum(range_hashes(data, starts, stops), np.uint64(1))
+        h = np.maximum(hashes(data, starts, stops), np.uint64(1))
         row = self.index.find(h)
         new = np.flatnonzero(row < 0)
         if len(new):
@@ -205,16 +230,13 @@ class PieceTable:
             self.flat, self.used = _appended(self.flat, self.used, flat), self.used + len(flat)
             self.raw, self.held = _appended(self.raw, self.held, np.frombuffer(b"".join(parts), np.uint8)), self.held + int(size.sum())
             self.index.add(keys)
-        same = self.size[row] == stops - starts
-        if same.all():
-            place = np.arange(len(data), dtype=np.int32)
-            place += np.repeat((self.spot[row] - starts).astype(np.int32), stops - starts)  # most_bytes fits
-            differ = np.flatnonzero(self.raw[place] != data)
-            same[np.searchsorted(stops, differ, "right")] = False
-        else:  # hardly ever: then one by one
-            raw = data.tobytes()
-            for i in np.flatnonzero(same).tolist():
-                same[i] = self.raw[self.spot[row[i]] : self.spot[row[i]] + self.size[row[i]]].tobytes() == raw[starts[i] : stops[i]]
+        size = stops - starts
+        same = self.size[row] == size
+        long = np.flatnonzero(same & (size > 7))  # shorter ones are told apart by their hashes
+        if len(long):
+            n = size[long]
+            differ = np.flatnonzero(self.raw[_gathered(self.spot[row[long]], n)] != data[_gathered(starts[long], n)])
+            same[long[np.searchsorted(np.cumsum(n), differ, "right")]] = False
         return np.where(same, row, -1)
 
     def lookup(self, texts: list[bytes], with_ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
