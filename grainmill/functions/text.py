@@ -6,7 +6,9 @@ engine counts letters beyond ASCII as word characters there, so it gets the boun
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,17 +102,38 @@ DIALECT_ALIASES = {
 ACCENTS = ("àâäáãéèêëíìîïóòôöõúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
 
 
+#: Literals of which a text must hold one, in lower case, before a rule's pattern is tried; rules that are not here are tried always.
+NEEDLES = {
+    "github-token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"], "json-web-token": ["eyj"], "storage-connection-string": ["accountkey="], "bearer-token": ["bearer"],
+    "assigned-secret": ["key", "secret", "password", "passwd", "token"], "email": ["@"], "url": ["http", "www."], "ipv4": ["."], "uuid": ["-"],
+}
+
+
 def spark_pattern(pattern: str) -> str:
+    """The pattern with its boundaries spelled out: one look where a word must start or end, both ways where that is not sure."""
+    pattern = re.sub(r"^(\(\?i\))?\\b(?=[A-Za-z]|\(\?:[A-Za-z])", lambda m: (m[1] or "") + "(?<![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(?:(?<=[a-z])|(?<=\\d\+))(\)?)\\b$", r"\1(?![A-Za-z0-9_])", pattern)
     return pattern.replace(r"\b", _BOUNDARY)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return F.rlike(text, F.lit(spark_pattern(pattern)))
+def needles(name: str, pattern: str) -> list[str]:
+    """Literals that a match must contain one of: those of NEEDLES, or the first letters of each alternative."""
+    if name in NEEDLES:
+        return NEEDLES[name]
+    found = re.match(r"(?:\(\?i\))?\\b(?:\(\?:([^()]*(?:\([^()]*\)[^()]*)*)\)|([A-Za-z]+))", pattern)
+    words = [re.match("[A-Za-z]*", x)[0].lower() for x in (found[1] or found[2]).split("|")] if found else []
+    return words if all(len(w) > 1 for w in words) else []
+
+
+def matches(text: Column, pattern: str, name: str = "") -> Column:
+    hit = F.rlike(text, F.lit(spark_pattern(pattern)))
+    low, words = F.lower(text), needles(name, pattern)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)) & hit if words else hit
 
 
 def matched_rules(text: Column, rules: Sequence[tuple[str, str]], prefix: str = "") -> Column:
-    """Names of the rules that match, in the rules' order, as an array."""
-    return F.array_compact(F.array(*(F.when(matches(text, prefix + p), F.lit(name)) for name, p in rules)))
+    """Names of the rules that match, in the rules' order, as an array. Patterns are tried only where a literal of theirs occurs."""
+    return F.array_compact(F.array(*(F.when(matches(text, prefix + p, name), F.lit(name)) for name, p in rules)))
 
 
 def sql_rules(text: str, rules: Sequence[tuple[str, str]], prefix: str = "") -> str:

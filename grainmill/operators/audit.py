@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import text as t
 
 #: Lines that wrap a query in prose or shell; fixed value.
-WRAPPER = r"(?i)^\s*(?:use\s+case\s*:|what\s+it\s+does\s*:|purpose\s*:|description\s*:|author\s*:|query\s*:|```(?:kql|kusto)?\s*$|#{1,6}\s+\S|cmd(?:\.exe)?\s+/c\b|powershell(?:\.exe)?\s+[-/]|pwsh(?:\.exe)?\s+[-/])"
+WRAPPER = r"""(?i)^\s*(?:use\s+case\s*:|what\s+it\s+does\s*:|purpose\s*:|description\s*:|author\s*:|query\s*:|intune\s+device\s+query\s*[-:]\s*kql\s*$|```(?:kql|kusto)?\s*$|#{1,6}\s+\S|set\s+"[^"\r\n]+=[^"\r\n]*"\s*&&\s*(?:cmd(?:\.exe)?\b|[A-Za-z0-9_.-]+\.exe\b)|cmd(?:\.exe)?\s+/c\b|powershell(?:\.exe)?\s+(?:-|/)|pwsh(?:\.exe)?\s+(?:-|/))"""
 #: A typed column that only looks like a label; fixed value.
 TYPED = r"(?i)^\s*(?:description|author)\s*:\s*(?:bool|datetime|decimal|dynamic|guid|int|long|real|string|timespan)(?:\s*[,)]|$)"
 
@@ -31,10 +31,10 @@ def findings(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_titles(rows: DataFrame) -> DataFrame:
-    """All but the first row, by id, of a source's equal titles; with the first one's id."""
-    by = Window.partitionBy(F.lower("repository"), F.lower(F.trim("title"))).orderBy("query_id")
-    named = rows.where((F.trim("title") != "") & F.col("repository").isNotNull())
-    return named.withColumn("k", F.row_number().over(by)).withColumn("first_id", F.first("query_id").over(by)).where("k > 1").drop("k")
+    """All but the first row, by id, of a source's equal titles; with the first one's id. The first ids are combined before the shuffle, and joined back."""
+    named = rows.where((F.trim("title") != "") & F.col("repository").isNotNull()).withColumns({"_source": F.lower("repository"), "_title": F.lower(F.trim("title"))})
+    first = named.groupBy("_source", "_title").agg(F.min("query_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return named.join(first, ["_source", "_title"]).where("query_id <> first_id").drop("_source", "_title")
 
 
 def reconciled(base: DataFrame, index: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def detail(heads: DataFrame, stars: DataFrame, viewer: int) -> DataFrame:
 
 def owned(heads: DataFrame, owner: int, cursor: tuple | None = None, limit: int | None = None, visibility: str | None = None) -> DataFrame:
     """The owner's rows, newest first; one row more than the limit tells that a page follows."""
-    rows = heads.where(F.col("owner_id") == owner)
+    rows = heads.where((F.col("owner_id") == owner) & ~F.col("deleted"))
     if visibility:
         rows = rows.where(F.col("visibility") == visibility)
     return _page(rows, ["updated_at", "query_id"], cursor, clamp_limit(limit))

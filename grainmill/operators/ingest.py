@@ -17,12 +17,14 @@ MAX_ENTRIES, MAX_CANDIDATES, MAX_FILE_BYTES, MAX_BODY = 100_000, 10_000, 1_000_0
 #: Operators that a restricted dialect may use; fixed values.
 DIALECT_OPERATORS = {
     "azure-resource-graph": [
-        "count", "distinct", "extend", "join", "limit", "mv-expand", "order", "parse", "project", "project-away", "project-keep",
-        "project-rename", "project-reorder", "sort", "summarize", "take", "top", "union", "where",
+        "count", "distinct", "extend", "join", "limit", "mv-expand", "mvexpand", "order", "parse", "project", "project-away", "sort", "summarize", "take", "top", "union", "where",
     ],
-    "intune-device-query": ["count", "distinct", "join", "order", "project", "sort", "summarize", "take", "top", "where"],
+    "intune-device-query": ["count", "distinct", "join", "order", "project", "summarize", "take", "top", "where"],
 }
 
+#: Kinds of join that the restricted graph dialect knows; fixed values.
+GRAPH_JOIN_KINDS = ["fullouter", "inner", "innerunique", "leftouter"]
+
 _OWN_WORDS = ["let", "set", "print", "range", "datatable", "externaldata", "declare", "alias", "pattern", "restrict", *t.SUSPICIOUS_TABLES]
 
 
@@ -195,13 +197,15 @@ def derived_tags(dialect: Column, tables: Column, text: Column) -> Column:
 # ---- sources
 
 
-def longest_prefix(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """The dialect of each path's longest matching prefix rule; rules are few, and their number is checked."""
-    if rules.count() > 10_000:
-        raise ValueError("prefix rules are meant to be few")
-    hit = (F.col("path") == F.col("prefix")) | F.startswith("path", F.concat("prefix", F.lit("/")))
-    joined = paths.join(F.broadcast(rules), hit, "left")
-    return joined.groupBy(*paths.columns).agg(F.max_by("dialect", F.length("prefix")).alias("dialect"))
+def longest_prefix(paths: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Adds the dialect of each path's longest matching prefix rule; ``key`` tells the rows apart.
+
+    A path's own prefixes, one for each folder, are joined with the rules by equality, whatever their number.
+    """
+    parts = F.split("path", "/")
+    own = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hits = paths.select(key, F.explode(own).alias("prefix")).join(rules, "prefix").groupBy(key).agg(F.max_by("dialect", F.struct(F.length("prefix"), "dialect")).alias("dialect"))
+    return paths.join(hits, key, "left")
 
 
 def url_parts(url: Column) -> dict[str, Column]:

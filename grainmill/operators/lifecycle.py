@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
+from grainmill.operators.visibility import public
 
 #: Fields of the content hash in their fixed order.
 CONTENT = ["title", "kql", "description", "dialect", "tables", "operators", "tags"]
@@ -61,7 +62,7 @@ def soft_deleted(heads: DataFrame, deletions: DataFrame, now: Column) -> DataFra
 
 def starred(stars: DataFrame, new: DataFrame, heads: DataFrame) -> DataFrame:
     """Stars after new ones on public rows; a star that is there stays one."""
-    allowed = new.join(heads.where("visibility = 'public'").select("doc_id"), "doc_id", "left_semi")
+    allowed = new.join(heads.where(public()).select("doc_id"), "doc_id", "left_semi")
     return stars.select("user_id", "doc_id").unionByName(allowed.select("user_id", "doc_id")).distinct()
 
 

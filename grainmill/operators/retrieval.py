@@ -1,7 +1,6 @@
 """Full-text index, BM25, lexical and vector search, hybrid ranking and adequacy.
 
-The index is a table of postings (doc_id, field, term, tf); a query term is a prefix. It is matched while postings
-are counted, so a search aggregates only what matches. Constants of BM25 are the usual k1 = 1.2 and b = 0.75.
+The index is stored: postings by term, which a search prunes to its prefixes, so it reads and aggregates only what matches. Constants of BM25 are the usual k1 = 1.2 and b = 0.75.
 """
 
 from __future__ import annotations
@@ -9,12 +8,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import ACCENTS
-from grainmill.sources.scratch import written
+from grainmill.sources.scratch import new_folder, written
 
 #: Weights of the index fields; fixed values.
 WEIGHTS = {"title": 12.0, "tables": 8.0, "description": 4.0, "kql": 1.0, "operators": 6.0, "tags": 5.0, "author": 3.0, "repository": 3.0}
@@ -22,14 +22,16 @@ K1, B = 1.2, 0.75
 
 
 def match_terms(query: str) -> list[str]:
-    """Prefix terms of a request: words of two characters or more, the first 16, then distinct."""
+    """Prefix terms of a request: words of two characters or more, the first 16, then distinct; accents and underscores fall as in the index."""
     words = re.findall(r"[^\W]+", unicodedata.normalize("NFKC", query).lower())
-    return list(dict.fromkeys([w for w in words if len(w) > 1][:16]))
+    terms = list(dict.fromkeys([w for w in words if len(w) > 1][:16]))
+    bare = lambda w: w.translate(str.maketrans(*ACCENTS))
+    return list(dict.fromkeys(part for t in terms for part in bare(t).split("_") if part))
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens: lower case, without accents, letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(text), *ACCENTS), F.lit("[a-z0-9]+"), F.lit(0))
+    """Index tokens: lower case, without accents, letters and digits of any script."""
+    return F.regexp_extract_all(F.translate(F.lower(text), *ACCENTS), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def index_documents(heads: DataFrame) -> DataFrame:
@@ -50,25 +52,43 @@ def postings(docs: DataFrame) -> DataFrame:
     return _fields(docs).select("doc_id", "field", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Rows (doc_id, rank) of documents with one of the prefix terms.
+def build_index(docs: DataFrame) -> str:
+    """Writes the inverted index of index documents to a new shared folder and returns its path.
 
-    Each document's tokens are counted in place, without exploding them: one narrow pass over the
-    texts writes its length and weighted frequencies, a few numbers; only the corpus totals, one row, are shuffled.
+    ``postings`` has (term, doc_id, weight, len), in ranges of terms and sorted by term, so that Parquet's statistics
+    leave a search only the row groups of its prefixes; ``stats`` has one row (n, total).
     """
-    toks = {f: tokens(F.coalesce(f, F.lit(""))) for f in WEIGHTS}
-    counted = docs.select("doc_id", *(t.alias(f"t_{f}") for f, t in toks.items()))
-    length = sum((F.size(f"t_{f}") for f in WEIGHTS), F.lit(0))
-    freq = lambda term: sum((w * F.size(F.filter(f"t_{f}", lambda x: x.startswith(term))) for f, w in WEIGHTS.items()), F.lit(0.0))
-    rows = written(counted.select("doc_id", length.cast("long").alias("len"), *(freq(t).alias(f"f{i}") for i, t in enumerate(terms))))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(terms))))
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession)
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("field"))
+    toks = written(_fields(docs).select("doc_id", weight.alias("w"), "tokens"))
+    length = toks.groupBy("doc_id").agg(F.sum(F.size("tokens")).cast("long").alias("len"))
+    terms = toks.select("doc_id", "w", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
+    terms.join(length, "doc_id").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(length.agg(F.sum("len").alias("total"))).write.parquet(f"{path}/stats")
+    return path
+
+
+def bm25(spark: SparkSession, index: str, terms: Sequence[str]) -> DataFrame:
+    """Rows (doc_id, rank) of documents with one of the prefix terms, from a stored index.
+
+    Only postings of the terms are read; they are summed up for each document, and one row of totals is broadcast.
+    """
+    post = spark.read.parquet(f"{index}/postings")
+    has = [(F.col("term") >= t) & (F.col("term") < t + chr(0x10FFFF)) for t in terms]
+    rows = post.where(reduce(lambda a, b: a | b, has)).groupBy("doc_id").agg(F.first("len").alias("len"), *(F.sum(F.when(h, F.col("weight")).otherwise(0.0)).alias(f"f{i}") for i, h in enumerate(has)))
+    one = rows.agg(*(F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(terms))))
+    stats = spark.read.parquet(f"{index}/stats").crossJoin(F.broadcast(one)).withColumn("avg_len", F.col("total") / F.col("n"))
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
         f = F.col(f"f{i}")
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    hit = sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0.0)) > 0
-    return rows.where(hit).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("rank"))  # one row is broadcast
+    return rows.crossJoin(F.broadcast(stats)).select("doc_id", score.alias("rank"))  # one row is broadcast
+
+
+def current_hits(hits: DataFrame, heads: DataFrame) -> DataFrame:
+    """Index rows whose version is still the current one of a head."""
+    return hits.join(heads, ["query_id", "version_id"])
 
 
 def lexical_score(query: str, now: Column) -> Column:
@@ -83,8 +103,8 @@ def lexical_score(query: str, now: Column) -> Column:
     )
 
 
-def lexical(heads: DataFrame, docs: DataFrame, query: str, readable: Column, now: Column, filters: Column | None = None, limit: int = 20) -> DataFrame:
-    """Ranked hits that the viewer may read; no term, no hit.
+def lexical(heads: DataFrame, docs: DataFrame, index: str, query: str, readable: Column, now: Column, filters: Column | None = None, limit: int = 20) -> DataFrame:
+    """Ranked hits of a stored index that the viewer may read; no term, no hit.
 
     ``docs`` has the texts, ``heads`` what filters and scores need as well. Texts are not carried
     through joins and sorts: the hits, ``limit`` rows, are broadcast to fetch theirs.
@@ -92,7 +112,7 @@ def lexical(heads: DataFrame, docs: DataFrame, query: str, readable: Column, now
     terms = match_terms(query)
     if not terms:
         return heads.limit(0).withColumn("score", F.lit(0.0))
-    ranks = bm25(index_documents(docs), terms)
+    ranks = bm25(heads.sparkSession, index, terms)
     narrow = heads.where(readable if filters is None else readable & filters).drop("kql", "description")
     rows = narrow.join(ranks, "doc_id").withColumn("score", lexical_score(query, now))
     order = [F.desc(F.round("score", 9)), F.desc("star_count"), F.desc("updated_at"), F.col("query_id")]
@@ -168,13 +188,13 @@ def namespaces(viewer: int | None) -> list[str]:
     return ["public"] if viewer is None else ["public", f"private:{viewer}"]
 
 
-def search(heads: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, viewer_readable: Column, now: Column, embedding: Sequence[float] | None = None, limit: int = 20) -> tuple[DataFrame, dict]:
+def search(heads: DataFrame, docs: DataFrame, index: str, vectors: DataFrame, query: str, viewer_readable: Column, now: Column, embedding: Sequence[float] | None = None, limit: int = 20) -> tuple[DataFrame, dict]:
     """Lexical search; if that is not adequate and there is a query vector, hybrid search.
 
     ``vectors`` has vec_id (the document), query_id, version_id and embedding, in the viewer's
     namespaces only. Two small actions at most: the assessment, one row, and the results.
     """
-    hits = written(lexical(heads, docs, query, viewer_readable, now, limit=limit))
+    hits = written(lexical(heads, docs, index, query, viewer_readable, now, limit=limit))
     ranked = hits.select("query_id", "version_id", "title", "tables", "score", "star_count", F.row_number().over(_result_order()).alias("place"))
     told = adequacy(ranked, query).first().asDict()
     if told["adequate"] or embedding is None:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.operators.visibility import readable
+from grainmill.operators.visibility import public
 
 
 def search_history(turns: DataFrame) -> DataFrame:
@@ -23,18 +23,18 @@ def search_history(turns: DataFrame) -> DataFrame:
 
 def guarded_clicks(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """A click counts where the user may read what was clicked on."""
-    seen = heads.select(F.col("doc_id").alias("d"), F.col("query_id").alias("clicked_query_id"), "visibility", "owner_id")
-    return rows.join(seen, (F.col("doc_id") == F.col("d")) & ((F.col("visibility") == "public") | (F.col("owner_id") == F.col("user_id"))), "left")
+    seen = heads.where(~F.col("deleted")).select(F.col("doc_id").alias("d"), F.col("query_id").alias("clicked_query_id"), public().alias("shown"), "owner_id")
+    return rows.join(seen, (F.col("doc_id") == F.col("d")) & (F.col("shown") | (F.col("owner_id") == F.col("user_id"))), "left")
 
 
 def surviving_stars(stars: DataFrame, heads: DataFrame) -> DataFrame:
     """Stars stay on public rows only."""
-    return stars.join(heads.where("visibility = 'public'").select("doc_id"), "doc_id", "left_semi")
+    return stars.join(heads.where(public()).select("doc_id"), "doc_id", "left_semi")
 
 
 def open_reports(reports: DataFrame, heads: DataFrame) -> DataFrame:
     """One open report a reporter and row, the first; public rows only."""
-    shown = reports.join(heads.where("visibility = 'public'").select("doc_id"), "doc_id", "left_semi")
+    shown = reports.join(heads.where(public()).select("doc_id"), "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("user_id", "doc_id").orderBy("ts", "event_id"))
     return shown.withColumn("k", first).where("k = 1").drop("k")
 

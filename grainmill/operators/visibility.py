@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 
 def readable(viewer: int | None) -> Column:
-    """Public rows, and the viewer's own."""
-    shown = F.col("visibility") == "public"
-    return shown if viewer is None else shown | (F.col("owner_id") == viewer)
+    """Public rows, and the viewer's own; nothing that was deleted, and of others nothing that moderation took down."""
+    return public() if viewer is None else ~F.col("deleted") & (public() | (F.col("owner_id") == viewer))
 
 
 def public() -> Column:
-    return F.col("visibility") == "public"
+    return (F.col("visibility") == "public") & (F.col("moderation_status") == "visible") & ~F.col("deleted")
+
+
+def feed_rule(provider: str = "provider") -> Column:
+    """Public rows with a current version that have an owner or came from a repository: bundled samples stay out of the feed."""
+    return public() & F.col("version_id").isNotNull() & (F.col("owner_id").isNotNull() | (F.col(provider) == "github"))
 
 
 def any_of(column: str | Column, values: Sequence[str]) -> Column:

@@ -77,7 +77,7 @@ RULES = [("en", "sentinel"), ("fr", "defender-xdr"), ("en/1", "azure-data-explor
 def prefix_dialect_rule(spark, sf_dir):
     path = F.concat(F.col("branch"), F.lit("/"), F.substring("path", 1, 1), F.lit("/"), F.col("path"))
     rules = spark.createDataFrame(RULES, "prefix string, dialect string")
-    return ingest.longest_prefix(_urls(spark, sf_dir).select("page_id", path.alias("path")), rules)
+    return ingest.longest_prefix(_urls(spark, sf_dir).select("page_id", path.alias("path")), rules, "page_id")
 
 
 MARKDOWN = "# IP\n\n```kql\nSigninLogs\n| where IPAddress == \"{q}\"\n| take 10\n```\n\n## Subnet\n```sql\nselect 1\n```\n# IP\n~~~Kusto\nlet a = DeviceEvents;\na | union AuditLogs, SecurityEvent | summarize count() by DeviceId\n~~~\n```json\n{{}}\n```\n### Hunting query\n```\nHeartbeat | order by TimeGenerated\n```\n"

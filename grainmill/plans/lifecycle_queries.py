@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.operators import ingest, lifecycle, resolve
 from grainmill.operators.feeds import iso
+from grainmill.operators.visibility import public
 from grainmill.plans.catalogue import query
 from grainmill.sources import corpus
 from grainmill.sources.corpus import SQL
@@ -55,7 +56,7 @@ def soft_deletes(spark, sf_dir):
     return lifecycle.soft_deleted(h, gone, _now()).select("query_id", "visibility", iso("deleted_at").alias("deleted_at"))
 
 
-@query(f"""WITH {SQL}, a AS (SELECT user_id, doc_id FROM star_rows UNION SELECT 3, doc_id FROM corpus WHERE doc_id % 4 = 0 AND visibility = 'public') SELECT user_id, doc_id FROM a WHERE NOT (user_id = 7 AND doc_id % 2 = 0)""")
+@query(f"""WITH {SQL}, a AS (SELECT user_id, doc_id FROM star_rows UNION SELECT 3, doc_id FROM corpus WHERE doc_id % 4 = 0 AND (visibility = 'public' AND moderation_status = 'visible' AND NOT deleted)) SELECT user_id, doc_id FROM a WHERE NOT (user_id = 7 AND doc_id % 2 = 0)""")
 def star_changes(spark, sf_dir):
     h = _heads(spark, sf_dir)
     stars = corpus.stars(spark, sf_dir)
@@ -140,7 +141,7 @@ def terms_search(spark, sf_dir):
     return rows.orderBy(F.desc("star_count"), "query_id").limit(50).select("query_id")
 
 
-@query(f"""WITH {SQL} SELECT query_id, to_json({{'id': query_id, 'title': title, 'dialect': dialect, 'tables': tables, 'stars': star_count}})::VARCHAR AS record FROM corpus WHERE visibility = 'public'""")
+@query(f"""WITH {SQL} SELECT query_id, to_json({{'id': query_id, 'title': title, 'dialect': dialect, 'tables': tables, 'stars': star_count}})::VARCHAR AS record FROM corpus WHERE (visibility = 'public' AND moderation_status = 'visible' AND NOT deleted)""")
 def json_records(spark, sf_dir):
-    rows = corpus.heads(spark, sf_dir).where("visibility = 'public'")
+    rows = corpus.heads(spark, sf_dir).where(public())
     return rows.select("query_id", F.to_json(F.struct(F.col("query_id").alias("id"), "title", "dialect", "tables", F.col("star_count").alias("stars")), {"ignoreNullFields": "false"}).alias("record"))

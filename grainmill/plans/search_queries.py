@@ -16,7 +16,7 @@ TERMS = "thtion attion ontion"
 VIEWER = 7
 NOW = "2024-01-02 00:00:00"
 FIELDS = {"title": "title", "tables": "array_to_string(tables, ' ')", "description": "description", "kql": "kql", "operators": "array_to_string(operators, ' ')", "tags": "array_to_string(tags, ' ')", "author": "repository", "repository": "repository"}
-TOK = lambda f: f"regexp_extract_all(translate(lower(coalesce({f}, '')), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[a-z0-9]+')"
+TOK = lambda f: f"regexp_extract_all(translate(lower(coalesce({f}, '')), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[\\p{{L}}\\p{{N}}]+')"
 ALL_FIELDS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, CAST({retrieval.WEIGHTS[k]} AS DOUBLE) AS w, unnest({TOK(v)}) AS term FROM corpus" for k, v in FIELDS.items())
 RANKED = f"""tok AS ({ALL_FIELDS}),
 len AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id),
@@ -27,13 +27,24 @@ idf AS (SELECT q, greatest(ln(((SELECT n FROM stat) - count(*) + 0.5) / (count(*
 ranked AS (SELECT doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_len))) AS rank FROM f JOIN idf USING (q) JOIN len USING (doc_id), stat GROUP BY doc_id)"""
 SCORED = f"""scored AS (SELECT c.*, least(1.0, rank / (1 + rank) + CASE WHEN lower(title) = '{TERMS}' THEN 0.22 ELSE 0 END + CASE WHEN list_contains(tables, '{TERMS}') THEN 0.12 ELSE 0 END
   + CASE WHEN trusted THEN 0.03 ELSE 0 END + CASE WHEN star_count >= 100 THEN 0.05 WHEN star_count >= 20 THEN 0.035 WHEN star_count >= 5 THEN 0.02 ELSE 0 END
-  + CASE WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(c.updated_at) <= 30 * 86400000000 THEN 0.015 ELSE 0 END) AS score FROM ranked JOIN corpus c USING (doc_id) WHERE visibility = 'public' OR owner_id = {VIEWER}),
+  + CASE WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(c.updated_at) <= 30 * 86400000000 THEN 0.015 ELSE 0 END) AS score FROM ranked JOIN corpus c USING (doc_id) WHERE {corpus.SQL_READABLE.format(c='', viewer=VIEWER)}),
 hits AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, star_count DESC, updated_at DESC, query_id) AS place FROM scored QUALIFY place <= 20)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir):
+    """The stored index of a folder's documents, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.build_index(retrieval.index_documents(corpus.documents(spark, sf_dir)))
+    return _INDEXES[key]
+
+
 def _hits(spark, sf_dir):
     now = F.lit(NOW).cast("timestamp_ntz")
-    return retrieval.lexical(corpus.heads(spark, sf_dir), corpus.documents(spark, sf_dir), TERMS, readable(VIEWER), now)
+    return retrieval.lexical(corpus.heads(spark, sf_dir), corpus.documents(spark, sf_dir), _index(spark, sf_dir), TERMS, readable(VIEWER), now)
 
 
 def _placed(hits):
@@ -55,8 +66,7 @@ def postings(spark, sf_dir):
 
 @query(f"WITH {SQL}, {RANKED} SELECT doc_id, round(rank, 6) AS rank FROM ranked")
 def bm25_scores(spark, sf_dir):
-    docs = retrieval.index_documents(corpus.documents(spark, sf_dir))
-    return retrieval.bm25(docs, retrieval.match_terms(TERMS)).select("doc_id", F.round("rank", 6).alias("rank"))
+    return retrieval.bm25(spark, _index(spark, sf_dir), retrieval.match_terms(TERMS)).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {SQL}, {RANKED}, {SCORED} SELECT query_id, version_id, title, CASE WHEN length(trim(description)) > 0 THEN substr(description, 1, 360) ELSE substr(kql, 1, 360) END AS snippet,
@@ -79,7 +89,8 @@ SIM = f"greatest(0.0, least(1.0, list_cosine_similarity(CAST(embedding AS DOUBLE
 
 
 def _query_vector(vectors):
-    return vectors.orderBy("vec_id").select("embedding").first()["embedding"]  # one vector
+    first = vectors.orderBy("vec_id").select("embedding").first()  # one vector
+    return first["embedding"] if first else []
 
 
 @query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {SIM} AS s FROM embeddings) ORDER BY round(s, 9) DESC, vec_id LIMIT 40")
@@ -104,7 +115,7 @@ def namespace_topk(spark, sf_dir):
 
 
 MERGED = f"""cand AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) || '-v1' AS version_id, s FROM (SELECT vec_id, {SIM} AS s FROM embeddings) ORDER BY round(s, 9) DESC, vec_id LIMIT 40),
-sem AS (SELECT c.query_id, c.version_id, c.star_count, cand.s FROM cand JOIN corpus c USING (query_id, version_id) WHERE visibility = 'public' OR owner_id = {VIEWER}),
+sem AS (SELECT c.query_id, c.version_id, c.star_count, cand.s FROM cand JOIN corpus c USING (query_id, version_id) WHERE {corpus.SQL_READABLE.format(c='', viewer=VIEWER)}),
 merged AS (SELECT coalesce(h.query_id, sem.query_id) AS query_id, coalesce(h.version_id, sem.version_id) AS version_id,
   CASE WHEN h.query_id IS NOT NULL AND cand.s IS NOT NULL THEN 'hybrid' WHEN h.query_id IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS match_type,
   CASE WHEN h.query_id IS NOT NULL AND cand.s IS NOT NULL THEN least(1.0, h.score * 0.62 + cand.s * 0.38 + 0.06) WHEN h.query_id IS NOT NULL THEN h.score ELSE sem.s END AS score,

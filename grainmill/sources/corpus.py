@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version columns from the documents alone; no join, so only the columns in use are read."""
     d = read(spark, sf_dir, "documents")
     first = F.substring_index("text", "\n", 1)
-    low = F.lower(F.substring("text", 1, 400))
+    low = F.lower("text")
     dialect = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in DIALECTS.items()))
     words = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit(p), F.lit(0))))
     return d.select(
@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("doc_id").cast("string"), F.lit("-v1")).alias("version_id"),
         F.trim(F.substring(first, 1, 180)).alias("title"),
         F.col("text").alias("kql"),
-        F.col("text").substr(F.length(first) + 2, F.lit(360)).alias("description"),
+        F.substr("text", F.length(first) + 2).alias("description"),
         dialect.alias("dialect"),
         words("[a-z]{8,}").alias("tables"),
         words("[a-z]{6,7}").alias("operators"),
@@ -53,11 +53,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds visibility and trusted."""
+    """Adds visibility, moderation status, deletion and trust."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    size = F.length("kql")
     return docs.join(labels, "doc_id", "left").select(
-        *docs.columns, F.when(F.col("toxic") == 1, "private").otherwise("public").alias("visibility"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("trusted")
-    )
+        *docs.columns, F.when(F.col("toxic") == 1, "private").otherwise("public").alias("visibility"),
+        F.when((F.col("quality") == 0) & (size % 5 == 0), "unpublished").otherwise("visible").alias("moderation_status"),
+        F.coalesce(size % 23 == 0, F.lit(False)).alias("deleted"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("trusted"),
+    )
 
 
 def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,18 +79,24 @@ star_counts AS (SELECT doc_id, count(*) AS star_count FROM star_rows GROUP BY do
 corpus AS (
   SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS query_id, CAST(d.doc_id AS VARCHAR) || '-v1' AS version_id,
     trim(substr(split_part(text, chr(10), 1), 1, 180)) AS title, text AS kql,
-    substr(text, length(split_part(text, chr(10), 1)) + 2, 360) AS description,
+    substr(text, length(split_part(text, chr(10), 1)) + 2) AS description,
     CASE lang WHEN 'en' THEN 'sentinel' WHEN 'fr' THEN 'defender-xdr' WHEN 'de' THEN 'azure-data-explorer' WHEN 'es' THEN 'azure-resource-graph' END AS dialect,
-    list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{8,}'))) AS tables,
-    list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{6,7}'))) AS operators,
-    list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{10,}'))) AS tags,
+    list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS tables,
+    list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,7}'))) AS operators,
+    list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS tags,
     source AS repository, d.doc_id % 150 AS owner_id,
     TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS updated_at,
     CASE WHEN toxic = 1 THEN 'private' ELSE 'public' END AS visibility,
+    CASE WHEN quality = 0 AND length(text) % 5 = 0 THEN 'unpublished' ELSE 'visible' END AS moderation_status,
+    coalesce(length(text) % 23 = 0, false) AS deleted,
     coalesce(quality = 1, false) AS trusted,
     coalesce(star_count, 0) AS star_count
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN star_counts s ON d.doc_id = s.doc_id
 )
 """
 
+#: Who may read what, in SQL; {c} is a table alias with its dot, or nothing.
+SQL_PUBLIC = "({c}visibility = 'public' AND {c}moderation_status = 'visible' AND NOT {c}deleted)"
+SQL_READABLE = "(NOT {c}deleted AND (({c}visibility = 'public' AND {c}moderation_status = 'visible') OR {c}owner_id = {viewer}))"
+
 SQL_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
