@@ -125,15 +125,18 @@ def needles(name: str, pattern: str) -> list[str]:
     return words if all(len(w) > 1 for w in words) else []
 
 
-def matches(text: Column, pattern: str, name: str = "") -> Column:
-    hit = F.rlike(text, F.lit(spark_pattern(pattern)))
-    low, words = F.lower(text), needles(name, pattern)
+def _matches(text: Column, low: Column, name: str, pattern: str) -> Column:
+    hit, words = F.rlike(text, F.lit(spark_pattern(pattern))), needles(name, pattern)
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)) & hit if words else hit
 
 
 def matched_rules(text: Column, rules: Sequence[tuple[str, str]], prefix: str = "") -> Column:
-    """Names of the rules that match, in the rules' order, as an array. Patterns are tried only where a literal of theirs occurs."""
-    return F.array_compact(F.array(*(F.when(matches(text, prefix + p, name), F.lit(name)) for name, p in rules)))
+    """Names of the rules that match, in the rules' order, as an array. Patterns are tried only where a literal of theirs occurs.
+
+    The text and its lower case are bound once, by a transform over one element, however many rules look at them.
+    """
+    names = lambda x: F.array_compact(F.array(*(F.when(_matches(x["text"], x["low"], name, prefix + p), F.lit(name)) for name, p in rules)))
+    return F.element_at(F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), names), 1)
 
 
 def sql_rules(text: str, rules: Sequence[tuple[str, str]], prefix: str = "") -> str:
