@@ -215,12 +215,21 @@ def strip_strings(array: Column) -> Column:
 
 def first_spelling(values: Column) -> Column:
     """Distinct whatever the case; the first spelling stays, in its place."""
-    return F.aggregate(values, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    low = F.transform(values, F.lower)
+    return F.transform(F.array_distinct(low), lambda x: F.element_at(values, F.array_position(low, x).cast("int")))
 
 
 def last_spelling(values: Column) -> Column:
     """Distinct whatever the case; the last spelling stays, in the first one's place."""
-    return F.transform(first_spelling(values), lambda x: F.element_at(F.filter(values, lambda y: F.lower(y) == F.lower(x)), -1))
+    low = F.transform(values, F.lower)
+    back, low_back = F.reverse(values), F.reverse(low)
+    return F.transform(F.array_distinct(low), lambda x: F.element_at(back, F.array_position(low_back, x).cast("int")))
+
+
+def has_identifier(text: Column, name: Column) -> Column:
+    """Whether a name stands in the text as a whole identifier; its own signs are taken literally."""
+    literal = F.regexp_replace(name, "([^A-Za-z0-9_])", "\\\\$1")
+    return F.rlike(text, F.concat(F.lit("(?<![A-Za-z0-9_])"), literal, F.lit("(?![A-Za-z0-9_])")))
 
 
 def dialect_of(name: Column) -> Column:

@@ -319,3 +319,45 @@ def fallback_description(title: Column, tables: Column, label: Column) -> Column
     )
     text = F.coalesce(*made, plain)
     return F.when(F.rlike(text, F.lit("[.!?]\\z")), text).otherwise(F.concat(text, F.lit(".")))
+
+
+def decoded_file(content: Column) -> Column:
+    """Text of a base64 file, whatever its line breaks; null where it is not UTF-8."""
+    raw = F.unbase64(F.regexp_replace(content, "\\s+", "")).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw)
+
+
+def is_commit_id(value: Column) -> Column:
+    return F.rlike(value, F.lit("^[0-9a-f]{40,64}$"))
+
+
+def is_https_url(value: Column) -> Column:
+    return F.rlike(value, F.lit("^https://[^\\s/?#]+"))
+
+
+def checked_entries(entries: DataFrame) -> DataFrame:
+    """Tree entries with the reason why one is not as it should be, or null."""
+    reason = (
+        F.when(~F.coalesce(F.col("type").isin("blob", "tree", "commit"), F.lit(False)), "type").when(~F.coalesce(is_commit_id(F.col("sha")), F.lit(False)), "sha")
+        .when(~F.coalesce(is_https_url(F.col("url")), F.lit(False)), "url")
+    )
+    return entries.withColumn("reason", reason)
+
+
+def missing_tables(spark, required: list[str]) -> list[str]:
+    """Tables that the catalogue lacks; an import starts only where it lacks none."""
+    return [t for t in required if not spark.catalog.tableExists(t)]
+
+
+def licensed(repositories: DataFrame, licenses: DataFrame) -> DataFrame:
+    """Repositories whose licence is recorded and allowed."""
+    return repositories.join(licenses.where("allowed").select("spdx"), "spdx", "left_semi")
+
+
+def import_totals(gated: DataFrame, existing: DataFrame) -> DataFrame:
+    """Per repository: accepted files, and of these how many are new and how many are known; and those skipped."""
+    known = existing.select("query_id", F.lit(True).alias("known")).distinct()
+    rows = gated.join(known, "query_id", "left")
+    fine = F.col("skip_reason").isNull()
+    count = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(name)
+    return rows.groupBy("repository").agg(count(fine, "accepted"), count(fine & F.col("known").isNull(), "inserted"), count(fine & F.col("known").isNotNull(), "unchanged"), count(~fine, "skipped"))

@@ -219,3 +219,19 @@ def all_terms(text: str, columns: Sequence[str]) -> Column:
     for word in text.lower().split():
         out = out & F.contains(hay, F.lit(word))
     return out
+
+
+def terms_of(text: Column) -> Column:
+    """The prefix terms of a request as a column: words of two characters or more, the first 16, then distinct."""
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    return F.array_distinct(F.slice(found, 1, 16))
+
+
+def supporting(hits: DataFrame, most: int = 5) -> DataFrame:
+    """What a generated text may lean on: hits that are public, or whose use was acknowledged; the first ``most`` by place."""
+    return hits.where((F.col("visibility") == "public") | F.col("acknowledged")).orderBy("place").limit(most)
+
+
+def generation_gate(adequate: Column, complete: Column, dialect: Column) -> Column:
+    """409 where the corpus answers, 503 where retrieval was not whole, 422 without a dialect, else 200."""
+    return F.when(adequate, 409).when(~complete, 503).when(dialect.isNull(), 422).otherwise(200)

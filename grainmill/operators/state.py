@@ -150,3 +150,17 @@ def rate_buckets(events: DataFrame, most: int = 10, window: str = "60 seconds")
     """Requests of each actor in fixed windows; the first ``most`` of a window pass."""
     n = events.groupBy("user_id", F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("requests"))
     return n.select("user_id", F.col("w.start").alias("window_start"), "requests", F.greatest(F.lit(0), F.col("requests") - most).alias("refused"))
+
+
+def completed(jobs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Jobs of ``done`` (job_id) are completed and give their lease back; others stay as they are."""
+    marked = jobs.join(done.select("job_id", F.lit(True).alias("done")).distinct(), "job_id", "left")
+    return marked.withColumns({
+        "status": F.when(F.col("done"), "completed").otherwise(F.col("status")), "locked_at": F.when(F.col("done"), F.lit(None).cast("timestamp_ntz")).otherwise(F.col("locked_at")),
+        "completed_at": F.when(F.col("done"), now),
+    }).drop("done")
+
+
+def moderation_log(actions: DataFrame, users: DataFrame) -> DataFrame:
+    """Actions (doc_id, user_id) of administrators; those of others leave no trace."""
+    return actions.join(users.where("role = 'admin'").select("user_id"), "user_id", "left_semi").select("doc_id", "user_id", F.lit("unpublish").alias("action"))
