@@ -62,4 +62,6 @@ def piece_table(path: str) -> PieceTable:
         width = np.fromiter(map(len, found), np.int64, len(found))
         return width, np.fromiter(chain.from_iterable(found), np.int32, int(width.sum()))
 
-    return PieceTable(word_level_cuts if words else byte_level_cuts, encode)
+    table = PieceTable(word_level_cuts if words else byte_level_cuts, encode)
+    table.item = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"  # what an id fits in
+    return table

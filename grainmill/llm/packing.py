@@ -32,7 +32,7 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, place[, ids]); place numbers the pieces over all partitions."""
+    """Rows (doc_id, piece, start, length, ids_crc32, place[, ids]); ids as in packed_documents; place numbers the pieces over all partitions."""
 
     def run(batches):
         table = piece_table(tokenizer_path)
@@ -56,10 +56,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                 cols = [pa.array([doc_ids[a + i] for i in owner.tolist()], pa.int64()), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(place + np.arange(len(owner)))]
                 place += len(owner)
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, first[-1] + length[-1]).astype(np.int32)), pa.array(ids)))
+                    flat = memoryview(ids.astype(table.item).tobytes())
+                    size = np.dtype(table.item).itemsize
+                    cols.append(pa.array([flat[size * i : size * (i + k)] for i, k in zip(first.tolist(), length.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kind = PIECE + ", ids array<int>" * with_ids
+    kind = PIECE + ", ids binary" * with_ids
     names = [c.split()[0] for c in kind.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), kind)
 
@@ -221,7 +223,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, group_rows: int = 20_000, with_ids: bool = False) -> DataFrame:
-    """All pieces with their sequence and offset, and with their ids if asked for: these do not travel through the search, but meet its result by place."""
+    """All pieces with their sequence and offset, and with their ids if asked for, as little-endian unsigned integers of
+    two bytes (four where the vocabulary has more than 65,536 entries): these do not travel through the search, but meet its result by place."""
     pieces = materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids))
     packed = pack(dealt(pieces.drop("ids"), group_rows), capacity)
     if with_ids:

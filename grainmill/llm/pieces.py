@@ -197,13 +197,13 @@ class PieceTable:
     a corpus has. A piece longer than a STRETCH is encoded and not kept.
     """
 
-    def __init__(self, cuts, encode, limit: int = 1_000_000, most_bytes: int = 1 << 25) -> None:
+    def __init__(self, cuts, encode, limit: int = 1_000_000, most_bytes: int = 1 << 24) -> None:
         self.cuts, self.encode, self.limit, self.most_bytes = cuts, encode, limit, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.index = HashIndex()
-        self.at, self.width, self.spot, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.width, self.spot, self.size = (np.zeros(0, np.int32) for _ in range(4))
         self.flat, self.used = np.zeros(0, np.int32), 0
         self.raw, self.held = np.zeros(0, np.uint8), 0
 
@@ -235,7 +235,7 @@ class PieceTable:
         long = np.flatnonzero(same & (size > 7))  # shorter ones are told apart by their hashes
         if len(long):
             n = size[long]
-            differ = np.flatnonzero(self.raw[_gathered(self.spot[row[long]], n)] != data[_gathered(starts[long], n)])
+            differ = np.flatnonzero(self.raw[_gathered(self.spot[row[long]].astype(np.int64), n)] != data[_gathered(starts[long], n)])
             same[long[np.searchsorted(np.cumsum(n), differ, "right")]] = False
         return np.where(same, row, -1)
 
@@ -256,8 +256,8 @@ class PieceTable:
             some = data[starts[at] : stops[z - 1]]
             a, b = starts[at:z] - starts[at], stops[at:z] - starts[at]
             row = self._found(some, a, b) if len(some) <= STRETCH else np.full(z - at, -1)
-            width, odd = self.width[row] if self.index.count else np.zeros(z - at, np.int64), np.flatnonzero(row < 0)
-            begin = self.at[row] if self.index.count else np.zeros(z - at, np.int64)
+            width, odd = self.width[row].astype(np.int64) if self.index.count else np.zeros(z - at, np.int64), np.flatnonzero(row < 0)
+            begin = self.at[row].astype(np.int64) if self.index.count else np.zeros(z - at, np.int64)
             flat = self.flat
             if len(odd):
                 raw = some.tobytes()
