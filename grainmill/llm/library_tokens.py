@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-from grainmill.llm.pieces import PieceTable, byte_level_cuts, word_level_cuts
+from grainmill.llm.pieces import PieceTable, byte_level_cuts, kept, word_level_cuts
 
 #: Words of plain Latin letters: one pre-token, whose normal form is its lower case.
 _PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -27,7 +26,7 @@ def _byte_alphabet() -> dict[int, str]:
 BYTE_ALPHABET = _byte_alphabet()
 
 
-@lru_cache(maxsize=4)
+@kept
 def piece_table(path: str) -> PieceTable:
     """The table of a vocabulary file, kept by the worker from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import connected_components, materialize
-from grainmill.llm.pieces import _SPACE, frugal, hashes, in_batches
+from grainmill.llm.pieces import _SPACE, eased, frugal, hashes, in_batches
 
 COORDS, MATCHES = 40, 18
 SHINGLE = 5
@@ -280,7 +280,7 @@ def star_links(docs: DataFrame, pairs: DataFrame, repeated: bool, percent: int)
     spread = F.lit(max(1, wanted.count() // 500))
     task = F.when(F.col("salts") == 1, F.pmod(F.xxhash64("head"), spread)).otherwise(F.xxhash64("head", "s"))
     rows = _texts_of(docs, wanted, repeated).withColumn("s", F.explode("salt")).select(task.alias("task"), "rep", "head", "side", "text")
-    return rows.groupBy("task").applyInPandas(lambda frame: _compare_with_heads(frame, percent), "a bigint, b bigint")
+    return rows.groupBy("task").applyInPandas(lambda frame: eased(_compare_with_heads, frame, percent), "a bigint, b bigint")
 
 
 def list_links(docs: DataFrame, members: DataFrame, repeated: bool, percent: int) -> DataFrame:
@@ -295,7 +295,7 @@ def list_links(docs: DataFrame, members: DataFrame, repeated: bool, percent: int
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("head"), spread)).otherwise(F.xxhash64("head", "t.i", "t.j"))
     rows = _texts_of(docs, members, repeated).withColumn("block", block).withColumn("t", F.explode(other))
     rows = rows.select(task.alias("task"), "rep", "head", "part", "text", F.col("t.side").alias("side"))
-    return rows.groupBy("task").applyInPandas(lambda frame: _compare(frame, percent), "a bigint, b bigint")
+    return rows.groupBy("task").applyInPandas(lambda frame: eased(_compare, frame, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import materialize
 from grainmill.llm.library_tokens import piece_table
-from grainmill.llm.pieces import frugal, in_batches
+from grainmill.llm.pieces import eased, frugal, in_batches
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, place bigint"
 
@@ -63,7 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     kind = PIECE + ", ids binary" * with_ids
     names = [c.split()[0] for c in kind.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run, piece_table), kind)
 
 
 def dealt(pieces: DataFrame, group_rows: int) -> DataFrame:
@@ -219,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces; groups of bounded size, dealt by ``part``."""
     cols = [f for f in pieces.schema.fields if f.name != "part"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols) + ", sequence_id bigint, offset bigint"
-    return pieces.groupBy("part").applyInPandas(lambda key, frame: _pack(key, frame, capacity), kind)
+    return pieces.groupBy("part").applyInPandas(lambda key, frame: eased(_pack, key, frame, capacity), kind)
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, group_rows: int = 20_000, with_ids: bool = False) -> DataFrame:

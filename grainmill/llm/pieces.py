@@ -8,9 +8,18 @@ is made and the piece grows. Pieces are found by 64-bit hashes and then compared
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
+#: Hands freed memory of the C heap back to the system; glibc alone has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+#: What workers keep from task to task.
+_KEPT: list = []
+
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 #: Bytes that are hashed or compared in one step.
@@ -289,12 +298,43 @@ def in_batches(texts: list[bytes], most: int = 500_000):
         yield at, len(texts)
 
 
-def frugal(run):
-    """``run`` over record batches, giving Arrow's unused memory back after each: workers live on from task to task."""
+def kept(make):
+    """``make`` with its last result remembered: a worker keeps it from task to task, until a task that does not need it."""
+    made = lru_cache(maxsize=1)(make)
+    _KEPT.append(made)
+    return made
+
+
+def give_back(keeps=None) -> None:
+    """Frees what earlier tasks of the worker kept, but for the results of ``keeps``, and hands unused memory back to the system."""
+    for made in _KEPT:
+        if made is not keeps:
+            made.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def frugal(run, keeps=None):
+    """``run`` over record batches, giving unused memory back on the way and at the end: workers live on from task to task."""
 
     def batches(given):
-        for out in run(given):
+        give_back(keeps)
+        for n, out in enumerate(run(given)):
             yield out
-            pa.default_memory_pool().release_unused()
+            if n % 8 == 7:
+                give_back(keeps)
+            else:
+                pa.default_memory_pool().release_unused()
+        out = None
+        give_back(keeps)
 
     return batches
+
+
+def eased(run, *args):
+    """``run`` for one group, giving unused memory back after it."""
+    try:
+        return run(*args)
+    finally:
+        give_back()

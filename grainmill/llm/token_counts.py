@@ -13,7 +13,6 @@ each. Other columns are not read. A null id is passed on. An empty table gives n
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.library_tokens import BYTE_ALPHABET, _PLAIN
-from grainmill.llm.pieces import PieceTable, byte_level_cuts, frugal, in_batches
+from grainmill.llm.pieces import PieceTable, byte_level_cuts, frugal, in_batches, kept
 
 _NONE = np.int64(2**40)
 
@@ -103,7 +102,7 @@ class MergeModel:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def count_table(path: str, pattern: str) -> PieceTable:
     import regex
 
@@ -149,4 +148,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run, count_table), f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -192,7 +192,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, sh
             yield shard()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(frugal(run), STORE).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(run, piece_table), STORE).write.option("compression", "zstd").parquet(path)
 
 
 _ARROW = pa.schema([

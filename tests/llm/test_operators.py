@@ -16,6 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.llm import language, mixing, neardup, packing, registry, sharding, token_counts, token_store, vectors, warc
+from grainmill.llm.library_tokens import piece_table
+from grainmill.llm.pieces import eased, frugal
 from tests.compare import same_rows, tables
 from tests.conftest import SF
 
@@ -611,3 +613,13 @@ def test_pipeline_awkward(spark, odd):
         if name != "packing":
             assert df.columns == odd.columns
     assert df.count() > 0
+
+
+def test_a_worker_keeps_only_what_its_task_needs():
+    path = P.path("word_bpe_49k.json")
+    table = piece_table(path)
+    run = lambda given: iter(given)
+    assert list(frugal(run, piece_table)([1])) == [1] and piece_table(path) is table
+    assert list(frugal(run)([1, 2])) == [1, 2] and piece_table(path) is not table
+    table = piece_table(path)
+    assert eased(max, 1, 2) == 2 and piece_table(path) is not table
