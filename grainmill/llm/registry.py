@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import language, mixing, neardup, oracles, packing, sharding, token_counts, token_store, vectors, warc
+from grainmill.llm import importance, language, line_dedup, mixing, neardup, oracles, packing, prefix_trie, sharding, token_counts, token_store, vectors, warc
 from grainmill.llm.common import read
 
 
@@ -49,6 +49,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(read(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), family_size=20)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, least_words=20, most=1, buckets=10_000, seed="2024")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,12 +68,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_near_duplicates, op2_token_store, op3_packing, op4_near_vectors, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing, op10_nearest, pipeline)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_token_store, op3_packing, op4_near_vectors, op5_language, op6_warc, op7_sharding, op8_token_counts, op9_mixing, op10_nearest, op11_line_dedup, op12_prefix_trie, op13_importance, pipeline)}
 
 
 def oracle_sql():
     """op2, op3, op5, op7, op8 and the pipeline have none: SQL has no tokenizer, model or label propagation."""
     return {
         "op1_near_duplicates": oracles.NEAR_DUPLICATES, "op4_near_vectors": oracles.NEAR_VECTORS, "op6_warc": oracles.WARC,
-        "op9_mixing": oracles.MIXING, "op10_nearest": oracles.NEAREST,
+        "op9_mixing": oracles.MIXING, "op10_nearest": oracles.NEAREST, "op11_line_dedup": oracles.LINES, "op12_prefix_trie": oracles.TRIE, "op13_importance": oracles.IMPORTANCE,
     }
