@@ -213,17 +213,28 @@ def strip_strings(array: Column) -> Column:
     return F.coalesce(F.transform(members, lambda v: F.variant_get(v, "$", "string")), F.array().cast("array<string>"))
 
 
+def _spellings(values: Column, which: str) -> Column:
+    # sorted by lower case and place, so that a word's spellings are neighbours; n log n, whatever the number of words
+    ranked = F.sort_array(F.transform(values, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("word"))))
+
+    def groups(r: Column) -> Column:
+        differs = lambda x, i, by: F.coalesce(F.get(r, i + by)["low"] != x["low"], F.lit(True))
+        firsts, lasts = F.filter(r, lambda x, i: (i == 0) | differs(x, i, -1)), F.filter(r, lambda x, i: differs(x, i, 1))
+        # as many first ones as last ones, word by word
+        pairs = F.arrays_zip(firsts.alias("f"), (firsts if which == "first" else lasts).alias("w"))
+        return F.transform(pairs, lambda z: F.struct(z["f"]["at"].alias("at"), z["w"]["word"].alias("word")))
+
+    return F.transform(F.sort_array(F.get(F.transform(F.array(ranked), groups), F.lit(0))), lambda x: x["word"])
+
+
 def first_spelling(values: Column) -> Column:
     """Distinct whatever the case; the first spelling stays, in its place."""
-    low = F.transform(values, F.lower)
-    return F.transform(F.array_distinct(low), lambda x: F.element_at(values, F.array_position(low, x).cast("int")))
+    return _spellings(values, "first")
 
 
 def last_spelling(values: Column) -> Column:
     """Distinct whatever the case; the last spelling stays, in the first one's place."""
-    low = F.transform(values, F.lower)
-    back, low_back = F.reverse(values), F.reverse(low)
-    return F.transform(F.array_distinct(low), lambda x: F.element_at(back, F.array_position(low_back, x).cast("int")))
+    return _spellings(values, "last")
 
 
 def has_identifier(text: Column, name: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Ingestion of repository files: gates, block extraction, metadata, merge inputs.
+"""Ingestion of repository files: gates, dialects, tags, sources, merge inputs. Blocks are in ``parsing``, rules on query texts in ``functions.query_text``.
 
 Files are rows (repository, path, content). Everything is a column expression or a window;
 a file that is refused keeps a row with a reason instead of vanishing.
@@ -12,20 +12,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import text as t
 
 #: Limits of a repository import; fixed values.
-MAX_ENTRIES, MAX_CANDIDATES, MAX_FILE_BYTES, MAX_BODY = 100_000, 10_000, 1_000_000, 100_000
-
-#: Operators that a restricted dialect may use; fixed values.
-DIALECT_OPERATORS = {
-    "azure-resource-graph": [
-        "count", "distinct", "extend", "join", "limit", "mv-expand", "mvexpand", "order", "parse", "project", "project-away", "sort", "summarize", "take", "top", "union", "where",
-    ],
-    "intune-device-query": ["count", "distinct", "join", "order", "project", "summarize", "take", "top", "where"],
-}
-
-#: Kinds of join that the restricted graph dialect knows; fixed values.
-GRAPH_JOIN_KINDS = ["fullouter", "inner", "innerunique", "leftouter"]
-
-_OWN_WORDS = ["let", "set", "print", "range", "datatable", "externaldata", "declare", "alias", "pattern", "restrict", *t.SUSPICIOUS_TABLES]
+MAX_ENTRIES, MAX_CANDIDATES, MAX_FILE_BYTES = 100_000, 10_000, 1_000_000
 
 
 def license_reason(spdx: Column) -> Column:
@@ -65,115 +52,8 @@ def gated_files(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", file_kind(F.col("path"))).withColumn("skip_reason", reason)
 
 
-FENCE = "(?ms)^ {0,3}(?:```+|~~~+)[ \\t]*([A-Za-z]*)[^\\n]*\\n(.*?)(?:^ {0,3}(?:```+|~~~+)[^\\n]*$|\\z)"
-ITEM = "(?ms)^ {0,3}(?:```+|~~~+)[^\\n]*\\n.*?(?:^ {0,3}(?:```+|~~~+)[^\\n]*$|\\z)|^#{1,6}[ \\t]+[^\\n]+"
-#: Fence languages that are queries, and those that still count in the numbering; fixed values.
-QUERY_FENCES, COUNTED_FENCES = ["kql", "kusto"], ["kql", "kusto", "sql", ""]
-
-
-def markdown_blocks(files: DataFrame, reviewed: bool = False) -> DataFrame:
-    """Fenced query blocks: (path, block, title, language, body).
-
-    The title is the heading above; a heading's second block gets " 2" and so on. Fences without a
-    language count only where the file's path was reviewed, or under a heading that names queries.
-    """
-    items = files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(ITEM), F.lit(0))).alias("at", "item"))
-    by = Window.partitionBy("path").orderBy("at")
-    heading = F.when(F.col("item").startswith("#"), t.collapse(F.regexp_replace(F.regexp_replace("item", "^#+[ \\t]+", ""), "[*_`~]", "")))
-    rows = items.withColumn("heading", F.last(heading, True).over(by))
-    fences = rows.where(~F.col("item").startswith("#")).withColumn("language", F.lower(F.regexp_extract("item", FENCE, 1))).withColumn("body", t.normalize_body(F.regexp_extract("item", FENCE, 2)))
-    counted = fences.where(F.col("language").isin(COUNTED_FENCES)).withColumn("block", F.row_number().over(by) - 1)
-    named = F.rlike(F.coalesce("heading", F.lit("")), F.lit("(?i)\\b(?:kql|kusto|quer(?:y|ies)|hunting|detection)\\b"))
-    unlabelled = F.lit(True) if reviewed else named
-    kept = counted.where(F.col("language").isin(QUERY_FENCES) | ((F.col("language") == "") & unlabelled))
-    kept = kept.where((F.col("body") != "") & structural_problem(F.col("body")).isNull())
-    nth = F.row_number().over(Window.partitionBy("path", F.lower(F.coalesce("heading", F.lit("")))).orderBy("at"))
-    title = F.coalesce("heading", t.title_from_path(F.col("path")))
-    return kept.withColumn("n", nth).select("path", F.col("block").cast("int").alias("block"), F.when(F.col("n") > 1, F.concat_ws(" ", title, F.col("n").cast("string"))).otherwise(title).alias("title"), "language", "body")
-
-
-def _yaml_field(doc: Column, name: str) -> Column:
-    raw = F.regexp_extract(doc, f"(?m)^{name}:[ \\t]*([^|>\\s][^\\n]*)$", 1)
-    return F.regexp_replace(F.trim(raw), "^([\"'])(.*)\\1$", "$2")
-
-
-def yaml_rules(files: DataFrame) -> DataFrame:
-    """Analytics rules of YAML files, several documents to a file: (path, block, title, description, body)."""
-    docs = files.select("path", F.posexplode(F.split("content", "(?m)^---[ \\t]*$")).alias("block", "doc"))
-    block = F.regexp_extract("doc", "(?m)^(?:query|kqlQuery|kql):[ \\t]*[|>][-+0-9]*[ \\t]*\\n((?:[ \\t]+[^\\n]*(?:\\n|\\z)|[ \\t]*\\n)+)", 1)
-    body = t.normalize_body(F.regexp_replace(block, "(?m)^" + "[ \\t]{2}", ""))
-    inline = F.coalesce(F.nullif(_yaml_field(F.col("doc"), "query"), F.lit("")), F.lit(""))
-    rows = docs.select("path", "block", _yaml_field(F.col("doc"), "(?:name|displayName|title)").alias("title"), _yaml_field(F.col("doc"), "description").alias("description"), F.when(body != "", body).otherwise(inline).alias("body"))
-    return rows.where((F.col("title") != "") & (F.col("body") != ""))
-
-
 # ---- query text
 
-STRING = "@?\"(?:[^\"\\\\\\n]|\\\\.)*\"|@?'(?:[^'\\\\\\n]|\\\\.)*'"
-COMMENT = "//[^\\n]*"
-TOKEN = f"{COMMENT}|[hH]?(?:{STRING})|\\d+(?:\\.\\d+)?(?:[a-zA-Z]+)?|[A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z]+)*|\\||[=!<>~]+|[\\s]+|(?s:.)"
-
-
-def lexemes(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """Tokens of query texts: (key, start, stop, kind, token); offsets count characters, white space is left out."""
-    parts = rows.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("at", "token"))
-    stop = F.sum(F.length("token")).over(Window.partitionBy(key).orderBy("at"))
-    tok = F.col("token")
-    kind = (
-        F.when(tok.startswith("//"), "comment").when(F.rlike(tok, F.lit("^[hH]?@?[\"']")), "string").when(F.rlike(tok, F.lit("^\\d")), "number")
-        .when(tok == "|", "pipe").when(F.rlike(tok, F.lit("^[A-Za-z_]")), "word").when(F.rlike(tok, F.lit("^[=!<>~]+$")), "operator").otherwise("punctuation")
-    )
-    return parts.withColumn("stop", stop).where(~F.rlike(tok, F.lit("^\\s+$"))).select(key, (F.col("stop") - F.length("token")).alias("start"), "stop", kind.alias("kind"), "token")
-
-
-def masked(body: Column) -> Column:
-    """The text without comments, and with empty strings for its strings."""
-    # a string may hold //, a comment a quote: whichever starts first wins, so one pattern takes both
-    return F.regexp_replace(body, f"((?:{STRING}))|{COMMENT}", "\"\"")
-
-
-def structural_problem(body: Column) -> Column:
-    """Why a text cannot be a query, or null: empty, too long, fences, quotes or brackets that do not pair, a leading pipe, a placeholder."""
-    m = masked(body)
-    only = F.regexp_replace(m, "[^()\\[\\]{}]", "")
-    # a closing bracket takes its opening one off the stack, at any depth; what stays does not pair
-    pairs = lambda kept, c: c.isin(")", "]", "}") & (F.right(kept, F.lit(1)) == F.translate(c, ")]}", "([{"))
-    only = F.aggregate(F.split(only, ""), F.lit(""), lambda kept, c: F.when(pairs(kept, c), F.left(kept, F.length(kept) - 1)).otherwise(F.concat(kept, c)))
-    return (
-        F.when(F.trim(body) == "", "empty").when(F.length(body) > MAX_BODY, "too-long").when(F.contains(body, F.lit("```")), "code-fence")
-        .when(F.rlike(F.regexp_replace(m, "\"\"", ""), F.lit("[\"']")), "unbalanced-quote").when(only != "", "unbalanced-delimiter")
-        .when(F.rlike(m, F.lit("^\\s*\\|")), "leading-pipe").when(F.rlike(m, F.lit("(?i)<[a-z][a-z _-]*>|\\.\\.\\.$")), "placeholder")
-    )
-
-
-def pipe_operators(body: Column) -> Column:
-    """Distinct operators after a pipe, in order, 64 at most; ``order by`` and ``sort by`` keep their by."""
-    found = F.regexp_extract_all(F.lower(masked(body)), F.lit("\\|\\s*((?:order|sort)\\s+by|[a-z][a-z-]*)"), F.lit(1))
-    return F.slice(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "\\s+", " "))), 1, 64)
-
-
-def source_tables(body: Column) -> Column:
-    """Distinct names that statements, unions and joins read from, less let names and own words, 64 at most."""
-    m = masked(body)
-    lets = F.regexp_extract_all(m, F.lit("(?i)\\blet\\s+([A-Za-z_]\\w*)\\s*="), F.lit(1))
-    name = "([A-Za-z_]\\w*)"
-    starts = F.regexp_extract_all(m, F.lit(f"(?:(?:^|;)\\s*{name}\\s*(?=\\||$|;))"), F.lit(1))
-    nested = F.regexp_extract_all(m, F.lit(f"\\(\\s*{name}\\s*(?=\\|)"), F.lit(1))
-    assigned = F.regexp_extract_all(m, F.lit(f"(?i)\\blet\\s+\\w+\\s*=\\s*{name}\\s*(?=\\||;|$)"), F.lit(1))
-    joined = F.regexp_extract_all(m, F.lit(f"(?i)\\b(?:union|join|lookup)\\b(?:\\s+(?:kind|isfuzzy|withsource)\\s*=\\s*\\w+)*\\s*\\(?\\s*{name}"), F.lit(1))
-    listed = F.flatten(F.transform(F.regexp_extract_all(m, F.lit("(?i)\\bunion\\s+([A-Za-z_]\\w*(?:\\s*,\\s*[A-Za-z_]\\w*)+)"), F.lit(1)), lambda x: F.split(x, "\\s*,\\s*")))
-    found = F.array_distinct(F.concat(starts, nested, assigned, joined, listed))
-    return F.slice(F.filter(found, lambda x: ~F.array_contains(lets, x) & ~F.lower(x).isin(_OWN_WORDS)), 1, 64)
-
-
-def dialect_problems(dialect: Column, operators: Column) -> Column:
-    """Operators that the dialect does not have."""
-    out = F.array().cast("array<string>")
-    for name, allowed in DIALECT_OPERATORS.items():
-        bad = F.filter(operators, lambda x: ~F.regexp_replace(x, " by$", "").isin(allowed))  # noqa: B023
-        out = F.when(dialect == name, bad).otherwise(out)
-    return out
-
 
 def technique_tags(body: Column) -> Column:
     return F.transform(F.regexp_extract_all(body, F.lit(t.spark_pattern("\\bT\\d{4}(?:\\.\\d{3})?\\b")), F.lit(0)), F.lower)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
+from grainmill.functions.query_text import structural_problem
 from grainmill.operators.visibility import public
 
 #: Fields of the content hash in their fixed order.
@@ -42,8 +43,6 @@ def updated(current: DataFrame, edits: DataFrame) -> DataFrame:
 
 def with_visibility(heads: DataFrame, wishes: DataFrame, now: Column) -> DataFrame:
     """Sets visibility where the owner asks; the time of first publication stays; a body with a structural problem stays private."""
-    from grainmill.operators.ingest import structural_problem
-
     w = wishes.select("query_id", F.col("visibility").alias("wish"), F.col("owner_id").alias("by"))
     rows = heads.join(w, "query_id", "left")
     asked = F.coalesce(F.col("by") == F.col("owner_id"), F.lit(False)) & ((F.col("wish") == "private") | structural_problem(F.col("kql")).isNull())

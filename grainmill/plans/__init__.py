@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainmill.plans import corpus_queries, guard_queries, ingest_queries, lifecycle_queries, search_queries, state_queries, text_queries  # noqa: F401
+from grainmill.plans import corpus_queries, guard_queries, ingest_queries, lexer_queries, lifecycle_queries, parsing_queries, search_queries, state_queries, text_queries  # noqa: F401
 from grainmill.plans.catalogue import QUERIES, SQL
 
 

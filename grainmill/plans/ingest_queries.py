@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
-from grainmill.operators import ingest
+from grainmill.operators import ingest, parsing
 from grainmill.plans.catalogue import query
 from grainmill.plans.text_queries import LICENSES
 from grainmill.sources import corpus
@@ -81,7 +81,7 @@ def prefix_dialect_rule(spark, sf_dir):
 
 
 MARKDOWN = "# IP\n\n```kql\nSigninLogs\n| where IPAddress == \"{q}\"\n| take 10\n```\n\n## Subnet\n```sql\nselect 1\n```\n# IP\n~~~Kusto\nlet a = DeviceEvents;\na | union AuditLogs, SecurityEvent | summarize count() by DeviceId\n~~~\n```json\n{{}}\n```\n### Hunting query\n```\nHeartbeat | order by TimeGenerated\n```\n"
-YAML = "id: {q}\nname: \"Rule {q}\"\ndescription: Finds things\nquery: |\n  SigninLogs\n  | where UserId == {q}\n---\nname: Second\nquery: Heartbeat | take 5\n"
+YAML = "id: {q}\nname: \"Rule {q}\"\ndescription: Finds things\nquery: |\n  SigninLogs\n  | where UserId == {q}\n---\nname: Second\nseverity: Low\nquery: Heartbeat | take 5\n"
 
 
 def _texts(spark, sf_dir, template: str, ext: str):
@@ -94,58 +94,10 @@ def _texts(spark, sf_dir, template: str, ext: str):
     (VALUES (0, 'IP', 'kql', 'SigninLogs' || chr(10) || '| where IPAddress == "@"' || chr(10) || '| take 10'), (2, 'IP 2', 'kusto', 'let a = DeviceEvents;' || chr(10) || 'a | union AuditLogs, SecurityEvent | summarize count() by DeviceId'),
       (3, 'Hunting query', '', 'Heartbeat | order by TimeGenerated')) t(block, title, language, body)""")
 def markdown_blocks(spark, sf_dir):
-    return ingest.markdown_blocks(_texts(spark, sf_dir, MARKDOWN, "md"))
+    return parsing.markdown_blocks(_texts(spark, sf_dir, MARKDOWN, "md"), ["path"]).select("path", "block", "title", "language", "body")
 
 
 @query(f"""WITH {SQL} SELECT 'docs/' || query_id || '.yaml' AS path, block, replace(t.title, '@', query_id) AS title, t.description AS description, replace(body, '@', query_id) AS body FROM corpus,
     (VALUES (0, 'Rule @', 'Finds things', 'SigninLogs' || chr(10) || '| where UserId == @'), (1, 'Second', '', 'Heartbeat | take 5')) t(block, title, description, body)""")
 def yaml_rules(spark, sf_dir):
-    return ingest.yaml_rules(_texts(spark, sf_dir, YAML, "yaml"))
-
-
-BODIES = [
-    "SigninLogs | where User == \"a|b\" // find | take 5\n| summarize count() by User", "let x = DeviceEvents;\nx | join kind=inner (AuditLogs) on Id | sort by Time | project-away A",
-    "| where a == 1", "Heartbeat | where (a == 1", "T | where a == 'it", "union SigninLogs, AuditLogs | evaluate bag_unpack(x)",
-]
-EXPECT = [
-    ("", "where summarize", "SigninLogs", "summarize"), ("", "join|sort by|project-away", "AuditLogs|DeviceEvents", ""), ("leading-pipe", "where", "", ""),
-    ("unbalanced-delimiter", "where", "Heartbeat", ""), ("unbalanced-quote", "where", "T", ""), ("", "evaluate", "AuditLogs|SigninLogs", "evaluate"),
-]
-
-
-def _bodies(spark, sf_dir):
-    body = F.element_at(F.array(*map(F.lit, BODIES)), (F.col("doc_id") % len(BODIES) + 1).cast("int"))
-    return corpus.documents(spark, sf_dir).select("query_id", "doc_id", "dialect", body.alias("body"))
-
-
-def _case(column):
-    values = ["where|summarize" if v[column] == "where summarize" else v[column] for v in EXPECT]
-    return f"({_list(values)})[CAST(doc_id % {len(BODIES)} AS INT) + 1]"
-
-
-@query(f"WITH {SQL} SELECT query_id, nullif({_case(0)}, '') AS problem FROM corpus")
-def structure_check(spark, sf_dir):
-    return _bodies(spark, sf_dir).select("query_id", ingest.structural_problem(F.col("body")).alias("problem"))
-
-
-@query(f"WITH {SQL} SELECT query_id, {_case(1)} AS operators, {_case(2)} AS tables FROM corpus")
-def metadata_extract(spark, sf_dir):
-    rows = _bodies(spark, sf_dir)
-    return rows.select("query_id", F.array_join(ingest.pipe_operators(F.col("body")), "|").alias("operators"), F.array_join(F.array_sort(ingest.source_tables(F.col("body"))), "|").alias("tables"))
-
-
-@query(f"WITH {SQL} SELECT query_id, CASE WHEN dialect = 'azure-resource-graph' THEN replace({_case(3)}, 'summarize', '') ELSE '' END AS problems FROM corpus")
-def dialect_check(spark, sf_dir):
-    rows = _bodies(spark, sf_dir)
-    return rows.select("query_id", F.array_join(ingest.dialect_problems(F.col("dialect"), ingest.pipe_operators(F.col("body"))), "|").alias("problems"))
-
-
-@query()
-def lexemes(spark, sf_dir):
-    return ingest.lexemes(_bodies(spark, sf_dir), "query_id", "body")
-
-
-@query()
-def derived_tags(spark, sf_dir):
-    rows = _bodies(spark, sf_dir)
-    return rows.select("query_id", F.array_join(ingest.derived_tags(F.col("dialect"), ingest.source_tables(F.col("body")), F.col("body")), "|").alias("tags"))
+    return parsing.yaml_blocks(_texts(spark, sf_dir, YAML, "yaml"), ["path"]).select("path", "block", "title", "description", "body")

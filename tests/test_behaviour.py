@@ -7,8 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill.functions import lexer, query_text
 from grainmill.functions import text as t
-from grainmill.operators import audit, cursors, feeds, ingest, retrieval, state
+from grainmill.operators import audit, cursors, feeds, ingest, parsing, retrieval, state
 from grainmill.operators.visibility import array_has, clamp_limit, readable
 
 DAY = dt.datetime(2024, 1, 1)
@@ -183,16 +184,16 @@ def test_file_gate(spark):
 
 def test_markdown_fences(spark):
     text = "# One\n```kql\nT | take 1\n```\n```sql\nselect\n```\n```Kusto\nT | take 2"
-    got = ingest.markdown_blocks(spark.createDataFrame([("a.md", text)], "path string, content string")).orderBy("block").collect()
+    got = parsing.markdown_blocks(spark.createDataFrame([("a.md", text)], "path string, content string"), ["path"]).orderBy("block").collect()
     assert [(r["block"], r["title"], r["body"]) for r in got] == [(0, "One", "T | take 1"), (2, "One 2", "T | take 2")]
 
 
 def test_query_text(spark):
     body = "let a = SignIn;\n// T | where x\na | where y == \"b|c\" | join kind=inner (Audit) on z | order   by t"
     row = spark.createDataFrame([(1, body)], "k int, body string")
-    got = row.select(ingest.source_tables(F.col("body")), ingest.pipe_operators(F.col("body")), ingest.structural_problem(F.col("body"))).first()
+    got = row.select(query_text.source_tables(F.col("body")), query_text.pipe_operators(F.col("body")), query_text.structural_problem(F.col("body"))).first()
     assert (sorted(got[0]), got[1], got[2]) == (["Audit", "SignIn"], ["where", "join", "order by"], None)
-    toks = ingest.lexemes(row, "k", "body").orderBy("start").collect()
+    toks = lexer.lexemes(row, "k", "body").orderBy("start").collect()
     assert all(body[r["start"] : r["stop"]] == r["token"] for r in toks)
     assert all(a["stop"] <= b["start"] for a, b in zip(toks, toks[1:]))
 
@@ -230,5 +231,5 @@ def test_array_filter_ignores_case(spark):
 def test_deep_brackets_pair(spark):
     deep = "([{" * 40 + "}])" * 40
     rows = [(f"T | where {deep}",), (f"T | where {deep[:-1]}",), ("T | where ([)]",), ("T | where )(",), ("T",)]
-    got = spark.createDataFrame(rows, "body string").select(ingest.structural_problem(F.col("body"))).collect()
+    got = spark.createDataFrame(rows, "body string").select(query_text.structural_problem(F.col("body"))).collect()
     assert [r[0] for r in got] == [None, *["unbalanced-delimiter"] * 3, None]
