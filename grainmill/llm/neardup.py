@@ -192,7 +192,7 @@ def _alike(left: list[np.ndarray], right: list[np.ndarray], percent: int, apart:
     out = np.zeros(near.shape, bool)
     if len(rows):
         l, r = [left[i] for i in rows], [right[j] for j in cols]
-        both = overlaps(l, r)
+        both = overlaps(l, r).astype(np.int64)  # 100 times a large count would be rounded otherwise
         total = np.array([len(s) for s in l])[:, None] + np.array([len(s) for s in r])[None, :]
         out[np.ix_(rows, cols)] = 100 * both >= percent * (total - both)
         out &= near

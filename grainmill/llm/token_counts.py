@@ -4,7 +4,8 @@ Texts are cut into pieces (pieces.py) and these, by the vocabulary's own pattern
 into pre-tokens. New distinct pre-tokens are held as one ragged numpy array of
 symbols. In every round each pre-token's lowest-rank pair is found, and all its
 occurrences are merged, for all pre-tokens at the same time; a pre-token without a
-pair that merges has its number of surviving symbols as count.
+pair that merges has its number of surviving symbols as count. Very long pre-tokens keep their places in a queue by
+rank, so that a round costs what it changes.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens). Repeated rows are counted
 each. Other columns are not read. A null id is passed on. An empty table gives no rows.
@@ -12,6 +13,7 @@ each. Other columns are not read. A null id is passed on. An empty table gives n
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -23,6 +25,8 @@ from grainmill.llm.library_tokens import BYTE_ALPHABET, _PLAIN
 from grainmill.llm.pieces import PieceTable, byte_level_cuts, frugal, in_batches, kept
 
 _NONE = np.int64(2**40)
+#: Pre-tokens of more bytes are merged one by one, with queues of places.
+LONG = 512
 
 
 class PairRanks:
@@ -75,6 +79,75 @@ class MergeModel:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Symbols that survive in each pre-token."""
+        out = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(out > LONG)
+        if len(long):
+            out[long] = [self.long_count(words[i]) for i in long]
+            rest = np.setdiff1d(np.arange(len(words)), long)
+            if len(rest):
+                out[rest] = self._together([words[i] for i in rest])
+            return out
+        return self._together(words)
+
+    def long_count(self, word: bytes) -> int:
+        """The same for one long pre-token, where a round touches only what it changes.
+
+        Places wait in a queue by the rank of the pair that begins there; neighbours are linked. A round takes all places of the
+        lowest rank, merges them at once and ranks the pairs beside them again, so a text without a break costs about its length.
+        """
+        sym = self.byte[np.frombuffer(word, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, _NONE, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Ranks the pairs that begin at these places, and lets them wait."""
+            at = at[after[at] < n]
+            rank[at] = self.ranks.find(sym[at] * self.width + sym[after[at]])
+            at = at[rank[at] < _NONE]
+            if not len(at):
+                return
+            order = np.argsort(rank[at], kind="stable")
+            at, r = at[order], rank[at[order]]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                key = int(r[a])
+                if key not in waiting:
+                    waiting[key] = []
+                    heapq.heappush(ranks, key)
+                waiting[key].append(at[a:z])
+
+        wait(np.arange(n))
+        left = n
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            parts = waiting.pop(lowest)
+            at = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            at = at[rank[at] == lowest]
+            if not len(at):
+                continue
+            run = np.append(False, after[at[:-1]] == at[1:])  # overlapping occurrences, such as a a a: every second one counts
+            if run.any():
+                pos = np.arange(len(at))
+                at = at[((pos - np.maximum.accumulate(np.where(run, 0, pos))) & 1) == 0]
+            gone = after[at]
+            sym[at] = self.merged[lowest]
+            rank[gone] = _NONE
+            rank[at] = _NONE
+            beyond = after[gone]
+            after[at] = beyond
+            inside = beyond < n
+            before[beyond[inside]] = at[inside]
+            left -= len(at)
+            back = before[at]
+            back = back[back >= 0]
+            rank[back] = _NONE
+            wait(np.unique(np.concatenate([back, at])))
+        return left
+
+    def _together(self, words: list[bytes]) -> np.ndarray:
         out = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), out)

@@ -57,6 +57,10 @@ def usable(rows: DataFrame) -> DataFrame:
     return found.withColumn("v", F.when(F.octet_length("v") == (widths["w"] if widths else 0), F.col("v")))
 
 
+#: Products this near the threshold are computed again by the formula of single pairs.
+NEAR_LIMIT = 1e-12
+
+
 def item_type(rows: DataFrame) -> str:
     return "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else "<f8"
 
@@ -66,6 +70,16 @@ def matrix(values, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(len(values), -1).astype(float)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: squares of huge and tiny ones stay finite, no bit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None]) if x.size else x
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``x`` with the same row of ``y``, both scaled: the one formula that decides."""
+    return (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+
+
 def _sample(found: DataFrame, n: int, most: int, kind: str) -> np.ndarray:
     rows = found.where(drawn([F.col("v")], "fit", most / max(1, n))).select("v").limit(2 * most).collect()  # bounded by ``most``
     if n and not rows:
@@ -83,6 +97,7 @@ class Quantiser:
     """
 
     def __init__(self, x: np.ndarray, bits: int, random: int = 0, steps: int = 40) -> None:
+        x = scaled(x)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.mean = x.mean(0)
         _, axes = np.linalg.eigh(np.cov((x - self.mean).T).reshape(x.shape[1], -1))
@@ -157,7 +172,7 @@ def _class_links(classes: DataFrame, m: int, least: float, kind: str) -> DataFra
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                v = matrix(batch.column(1).to_pylist(), kind)
+                v = scaled(matrix(batch.column(1).to_pylist(), kind))
                 bits = model.bits(v / np.linalg.norm(v, axis=1, keepdims=True))
                 keys = _keys(bits[:, : b * tables], b)
                 packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
@@ -234,8 +249,7 @@ def _rerank(least: float, kind: str):
             if not batch.num_rows:
                 continue
             col = lambda c: batch.column(batch.schema.get_field_index(c))
-            x, y = matrix(col("va").to_pylist(), kind), matrix(col("vb").to_pylist(), kind)
-            cosine = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            cosine = cosines(scaled(matrix(col("va").to_pylist(), kind)), scaled(matrix(col("vb").to_pylist(), kind)))
             a, b, rep_a, rep_b, n_a, n_b = (col(c).to_numpy()[cosine >= least] for c in ("a", "b", "repa", "repb", "na", "nb"))
             kinds = np.repeat([0, 0, 1], len(a)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([a, b, rep_a])), pa.array(np.concatenate([n_b, n_a, rep_b]))], names=["kind", "a", "b"])
@@ -248,10 +262,13 @@ def _dense(frame: pd.DataFrame, b: int, tables: int, least: float, kind: str) ->
     frame = frame.sort_values("row")
     row, side, rep, n = (frame[c].to_numpy() for c in ("row", "side", "rep", "n"))
     keys = _keys(_unpacked(frame)[:, : b * tables], b)
-    v = matrix(frame["v"].tolist(), kind)
-    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = scaled(matrix(frame["v"].tolist(), kind))
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
     l, r = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    near = v[l] @ v[r].T >= least
+    product = v[l] @ v[r].T
+    near = product >= least
+    i, j = np.nonzero(np.abs(product - least) < NEAR_LIMIT)  # rounding could decide here
+    near[i, j] = cosines(x[l[i]], x[r[j]]) >= least
     if side[0] == 2:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)

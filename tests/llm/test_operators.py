@@ -266,6 +266,21 @@ def _twins(n):
     return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
+def test_unbroken_texts_cost_about_their_length():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    model, library = token_counts.MergeModel(path), Tokenizer.from_file(path)
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (513, 600, 5000, 1_000_000)] + ["a" * 100_001, "ab" * 30_000, "thethe" * 5000, "x" * 512]
+    for text in texts:
+        began = time.perf_counter()
+        assert model.counts([text.encode(), b"the"]).tolist() == [len(library.encode(text, add_special_tokens=False).ids), 1]
+        assert time.perf_counter() - began < 40
+
+
 def test_crafted_and_long_texts(spark):
     one, two = _twins(4096)
     rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, "x" * 1_300_000), (5, "漢" * 600_000), (6, "y " * 700_000), (7, two)]
@@ -373,6 +388,29 @@ def test_vectors_awkward(spark):
     assert vectors.near_vectors(none).count() == 0 and vectors.nearest(none).count() == 0
 
 
+@pytest.mark.parametrize("dense", [None, -1.0])
+def test_huge_and_tiny_vectors(spark, monkeypatch, dense):
+    if dense is not None:
+        monkeypatch.setattr(vectors, "DENSE", dense)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(28)] + [(100, [1e-200, 0.0, 0.0, 0.0]), (101, [1e200, 1e190, 0.0, 0.0]), (102, [1e200, 0.0, 0.0, 0.0]), (103, [5e-324, 0.0, 0.0, 0.0]), (104, [0.0, 0.0, -1.7e308, 1e308])]
+    rows += [(200, [1.0, 0.0, 0.0, 0.0]), (201, [0.9, 0.19**0.5, 0.0, 0.0]), (202, [9e150, 0.19**0.5 * 1e151, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vectors.near_vectors(df).collect()}
+    x = vectors.scaled(np.array([v for _, v in rows]))
+    ids = [i for i, _ in rows]
+    for a, i in enumerate(ids):
+        assert got[i][0] == sum(vectors.cosines(x[a : a + 1], x[b : b + 1])[0] >= 0.9 for b in range(len(ids)) if b != a), i
+    assert len({got[i][1] for i in (100, 101, 102, 103, 200)}) == 1
+
+
+def test_overlaps_of_large_sets_are_not_rounded():
+    both, left, right = 671_091, 111_848, 111_849  # exactly 75 percent
+    x, y = np.arange(both + left, dtype=np.uint64), np.append(np.arange(both, dtype=np.uint64), np.arange(10**7, 10**7 + right, dtype=np.uint64))
+    assert 100 * both == 75 * (both + left + right) and neardup._alike([x], [y], 75).all()
+    assert not neardup._alike([x], [np.append(y, np.uint64(10**8))], 75).any()
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 64)
     r = np.random.default_rng(4)
