@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.operators.visibility import after, clamp_limit, public, readable
+from grainmill.operators.visibility import after, clamp_limit, feed_rule, public, readable
 from grainmill.sources.corpus import ISO
 
 
@@ -48,8 +48,9 @@ def owned(heads: DataFrame, owner: int, cursor: tuple | None = None, limit: int
 
 
 def public_feed(heads: DataFrame, cursor: tuple | None = None, limit: int | None = None) -> DataFrame:
-    """Public rows by stars, then newest first."""
-    return _page(heads.where(public()), ["star_count", "updated_at", "query_id"], cursor, clamp_limit(limit, 20))
+    """Rows of the feed rule by stars, then newest first; heads without a provider column have rows of owners only."""
+    rule = feed_rule("provider" if "provider" in heads.columns else F.lit(None).cast("string"))
+    return _page(heads.where(rule), ["star_count", "updated_at", "query_id"], cursor, clamp_limit(limit, 20))
 
 
 def starred(heads: DataFrame, stars: DataFrame, user: int, cursor: tuple | None = None, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
@@ -30,15 +30,18 @@ def created(requests: DataFrame, now: Column) -> DataFrame:
     return requests.where(F.size(problems()) == 0).withColumns({"version_number": F.lit(1).cast("long"), "content_hash": content_hash(), "created_at": now})
 
 
-def updated(current: DataFrame, edits: DataFrame) -> DataFrame:
-    """New versions from owners' edits: equal content makes none.
+def updated(current: DataFrame, edits: DataFrame, at: str | None = None) -> DataFrame:
+    """New versions from owners' edits: content equal to the version before makes none.
 
-    ``current`` has query_id, owner_id, version_number and content_hash, ``edits`` query_id, editor and the content fields.
+    ``current`` has query_id, owner_id, version_number and content_hash, ``edits`` query_id, editor and the content fields. Several edits of one query
+    are taken in the order of ``at`` (without it, and among equal times, in the order of their content hashes) and numbered one after the other.
     """
     known = current.select("query_id", "owner_id", "version_number", F.col("content_hash").alias("old_hash"))
-    rows = edits.select("query_id", "editor", *CONTENT).withColumn("content_hash", content_hash()).join(known, "query_id")
-    rows = rows.where((F.col("editor") == F.col("owner_id")) & (F.col("content_hash") != F.col("old_hash")))
-    return rows.select("query_id", (F.col("version_number") + 1).alias("version_number"), "content_hash", *CONTENT)
+    made = edits.select("query_id", "editor", *CONTENT, (F.col(at) if at else F.lit(None)).alias("_at")).withColumn("content_hash", content_hash()).join(known, "query_id")
+    by = Window.partitionBy("query_id").orderBy("_at", "content_hash")
+    own = made.where(F.col("editor") == F.col("owner_id")).withColumn("_before", F.coalesce(F.lag("content_hash").over(by), "old_hash"))
+    rows = own.where(~F.col("content_hash").eqNullSafe(F.col("_before"))).withColumn("_nth", F.row_number().over(by))
+    return rows.select("query_id", (F.col("version_number") + F.col("_nth")).alias("version_number"), "content_hash", *CONTENT)
 
 
 def with_visibility(heads: DataFrame, wishes: DataFrame, now: Column) -> DataFrame:

@@ -56,7 +56,7 @@ def build_index(docs: DataFrame) -> str:
     """Writes the inverted index of index documents to a new shared folder and returns its path.
 
     ``postings`` has (term, doc_id, weight, len), in ranges of terms and sorted by term, so that Parquet's statistics
-    leave a search only the row groups of its prefixes; ``stats`` has one row (n, total).
+    leave a search only the row groups of its prefixes; ``stats`` has one row (n, total), ``versions`` the (doc_id, version_id) that was indexed.
     """
     spark, path = docs.sparkSession, new_folder(docs.sparkSession)
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("field"))
@@ -64,6 +64,7 @@ def build_index(docs: DataFrame) -> str:
     length = toks.groupBy("doc_id").agg(F.sum(F.size("tokens")).cast("long").alias("len"))
     terms = toks.select("doc_id", "w", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
     terms.join(length, "doc_id").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    docs.select("doc_id", "version_id").write.parquet(f"{path}/versions")
     docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(length.agg(F.sum("len").alias("total"))).write.parquet(f"{path}/stats")
     return path
 
@@ -104,7 +105,7 @@ def lexical_score(query: str, now: Column) -> Column:
 
 
 def lexical(heads: DataFrame, docs: DataFrame, index: str, query: str, readable: Column, now: Column, filters: Column | None = None, limit: int = 20) -> DataFrame:
-    """Ranked hits of a stored index that the viewer may read; no term, no hit.
+    """Ranked hits of a stored index that the viewer may read; no term, no hit. A document whose current version is not the one that was indexed is none.
 
     ``docs`` has the texts, ``heads`` what filters and scores need as well. Texts are not carried
     through joins and sorts: the hits, ``limit`` rows, are broadcast to fetch theirs.
@@ -114,7 +115,9 @@ def lexical(heads: DataFrame, docs: DataFrame, index: str, query: str, readable:
         return heads.limit(0).withColumn("score", F.lit(0.0))
     ranks = bm25(heads.sparkSession, index, terms)
     narrow = heads.where(readable if filters is None else readable & filters).drop("kql", "description")
-    rows = narrow.join(ranks, "doc_id").withColumn("score", lexical_score(query, now))
+    indexed = heads.sparkSession.read.parquet(f"{index}/versions").withColumnRenamed("version_id", "_indexed")
+    current = narrow.join(ranks.join(indexed, "doc_id"), "doc_id").where(F.col("_indexed") == F.col("version_id")).drop("_indexed")
+    rows = current.withColumn("score", lexical_score(query, now))
     order = [F.desc(F.round("score", 9)), F.desc("star_count"), F.desc("updated_at"), F.col("query_id")]
     hits = rows.orderBy(*order).limit(limit)
     return docs.select("doc_id", "kql", "description").join(F.broadcast(hits), "doc_id").orderBy(*order)

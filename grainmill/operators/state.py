@@ -40,8 +40,8 @@ def open_reports(reports: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def unpublish(reports: DataFrame, actioned: DataFrame) -> DataFrame:
-    """An unpublished row's open reports become actioned."""
-    hit = actioned.select("doc_id", F.lit(True).alias("hit"))
+    """An unpublished row's open reports become actioned, however often it was actioned."""
+    hit = actioned.select("doc_id").distinct().withColumn("hit", F.lit(True))
     marked = reports.join(hit, "doc_id", "left")
     return marked.withColumn("status", F.when(F.col("hit"), "actioned").otherwise("open")).withColumn("moderation_status", F.when(F.col("hit"), "unpublished").otherwise("visible")).drop("hit")
 
@@ -85,9 +85,10 @@ def merged_heads(heads: DataFrame, versions: DataFrame, incoming: DataFrame) ->
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows by key; new values replace old ones."""
+    """Rows by key; new values replace old ones. Of new rows that repeat a key the last by all columns counts; old keys are unique."""
     cols = [c for c in old.columns if c != key]
-    joined = old.select(key, *(F.col(c).alias(f"{c}_old") for c in cols), F.lit(True).alias("has_old")).join(new.select(key, *cols, F.lit(True).alias("has_new")), key, "full")
+    last = new.groupBy(key).agg(F.max(F.struct(*cols)).alias("_row")).select(key, *(F.col("_row")[c].alias(c) for c in cols), F.lit(True).alias("has_new"))
+    joined = old.select(key, *(F.col(c).alias(f"{c}_old") for c in cols), F.lit(True).alias("has_old")).join(last, key, "full")
     return joined.select(key, *(F.when(F.col("has_new"), F.col(c)).otherwise(F.col(f"{c}_old")).alias(c) for c in cols))
 
 

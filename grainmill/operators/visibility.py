@@ -17,9 +17,10 @@ def public() -> Column:
     return (F.col("visibility") == "public") & (F.col("moderation_status") == "visible") & ~F.col("deleted")
 
 
-def feed_rule(provider: str = "provider") -> Column:
+def feed_rule(provider: str | Column = "provider") -> Column:
     """Public rows with a current version that have an owner or came from a repository: bundled samples stay out of the feed."""
-    return public() & F.col("version_id").isNotNull() & (F.col("owner_id").isNotNull() | (F.col(provider) == "github"))
+    came = F.col(provider) if isinstance(provider, str) else provider
+    return public() & F.col("version_id").isNotNull() & (F.col("owner_id").isNotNull() | F.coalesce(came == "github", F.lit(False)))
 
 
 def any_of(column: str | Column, values: Sequence[str]) -> Column:

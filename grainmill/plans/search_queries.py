@@ -31,12 +31,14 @@ SCORED = f"""scored AS (SELECT c.*, least(1.0, rank / (1 + rank) + CASE WHEN low
 hits AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, star_count DESC, updated_at DESC, query_id) AS place FROM scored QUALIFY place <= 20)"""
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
 def _index(spark, sf_dir):
-    """The stored index of a folder's documents, built once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored index of a folder's documents, built once a session for each state of its files (paths, sizes, times)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet")
+    state_of = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime")))  # contents are not read
+    key = (spark.sparkContext.applicationId, sf_dir, *state_of.first())
     if key not in _INDEXES:
         _INDEXES[key] = retrieval.build_index(retrieval.index_documents(corpus.documents(spark, sf_dir)))
     return _INDEXES[key]
