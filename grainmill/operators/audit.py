@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
+from grainmill.functions.lexer import bound, masked
+from grainmill.functions.query_text import is_prose, structural_problem
 
 #: Lines that wrap a query in prose or shell; fixed value.
 WRAPPER = r"""(?i)^\s*(?:use\s+case\s*:|what\s+it\s+does\s*:|purpose\s*:|description\s*:|author\s*:|query\s*:|intune\s+device\s+query\s*[-:]\s*kql\s*$|```(?:kql|kusto)?\s*$|#{1,6}\s+\S|set\s+"[^"\r\n]+=[^"\r\n]*"\s*&&\s*(?:cmd(?:\.exe)?\b|[A-Za-z0-9_.-]+\.exe\b)|cmd(?:\.exe)?\s+/c\b|powershell(?:\.exe)?\s+(?:-|/)|pwsh(?:\.exe)?\s+(?:-|/))"""
@@ -15,15 +17,18 @@ TYPED = r"(?i)^\s*(?:description|author)\s*:\s*(?:bool|datetime|decimal|dynamic|
 
 def findings(rows: DataFrame) -> DataFrame:
     """Rows (query_id, code). rows: documents with version_known; an unknown version ends a row's checks, but for tables and lists of their own."""
-    lines = F.split("kql", "\\r?\\n")
-    wrapped = F.exists(lines, lambda x: F.rlike(x, F.lit(WRAPPER)) & ~F.rlike(x, F.lit(TYPED)))
+    line = lambda x: F.rlike(x, F.lit(WRAPPER)) & ~F.rlike(x, F.lit(TYPED))
+    # comments may say what they like; a line or a sentence in the code may not
+    wrapped = bound(masked(F.col("kql"), None), lambda code: F.exists(F.split(code, "\\r?\\n"), line)) | is_prose(F.col("kql"))
     checks = {
         "dangling-version": ~F.col("version_known"),
         "empty-description": F.trim("description") == "",
         "empty-tags": F.size("tags") == 0,
+        **({"empty-explanation": F.trim(F.coalesce("explanation", F.lit(""))) == ""} if "explanation" in rows.columns else {}),
         "tableless": F.size("tables") == 0,
         "generic-title": t.is_generic_title(F.col("title")),
         "prose-wrapper": wrapped,
+        "invalid-structure": structural_problem(F.col("kql")).isNotNull(),
         "suspicious-table": F.exists("tables", lambda x: F.lower(x).isin(t.SUSPICIOUS_TABLES)),
     }
     codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))

@@ -64,16 +64,6 @@ def event_tags(body: Column) -> Column:
     return F.transform(found, lambda x: F.concat(F.lit("event-id-"), x))
 
 
-def derived_tags(dialect: Column, tables: Column, text: Column) -> Column:
-    """Dialect, four tables, topics, table families, event ids and techniques, 12 at most."""
-    tag = lambda x: F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 64)
-    names = F.transform(F.slice(tables, 1, 4), tag)
-    families = t.matched_rules(F.array_join(tables, " "), t.CATEGORY_RULES, "(?i)")
-    every = F.concat(F.array(dialect), names, t.matched_rules(text, t.TOPIC_RULES, "(?i)"), families, event_tags(text), technique_tags(text))
-    every = F.array_distinct(F.filter(every, lambda x: x != ""))
-    return F.slice(F.when(F.size(every) < 2, F.concat(every, F.array(F.lit("community-query")))).otherwise(every), 1, 12)
-
-
 # ---- sources
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import lexer, query_text
 from grainmill.functions.lexer import CHUNK
-from grainmill.operators import diagnostics, ingest
+from grainmill.operators import audit, diagnostics, enrichment
 from grainmill.plans.catalogue import query
 from grainmill.plans.query_bodies import SQL as BODIES
 from grainmill.plans.query_bodies import bodies
@@ -69,13 +69,15 @@ def _nested(value: str, times: int = 12) -> str:
 _CLOSED = _re(lexer._CLOSED)
 
 
-@query(f"""WITH {CORPUS}, {BODIES},
-    m AS (SELECT query_id, body, {_mask("body", '"')} AS m, {_mask("body", None)} AS code, len(list_filter(regexp_extract_all(body, {_re(CHUNK)}), lambda c: regexp_matches(c, '^(?:@?["'']|```|~~~|/\\*)') AND NOT regexp_full_match(c, {_CLOSED}))) AS open_ FROM q),
-    n AS (SELECT *, {_nested("m")} AS flat FROM m),
-    l AS (SELECT *, list_filter(list_transform(string_split(flat, ';'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')[-1] AS last_ FROM n)
-    SELECT query_id, CASE WHEN trim(body) = '' THEN 'empty' WHEN length(body) > 100000 THEN 'too-long' WHEN open_ > 0 THEN 'unbalanced-quote' WHEN regexp_matches(flat, '[()\\[\\]{{}}]') THEN 'unbalanced-delimiter'
-      WHEN regexp_matches(code, '(?i)\\blet\\s+[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*(?:;|\\z)') THEN 'empty-let' WHEN regexp_matches(body, '(?mi)^\\s*//+\\s*let\\s+Function\\s*=') THEN 'commented-wrapper' WHEN last_ IS NULL THEN 'no-result'
-      WHEN regexp_matches(last_, '(?i)^(?:alias|declare|let|pattern|restrict|set)\\b') THEN 'ends-with-declaration' WHEN starts_with(last_, '|') THEN 'leading-pipe' WHEN last_ = '...' THEN 'placeholder' END AS problem FROM l""")
+STRUCTURE = f"""m1 AS (SELECT query_id, body, {_mask("body", '"')} AS m, {_mask("body", None)} AS code, len(list_filter(regexp_extract_all(body, {_re(CHUNK)}), lambda c: regexp_matches(c, '^(?:@?["'']|```|~~~|/\\*)') AND NOT regexp_full_match(c, {_CLOSED}))) AS open_ FROM q),
+n1 AS (SELECT *, {_nested("m")} AS flat FROM m1),
+l1 AS (SELECT *, list_filter(list_transform(string_split(flat, ';'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')[-1] AS last_ FROM n1),
+structure AS (SELECT query_id, code, CASE WHEN trim(body) = '' THEN 'empty' WHEN length(body) > 100000 THEN 'too-long' WHEN open_ > 0 THEN 'unbalanced-quote' WHEN regexp_matches(flat, '[()\\[\\]{{}}]') THEN 'unbalanced-delimiter'
+  WHEN regexp_matches(code, '(?i)\\blet\\s+[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*(?:;|\\z)') THEN 'empty-let' WHEN regexp_matches(body, '(?mi)^\\s*//+\\s*let\\s+Function\\s*=') THEN 'commented-wrapper' WHEN last_ IS NULL THEN 'no-result'
+  WHEN regexp_matches(last_, '(?i)^(?:alias|declare|let|pattern|restrict|set)\\b') THEN 'ends-with-declaration' WHEN starts_with(last_, '|') THEN 'leading-pipe' WHEN last_ = '...' THEN 'placeholder' END AS problem FROM l1)"""
+
+
+@query(f"WITH {CORPUS}, {BODIES}, {STRUCTURE} SELECT query_id, problem FROM structure")
 def structure_check(spark, sf_dir):
     return _bodies(spark, sf_dir).select("query_id", query_text.structural_problem(F.col("body")).alias("problem"))
 
@@ -138,7 +140,9 @@ def dialect_diagnostics(spark, sf_dir):
 @query()
 def derived_tags(spark, sf_dir):
     rows = _bodies(spark, sf_dir)
-    return rows.select("query_id", F.array_join(ingest.derived_tags(F.col("dialect"), query_text.source_tables(F.col("body")), F.col("body")), "|").alias("tags"))
+    body, none = F.col("body"), F.lit("")
+    tags = enrichment.derived_tags(F.col("dialect"), none, none, F.concat("query_id", F.lit(".kql")), body, query_text.source_tables(body), query_text.pipe_operators(body))
+    return rows.select("query_id", F.array_join(tags, "|").alias("tags"))
 
 
 #: Tables of a list that a model might propose; those count that stand in the text.
@@ -153,3 +157,17 @@ def verified_tables(spark, sf_dir):
     body = F.col("body")
     kept = query_text.kept_tables(body, query_text.source_tables(body), F.array(*map(F.lit, PROPOSED)))
     return _bodies(spark, sf_dir).select("query_id", F.array_join(kept, "|").alias("tables"))
+
+
+_SENTENCE = "'" + query_text._SENTENCE.replace("(?md)", "(?m)").replace("(?=$|[;\\n])", "(?:$|[;\\n])").replace("(?![a-z0-9_])", "\\b").replace("'", "''") + "'"
+_WRAPPED = f"len(list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, '{audit.WRAPPER.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(x, '{audit.TYPED}'))) > 0"
+
+
+@query(f"""WITH {CORPUS}, {BODIES.replace("q AS (", "bodies AS (")}, q AS (SELECT query_id, CASE WHEN length(kql) % 2 = 0 THEN body ELSE kql END AS body FROM bodies), {STRUCTURE}
+    SELECT query_id, 'invalid-structure' AS code FROM structure WHERE problem IS NOT NULL UNION ALL
+    SELECT query_id, 'prose-wrapper' FROM structure JOIN (SELECT query_id, {_mask("body")} AS m FROM q) USING (query_id) WHERE {_WRAPPED} OR regexp_matches(m, {_SENTENCE})""")
+def audit_texts(spark, sf_dir):
+    """Half of the texts are bodies, half the documents' own prose."""
+    rows = _bodies(spark, sf_dir).withColumn("kql", F.when(F.length("kql") % 2 == 0, F.col("body")).otherwise(F.col("kql")))
+    rows = rows.withColumns({"version_known": F.lit(True), "description": F.lit("d"), "title": F.lit("x"), "tags": F.array(F.lit("t")), "tables": F.array(F.lit("T"))})
+    return audit.findings(rows)

@@ -176,3 +176,13 @@ def outbox_stream(spark, sf_dir):
     from grainmill.streaming import outbox
 
     return outbox.replay(spark, sf_dir)
+
+
+@query("""WITH j AS (SELECT event_id AS job_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click')
+    SELECT job_id, action, CAST(attempts AS INTEGER) AS attempts, reason, ms + after AS at_ms FROM j, (VALUES
+      (0, 'due', 0, 'new', 0), (0, 'completed', 1, '', 2000), (1, 'due', 0, 'new', 0), (1, 'due', 1, 'lease-expired', 301000), (1, 'completed', 2, '', 303000),
+      (2, 'due', 0, 'new', 0), (2, 'due', 1, 'retry', 32000), (2, 'completed', 2, '', 34000), (3, 'due', 0, 'new', 0), (3, 'due', 1, 'lease-expired', 301000)) c(rest, action, attempts, reason, after) WHERE job_id % 4 = rest""")
+def lease_stream(spark, sf_dir):
+    from grainmill.streaming import leases
+
+    return leases.replay(spark, sf_dir)

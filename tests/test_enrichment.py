@@ -40,7 +40,7 @@ def test_known_titles(spark):
         "Successful Device Code Authentication Unmanaged Device - Microsoft Sentinel and Defender XDR", "Update rings - Defender XDR", "MDE Audit: Find Isolate Device events - Part 2 - Defender XDR", "T query", "Browser - Microsoft Sentinel",
         "Summarize T by Device Id",
     ]
-    assert got[0]["description"] == "Queries AADSignInEventsBeta to investigate monitor Cloud Break Glass Account." and got[2]["description"] == "Finds unsigned drivers on the device."
+    assert got[0]["description"] == "Monitors cloud Break Glass Account from AADSignInEventsBeta." and got[2]["description"] == "Finds unsigned drivers on the device."
     assert {"defender-xdr", "aad-sign-in-events-beta", "authentication"} <= set(got[0]["tags"]) and {"intune", "windows-event", "application-hang", "event-id-1002", "single-device"} <= set(got[1]["tags"])
     assert got[5]["tags"] == ["defender-xdr", "t"] and all(len(set(r["tags"])) == len(r["tags"]) <= 12 for r in got)
 
