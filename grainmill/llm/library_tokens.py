@@ -61,6 +61,7 @@ def piece_table(path: str) -> PieceTable:
         width = np.fromiter(map(len, found), np.int64, len(found))
         return width, np.fromiter(chain.from_iterable(found), np.int32, int(width.sum()))
 
-    table = PieceTable(word_level_cuts if words else byte_level_cuts, encode)
+    # a word-level vocabulary has few distinct pieces, so half the room serves as well
+    table = PieceTable(word_level_cuts, encode, limit=500_000, most_bytes=1 << 23) if words else PieceTable(byte_level_cuts, encode)
     table.item = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"  # what an id fits in
     return table

@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import materialize
+from grainmill.llm.common import arrow_rows, materialize
 from grainmill.llm.library_tokens import piece_table
 from grainmill.llm.pieces import eased, frugal, in_batches
 
+#: Whole texts that go to Python at once.
+TEXT_ROWS = 1000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, place bigint"
 
 
@@ -225,7 +227,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, group_rows: int = 20_000, with_ids: bool = False) -> DataFrame:
     """All pieces with their sequence and offset, and with their ids if asked for, as little-endian unsigned integers of
     two bytes (four where the vocabulary has more than 65,536 entries): these do not travel through the search, but meet its result by place."""
-    pieces = materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids))
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        pieces = materialize(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids))
     packed = pack(dealt(pieces.drop("ids"), group_rows), capacity)
     if with_ids:
         packed = packed.join(pieces.select("place", "ids").hint("merge"), "place")
