@@ -34,17 +34,28 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def masked(body: Column, strings: str | None = " ") -> Column:
-    """The text with blanks for its comments and ``strings`` for each character of its strings (None: strings stay); line breaks stay."""
+def _joined(chunks: Column, strings: str | None) -> Column:
     by = lambda c, sign: F.regexp_replace(c, "[^\\n\\r]", sign)
 
     def chunk(c: Column) -> Column:
         out = F.when(c.startswith("//") | c.startswith("/*"), by(c, " "))
         if strings is not None:
-            out = out.when(F.rlike(c, F.lit("^(?:@?[\"']|```|~~~)")), by(c, strings))
+            literal = c.startswith('"') | c.startswith("'") | c.startswith('@"') | c.startswith("@'") | c.startswith("```") | c.startswith("~~~")
+            out = out.when(literal, by(c, strings))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(CHUNK), F.lit(0)), chunk), "")
+    return F.array_join(F.transform(chunks, chunk), "")
+
+
+def masked(body: Column, strings: str | None = " ") -> Column:
+    """The text with blanks for its comments and ``strings`` for each character of its strings (None: strings stay); line breaks stay."""
+    return _joined(F.regexp_extract_all(body, F.lit(CHUNK), F.lit(0)), strings)
+
+
+def masks(body: Column) -> Column:
+    """The masks that rules need, from one pass over the text: code (strings stay), blank and quoted (blanks or quotes for strings)."""
+    every = lambda c: F.struct(_joined(c, None).alias("code"), _joined(c, " ").alias("blank"), _joined(c, '"').alias("quoted"))
+    return bound(F.regexp_extract_all(body, F.lit(CHUNK), F.lit(0)), every)
 
 
 def all_closed(body: Column) -> Column:

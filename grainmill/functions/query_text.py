@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
-from grainmill.functions.lexer import all_closed, bound, location, masked
+from grainmill.functions.lexer import all_closed, bound, location, masked, masks
 
 #: Longest query text; a fixed value.
 MAX_BODY = 100_000
@@ -43,9 +43,13 @@ _COMMAND = (
 _SENTENCE = "(?md)(?:^|[;\\n])\\s*(?:[A-Za-z][A-Za-z0-9_-]*\\s+[A-Za-z]|(?i:between(?![a-z0-9_])))[^|;=\\n]*[.!?]\\s*(?=$|[;\\n])"
 
 
+def _shaped(code: Column) -> Column:
+    return _has(strip(code), _SHAPE)
+
+
 def has_source_shape(value: Column) -> Column:
     """Whether a text begins as a query does, comments aside: a statement's word, a command, or a name that a pipe, dot or end follows."""
-    return bound(strip(masked(value, None)), lambda code: _has(code, _SHAPE))
+    return _shaped(masked(value, None))
 
 
 def looks_like_query(value: Column) -> Column:
@@ -97,24 +101,29 @@ def structural_problem(body: Column) -> Column:
     empty, too-long, code-fence, unbalanced-quote (strings and block comments), unbalanced-delimiter, empty-let, commented-wrapper,
     no-result, ends-with-declaration, leading-pipe, placeholder (the last statement is three dots).
     """
+    return bound(masks(body), lambda m: _problem(body, m))
+
+
+def _problem(body: Column, m: Column) -> Column:
     empty_let = f"(?i){_B}let\\s+{_NAME}\\s*=\\s*(?:;|\\z)"
-    # strings become quotes, so that a statement of one string is a statement
     of_walk = lambda w: (
-        F.when((w["open"] != "") | w["bad"], "unbalanced-delimiter").when(_has(masked(body, None), empty_let), "empty-let")
+        F.when((w["open"] != "") | w["bad"], "unbalanced-delimiter").when(_has(m["code"], empty_let), "empty-let")
         .when(_has(body, "(?mi)^\\s*//+\\s*let\\s+Function\\s*="), "commented-wrapper").when(w["last"] == "", "no-result")
         .when(_has(w["last"], f"(?i)^(?:alias|declare|let|pattern|restrict|set){_E}"), "ends-with-declaration")
         .when(w["last"].startswith("|"), "leading-pipe").when(w["last"] == "...", "placeholder")
     )
+    # strings are quotes in the walked mask, so that a statement of one string is a statement
     return (
         F.when(strip(body) == "", "empty").when(F.length(body) > MAX_BODY, "too-long").when(_has(body, "\\A```|```\\z"), "code-fence")
-        .when(~all_closed(body), "unbalanced-quote").otherwise(bound(_walked(masked(body, '"')), of_walk))
+        .when(~all_closed(body), "unbalanced-quote").otherwise(bound(_walked(m["quoted"]), of_walk))
     )
 
 
 def valid_query(value: Column) -> Column:
-    """The text in normal form if it is a query, else null."""
+    """The text in normal form if it is a query, else null. The masks are made once, and what most texts that are none fail at is asked first."""
     control = "[\\x00\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
-    fine = lambda n: structural_problem(n).isNull() & ~_has(n, control) & has_source_shape(n) & ~is_shell(n) & ~is_prose(n)
+    shaped = lambda n, m: _shaped(m["code"]) & ~_has(n, control) & ~_has(strip(m["code"]), _COMMAND) & ~_has(m["blank"], _SENTENCE)
+    fine = lambda n: (n != "") & (F.length(n) <= MAX_BODY) & bound(masks(n), lambda m: shaped(n, m) & _problem(n, m).isNull())
     return bound(t.normalize_body(value), lambda n: F.when(fine(n), n))
 
 

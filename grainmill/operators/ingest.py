@@ -110,6 +110,12 @@ def read_tree(spark, path: str) -> DataFrame:
     return files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("content"), F.col("length").alias("size"))
 
 
+def ordered_paths(files: DataFrame, collation: str = "en") -> DataFrame:
+    """Distinct paths of each repository (path, repository, place), in the order of a language, whatever the case first; ties by code point."""
+    by = Window.partitionBy("repository").orderBy(F.collate("path", collation), "path")
+    return files.select("repository", "path").distinct().withColumn("place", F.row_number().over(by))
+
+
 def skip_histogram(gated: DataFrame) -> DataFrame:
     return gated.groupBy(F.coalesce("skip_reason", F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.functions.lexer import bound
 from grainmill.functions.text import ACCENTS
 from grainmill.sources.scratch import new_folder, written
 
@@ -48,8 +49,16 @@ def _fields(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, field, term, tf)."""
-    return _fields(docs).select("doc_id", "field", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Rows (doc_id, field, term, tf). A document is one row, so its terms are counted there, as runs of the sorted tokens, and nothing is shuffled."""
+
+    def counted(tokens: Column) -> Column:
+        begins = lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1) != x), F.struct(x.alias("term"), i.alias("at")))
+        runs = F.array_compact(F.transform(tokens, begins))
+        n = F.size(tokens)
+        tf = lambda r: F.transform(r, lambda x, k: F.struct(x["term"].alias("term"), (F.coalesce(F.get(r, k + 1)["at"], n) - x["at"]).cast("long").alias("tf")))
+        return bound(runs, tf)
+
+    return _fields(docs).select("doc_id", "field", F.inline(bound(F.sort_array("tokens"), counted)))
 
 
 def build_index(docs: DataFrame) -> str:

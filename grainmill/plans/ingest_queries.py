@@ -101,3 +101,11 @@ def markdown_blocks(spark, sf_dir):
     (VALUES (0, 'Rule @', 'Finds things', 'SigninLogs' || chr(10) || '| where UserId == @'), (1, 'Second', '', 'Heartbeat | take 5')) t(block, title, description, body)""")
 def yaml_rules(spark, sf_dir):
     return parsing.yaml_blocks(_texts(spark, sf_dir, YAML, "yaml"), ["path"]).select("path", "block", "title", "description", "body")
+
+
+@query(f"""WITH {SQL}, p AS (SELECT DISTINCT repository, coalesce(w[1], '') || '/' || coalesce(w[2], '') || '_' || coalesce(w[3], '') || '.kql' AS path FROM (SELECT repository, regexp_extract_all(kql, '\\p{{L}}+') AS w FROM corpus))
+    SELECT repository, path, CAST(row_number() OVER (PARTITION BY repository ORDER BY path COLLATE en_us, path) AS INTEGER) AS place FROM p""")
+def processed_paths(spark, sf_dir):
+    word = lambda i: F.coalesce(F.get(F.regexp_extract_all("kql", F.lit("\\p{L}+"), F.lit(0)), F.lit(i)), F.lit(""))
+    path = F.concat(word(0), F.lit("/"), word(1), F.lit("_"), word(2), F.lit(".kql"))
+    return ingest.ordered_paths(corpus.documents(spark, sf_dir).select("repository", path.alias("path")))

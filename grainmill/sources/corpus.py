@@ -15,9 +15,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where a small table is fewer splits than there are cores; larger tables are left as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version columns from the documents alone; no join, so only the columns in use are read."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     first = F.substring_index("text", "\n", 1)
     low = F.lower("text")
     dialect = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in DIALECTS.items()))
