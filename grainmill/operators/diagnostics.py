@@ -46,7 +46,7 @@ def dialect_findings(rows: DataFrame, key: str, body: str, dialect: str) -> Data
     tokens = lexemes(some, key, body, names=True).where("kind <> 'comment'").withColumn("word", F.lower("token")).join(some.select(key, "_dialect"), key)
     by = Window.partitionBy(key).orderBy("start")
     at = lambda k, c="word": (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(by)
-    is_word = F.col("kind").isin("keyword", "operator", "function", "name", "constant", "type")
+    is_word = F.rlike("word", F.lit("^[a-z_]")) & (F.col("kind") != "string")
     first = F.coalesce(at(-1), F.lit(";")).isin(";", "(", "{", "=") & F.col("word").isin(LEADING)
     stage = F.when(is_word & ((at(-1) == "|") | first), F.col("word"))
     seen = tokens.withColumns({"_own": stage, "_before": at(-1), "_before2": at(-2), "_1": at(1), "_2": at(2), "_3": at(3)}).withColumns({"_stage": F.last("_own", True).over(by), "_4stop": at(4, "stop")})
