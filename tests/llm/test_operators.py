@@ -541,6 +541,39 @@ def test_warc_missing_segment(spark):
         warc.reassembled(rows.where("segment is null or segment <> 2")).collect()
 
 
+def test_warc_references_and_files(spark):
+    """References are ids of records; files end by bytes whatever the size of a page, and are read as streams."""
+    import glob
+    import gzip
+    import io
+
+    from grainmill.llm.common import shared_dir
+
+    big = "".join(chr(97 + i % 26) for i in range(1_000_000))
+    rows = [(i, "u", big + str(i // 2)) for i in range(40)] + [(100, "u", "s" * 200), (100, "u", "s" * 200), (101, "u", "s" * 200), (102, "u", "t" * 200), (102, "u", "v" * 200), (103, "u", "t" * 200)]
+    path = shared_dir(spark)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, file_bytes=4 << 20)
+    files = [gzip.open(f).read() for f in glob.glob(path.removeprefix("file:") + "/part-*")]
+    assert len(files) >= 5 and max(map(len, files)) <= 4 << 20
+    fields = [f for content in files for f, _ in warc.records(io.BytesIO(content))]
+    ids = [f["WARC-Record-ID"] for f in fields]
+    assert len(set(ids)) == len(ids)
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 20 + 1 + 1
+    for f in revisits:
+        refers = f.get("WARC-Refers-To")
+        assert (refers is None) == (f["Page-Refers-To"] == "100")  # rows 100 repeat: none of them is the one
+        assert refers is None or (refers in ids and refers.startswith(f"<urn:page:{f['Page-Refers-To']}:"))
+    got = warc.reassembled(warc.read_records(spark, path)).collect()
+    assert collections.Counter((r["page_id"], r["payload_bytes"]) for r in got) == collections.Counter((i, len(h)) for i, _, h in rows)
+
+
+def test_warc_batches_are_bounded():
+    """A reader's rows and a writer's records go on by bytes: 200 MB of records never lie in one batch."""
+    sizes = [sum(map(len, out)) for out in warc._bounded((b"x" * 32_768 for _ in range(6_400)), len, list)]
+    assert sum(sizes) == 6_400 * 32_768 and max(sizes) <= warc.BATCH_BYTES + 32_768
+
+
 def test_chunks():
     for n in (0, 1, 8192, 8193, 50_000):
         assert warc.unchunked(warc.chunked(b"q" * n)) == b"q" * n
