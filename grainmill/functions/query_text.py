@@ -263,3 +263,26 @@ def policy_failure(body: Column) -> Column:
     content = F.regexp_replace(body, "\\A(?:\\s++|//[^\\n]*+)*+", "")
     found = bound(F.struct(content.alias("content"), masked(body).alias("m")), of)
     return bound(found, lambda f: F.when(f.isNotNull(), F.struct(f["code"].alias("code"), f["start"].alias("start"), f["length"].alias("length"), location(body, f["start"])["line"].alias("line"), location(body, f["start"])["col"].alias("col"))))
+
+
+# ---- scope
+
+
+_SEARCHES = f"(?im)(?:^|[;|])\\s*(?:let\\s+{_NAME}\\s*=\\s*)?(?:search|find)\\b"
+_IN_LIST = f"\\s+(?:(?:kind|withsource)\\s*=\\s*{_NAME}\\s+)*in\\s*\\("
+_ALL_UNION = "(?im)\\bunion\\b(?:\\s+(?:kind|isfuzzy|withsource)\\s*=\\s*[^\\s,|]+)*\\s+\\*"
+_CHOSEN = f"(?im)\\btable\\s*\\(\\s*{_NAME}\\s*\\)"
+
+
+def scope_summary(body: Column, tables: Column, operators: Column) -> Column:
+    """What a query reads, in words: its tables, else whether it searches all, or picks a table when it runs, or none.
+
+    A search or find without a list of tables reads all; so does one that only ``operators``
+    tells of, unless some search in the text has a list. Comments and strings say nothing.
+    """
+
+    def said(code: Column) -> Column:
+        everywhere = _has(code, f"{_SEARCHES}(?!{_IN_LIST})") | (F.exists(operators, lambda x: F.lower(F.trim(x)).isin("find", "search")) & ~_has(code, f"(?im)\\b(?:search|find)\\b{_IN_LIST}"))
+        return F.when(everywhere | _has(code, _ALL_UNION), "All tables in the current scope").when(_has(code, _CHOSEN), "Table name selected at runtime").otherwise("No physical table referenced")
+
+    return F.when(F.size(tables) > 0, F.array_join(tables, ", ")).otherwise(bound(masked(F.coalesce(body, F.lit(""))), said))

@@ -35,6 +35,35 @@ def findings(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", F.explode(codes).alias("code"))
 
 
+def version_states(heads: DataFrame, versions: DataFrame) -> DataFrame:
+    """Heads that are not deleted with the fields of their current version and version_state: missing, dangling, foreign (another query's) or valid; only valid ones have fields."""
+    own = versions.withColumnsRenamed({"version_id": "current_version_id", "query_id": "_owner"}).withColumn("_there", F.lit(True))
+    rows = heads.where(~F.col("deleted")).select("query_id", "current_version_id").join(own, "current_version_id", "left")
+    state = (
+        F.when(F.coalesce("current_version_id", F.lit("")) == "", "missing").when(F.col("_there").isNull(), "dangling")
+        .when(~F.col("_owner").eqNullSafe(F.col("query_id")), "foreign").otherwise("valid")
+    )
+    fields = [c for c in versions.columns if c not in ("version_id", "query_id")]
+    rows = rows.withColumn("version_state", state)
+    return rows.select("query_id", "current_version_id", "version_state", *(F.when(F.col("version_state") == "valid", F.col(c)).alias(c) for c in fields))
+
+
+def audited(heads: DataFrame, versions: DataFrame, provenance: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Rows (query_id, code, detail) of a whole audit.
+
+    A head whose version is not its own has that one finding; others are checked by ``findings``,
+    and for titles that their source has already: these need a title, a source and a path.
+    detail is the version's state, or the first id of an equal title, else null.
+    """
+    rows = version_states(heads, versions)
+    broken = rows.where("version_state <> 'valid'").select("query_id", F.lit("current-version").alias("code"), F.col("version_state").alias("detail"))
+    fine = rows.where("version_state = 'valid'").withColumn("version_known", F.lit(True))
+    told = findings(fine).withColumn("detail", F.lit(None).cast("string"))
+    came = provenance.where("source_path <> ''").select("query_id", "source_repository_id").distinct().join(repositories.select("source_repository_id", "repository"), "source_repository_id")
+    again = duplicate_titles(fine.select("query_id", "title").join(came, "query_id")).select("query_id", F.lit("duplicate-source-title").alias("code"), F.col("first_id").alias("detail"))
+    return broken.unionByName(told).unionByName(again)
+
+
 def duplicate_titles(rows: DataFrame) -> DataFrame:
     """All but the first row, by id, of a source's equal titles; with the first one's id. The first ids are combined before the shuffle, and joined back."""
     named = rows.where((F.trim("title") != "") & F.col("repository").isNotNull()).withColumns({"_source": F.lower("repository"), "_title": F.lower(F.trim("title"))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainmill.plans import corpus_queries, enrichment_queries, guard_queries, ingest_queries, lexer_queries, lifecycle_queries, parsing_queries, record_queries, search_queries, service_queries, state_queries, text_queries  # noqa: F401
+from grainmill.plans import corpus_queries, enrichment_queries, guard_queries, ingest_queries, lexer_queries, lifecycle_queries, parsing_queries, record_queries, review_queries, search_queries, service_queries, state_queries, text_queries  # noqa: F401
 from grainmill.plans.catalogue import QUERIES, SQL
 
 
