@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as t
-from grainmill.functions.query_text import structural_problem
+from grainmill.functions.query_text import strip, structural_problem
 from grainmill.operators.visibility import public
 
-#: Fields of the content hash in their fixed order.
+#: Fields that every version has.
 CONTENT = ["title", "kql", "description", "dialect", "tables", "operators", "tags"]
+#: Fields that a version may lack: a text, and lists.
+MORE = ["explanation", "assumptions", "validation_warnings"]
 
 
-def content_hash() -> Column:
-    return t.content_hash(**{c: F.col(c) for c in CONTENT})
+def content_hash(rows: DataFrame | None = None) -> Column:
+    """SHA-256 of a version's content, ten keys in a fixed order: white space around texts and the kind of line breaks do not matter; fields that ``rows`` lacks (without it, those of MORE) are empty."""
+    more = [c for c in MORE if rows is not None and c in rows.columns]
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in more else F.array().cast("array<string>")
+    return t.content_hash(
+        title=text(F.col("title")), kql=F.regexp_replace(text(F.col("kql")), "\\r\\n?", "\n"), description=text(F.col("description")), explanation=text(F.col("explanation")) if "explanation" in more else F.lit(""),
+        dialect=F.col("dialect"), tables=F.col("tables"), operators=F.col("operators"), tags=F.col("tags"), assumptions=listed("assumptions"), validationWarnings=listed("validation_warnings"),
+    )
 
 
 def problems() -> Column:
@@ -27,7 +36,7 @@ def problems() -> Column:
 
 def created(requests: DataFrame, now: Column) -> DataFrame:
     """First versions of new queries; requests with problems are left out."""
-    return requests.where(F.size(problems()) == 0).withColumns({"version_number": F.lit(1).cast("long"), "content_hash": content_hash(), "created_at": now})
+    return requests.where(F.size(problems()) == 0).withColumns({"version_number": F.lit(1).cast("long"), "content_hash": content_hash(requests), "created_at": now})
 
 
 def updated(current: DataFrame, edits: DataFrame, at: str | None = None) -> DataFrame:
@@ -37,11 +46,12 @@ def updated(current: DataFrame, edits: DataFrame, at: str | None = None) -> Data
     are taken in the order of ``at`` (without it, and among equal times, in the order of their content hashes) and numbered one after the other.
     """
     known = current.select("query_id", "owner_id", "version_number", F.col("content_hash").alias("old_hash"))
-    made = edits.select("query_id", "editor", *CONTENT, (F.col(at) if at else F.lit(None)).alias("_at")).withColumn("content_hash", content_hash()).join(known, "query_id")
+    fields = CONTENT + [c for c in MORE if c in edits.columns]
+    made = edits.select("query_id", "editor", *fields, (F.col(at) if at else F.lit(None)).alias("_at"), content_hash(edits).alias("content_hash")).join(known, "query_id")
     by = Window.partitionBy("query_id").orderBy("_at", "content_hash")
     own = made.where(F.col("editor") == F.col("owner_id")).withColumn("_before", F.coalesce(F.lag("content_hash").over(by), "old_hash"))
     rows = own.where(~F.col("content_hash").eqNullSafe(F.col("_before"))).withColumn("_nth", F.row_number().over(by))
-    return rows.select("query_id", (F.col("version_number") + F.col("_nth")).alias("version_number"), "content_hash", *CONTENT)
+    return rows.select("query_id", (F.col("version_number") + F.col("_nth")).alias("version_number"), "content_hash", *fields)
 
 
 def with_visibility(heads: DataFrame, wishes: DataFrame, now: Column) -> DataFrame:

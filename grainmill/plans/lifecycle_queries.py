@@ -23,20 +23,31 @@ def _heads(spark, sf_dir):
     return corpus.labelled(corpus.documents(spark, sf_dir), spark, sf_dir).withColumn("published_at", published).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
 
 
-CONTENT_SQL = "sha256(CAST(to_json({{'title': {title}, 'kql': kql, 'description': description, 'dialect': dialect, 'tables': tables, 'operators': operators, 'tags': tags}}) AS VARCHAR))"
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
+CONTENT_SQL = (
+    "sha256(CAST(to_json({{'title': " + _STRIP.format("{title}") + ", 'kql': replace(replace(" + _STRIP.format("{body}") + ", chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'description': " + _STRIP.format("description")
+    + ", 'explanation': " + _STRIP.format("string_split(kql, chr(10))[-1]") + ", 'dialect': dialect, 'tables': tables, 'operators': operators, 'tags': tags, 'assumptions': [repository], 'validationWarnings': CAST([] AS VARCHAR[])}}) AS VARCHAR))"
+)
 
 
-@query(f"WITH {SQL} SELECT query_id, 1 AS version_number, {CONTENT_SQL.format(title='title')} AS content_hash FROM corpus WHERE length(trim(title)) BETWEEN 1 AND 180 AND length(trim(kql)) BETWEEN 1 AND 100000")
+def _versioned(spark, sf_dir):
+    """Documents with what else a version says; their line breaks are those of another system."""
+    d = corpus.documents(spark, sf_dir)
+    return d.withColumns({"explanation": F.substring_index("kql", "\n", -1), "assumptions": F.array("repository"), "kql": F.replace("kql", F.lit("\n"), F.lit("\r\n"))})
+
+
+@query(f"WITH {SQL} SELECT query_id, 1 AS version_number, {CONTENT_SQL.format(title='title', body='kql')} AS content_hash FROM corpus WHERE length(trim(title)) BETWEEN 1 AND 180 AND length(trim(replace(kql, chr(10), chr(13) || chr(10)))) BETWEEN 1 AND 100000")
 def create_versions(spark, sf_dir):
-    return lifecycle.created(corpus.documents(spark, sf_dir), _now()).select("query_id", "version_number", "content_hash")
+    return lifecycle.created(_versioned(spark, sf_dir), _now()).select("query_id", "version_number", "content_hash")
 
 
-@query(f"WITH {SQL} SELECT query_id, 2 AS version_number, {CONTENT_SQL.format(title="title || '!'")} AS content_hash FROM corpus WHERE doc_id % 5 = 0 AND doc_id % 2 = 0")
+@query(f"WITH {SQL} SELECT query_id, 2 AS version_number, {CONTENT_SQL.format(title="title || '!'", body='kql')} AS content_hash FROM corpus WHERE doc_id % 5 = 0 AND doc_id % 2 = 0")
 def update_versions(spark, sf_dir):
-    d = corpus.documents(spark, sf_dir)
-    current = d.select("query_id", "owner_id", F.lit(1).cast("long").alias("version_number"), lifecycle.content_hash().alias("content_hash"))
+    d = _versioned(spark, sf_dir)
+    current = d.select("query_id", "owner_id", F.lit(1).cast("long").alias("version_number"), lifecycle.content_hash(d).alias("content_hash"))
     edits = d.where("doc_id % 5 = 0").withColumn("editor", F.when(F.col("doc_id") % 2 == 0, F.col("owner_id")).otherwise(-1))
-    edits = edits.unionByName(d.where("doc_id % 5 = 1").withColumn("editor", F.col("owner_id")))  # equal content: no version
+    same = d.where("doc_id % 5 = 1").withColumns({"editor": F.col("owner_id"), "kql": F.concat(F.lit(" "), F.replace("kql", F.lit("\r\n"), F.lit("\n")))})
+    edits = edits.unionByName(same)  # equal content: no version
     edits = edits.withColumn("title", F.when(F.col("doc_id") % 5 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
     return lifecycle.updated(current, edits).select("query_id", "version_number", "content_hash")
 

@@ -64,3 +64,26 @@ def test_scopes(spark):
     df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, body string, tables array<string>, operators array<string>")
     got = df.select("i", scope_summary(F.col("body"), F.col("tables"), F.col("operators")).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in got] == [c[3] for c in cases]
+
+
+def test_content_hash_has_ten_keys(spark):
+    import hashlib
+    import json
+
+    from grainmill.operators import lifecycle
+
+    row = (" Title ", "T\r\n| take 1\r\n", "d ", "\ne", "sentinel", ["T"], ["take"], [], ["it holds"], None)
+    names = "title string, kql string, description string, explanation string, dialect string, tables array<string>, operators array<string>, tags array<string>, assumptions array<string>, validation_warnings array<string>"
+    df = spark.createDataFrame([row], names)
+    want = {"title": "Title", "kql": "T\n| take 1", "description": "d", "explanation": "e", "dialect": "sentinel", "tables": ["T"], "operators": ["take"], "tags": [], "assumptions": ["it holds"], "validationWarnings": []}
+    digest = lambda x: hashlib.sha256(json.dumps(x, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert df.select(lifecycle.content_hash(df)).first()[0] == digest(want)
+    bare = df.drop("explanation", "assumptions", "validation_warnings")
+    assert bare.select(lifecycle.content_hash(bare)).first()[0] == bare.select(lifecycle.content_hash()).first()[0] == digest(want | {"explanation": "", "assumptions": []})
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    first = lifecycle.created(df.withColumn("query_id", F.lit("q")), now).first()
+    assert first["content_hash"] == digest(want) and first["version_number"] == 1
+    current = spark.createDataFrame([("q", 1, 1, digest(want))], "query_id string, owner_id long, version_number long, content_hash string")
+    edits = df.withColumns({"query_id": F.lit("q"), "editor": F.lit(1)})
+    assert lifecycle.updated(current, edits).count() == 0
+    assert lifecycle.updated(current, edits.withColumn("validation_warnings", F.array(F.lit("w")))).select("version_number").first()[0] == 2
