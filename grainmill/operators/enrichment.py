@@ -185,7 +185,15 @@ def improved_title(title: Column, path: Column, body: Column, dialect: Column, t
 
 
 def derived_tags(dialect: Column, title: Column, description: Column, path: Column, body: Column, tables: Column, operators: Column) -> Column:
-    """Dialect, four tables, topics, table families, event ids, techniques, then fillers while there are few; 12 at most."""
+    """Dialect, four tables, topics, table families, event ids, techniques, then fillers while there are few; 12 at most.
+
+    What is looked at many times is bound once: a caller may pass tables and operators as expressions over the text.
+    """
+    seen = F.struct(title.alias("title"), description.alias("description"), body.alias("body"), tables.alias("tables"), operators.alias("operators"))
+    return bound(seen, lambda s: _tags(dialect, s["title"], s["description"], path, s["body"], s["tables"], s["operators"]))
+
+
+def _tags(dialect: Column, title: Column, description: Column, path: Column, body: Column, tables: Column, operators: Column) -> Column:
     names = F.filter(F.transform(F.slice(tables, 1, 4), normalized_tag), lambda x: (x != "") & (x != "resources"))
     about = F.concat_ws(" ", title, description, humanized(path), F.array_join(F.transform(tables, humanized), " "))
     own = F.coalesce(*(F.when(dialect == d, F.lit(v)) for d, v in DIALECT_TAGS.items()))
