@@ -41,7 +41,8 @@ MOST_TITLE = 180
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 _SIDE_NOTE = "(?i)\\A(?:(?:{words})(?![A-Za-z0-9_])|(?:https?://|={{3,}}|-{{3,}})(?=[A-Za-z0-9_]))"
 _ORDINAL = "\\s*(?:#|[-:])?\\s*(\\d+)\\z"
-_COMMENT = "\\A\\s*//+\\s?(.*)\\z"
+#: Line separators other than LF and CR are part of a comment.
+_COMMENT = "(?s)\\A\\s*//+\\s?(.*)\\z"
 
 
 def _has(value: Column, pattern: str) -> Column:
@@ -81,8 +82,8 @@ def _lines(body: Column, most: int) -> Column:
     return F.slice(F.split(F.regexp_replace(body, "\\r\\n?", "\n"), "\n", -1), 1, most)
 
 
-def comment_title(body: Column) -> Column:
-    """The first of the leading comment lines that can be a title, or null."""
+def comment_title(body: Column, generic: bool = False) -> Column:
+    """The first of the leading comment lines that can be a title, or null; with ``generic``, names of products and filler words can be one too."""
     side = _SIDE_NOTE.format(words="author|copyright|data\\s+connector|source|spdx")
 
     def title(line: Column) -> Column:
@@ -92,7 +93,7 @@ def comment_title(body: Column) -> Column:
     def of(lines: Column) -> Column:
         code = F.array_position(F.transform(lines, lambda x: ~_has(x, _COMMENT)), True)
         titles = F.transform(F.when(code > 0, F.slice(lines, F.lit(1), (code - 1).cast("int"))).otherwise(lines), title)
-        fine = lambda x: F.length(x).between(5, 120) & ~_has(x, side) & ~_has(x, "(?i)\\Athis\\s+query(?![A-Za-z0-9_])") & ~is_generic(x)
+        fine = lambda x: F.length(x).between(5, 120) & ~_has(x, side) & ~_has(x, "(?i)\\Athis\\s+query(?![A-Za-z0-9_])") & (F.lit(generic) | ~is_generic(x))
         return F.get(F.filter(titles, fine), F.lit(0))
 
     return bound(F.filter(_lines(body, 30), lambda x: strip(x) != ""), of)
