@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ def match_terms(query: str) -> list[str]:
 
 
 def tokens(text: Column) -> Column:
-    """Index tokens: lower case, without accents, letters and digits of any script."""
-    return F.regexp_extract_all(F.translate(F.lower(text), *ACCENTS), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """Index tokens: lower case, without accents, letters and digits of any script. Plain ASCII needs neither accents nor scripts."""
+    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, found(F.lower(text), "\\p{Alnum}+")).otherwise(found(F.translate(F.lower(text), *ACCENTS), "[\\p{L}\\p{N}]+"))
 
 
 def index_documents(heads: DataFrame) -> DataFrame:
@@ -61,20 +66,44 @@ def postings(docs: DataFrame) -> DataFrame:
     return _fields(docs).select("doc_id", "field", F.inline(bound(F.sort_array("tokens"), counted)))
 
 
+def weighed_terms(docs: DataFrame) -> DataFrame:
+    """Rows (term, doc_id, weight, tf, len): a term's weights over the fields of a document. All of a document is in its row, so nothing is shuffled.
+
+    Spark makes the tokens; 1,000 documents at a time are grouped as Arrow columns.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    weights = list(WEIGHTS.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                rows = [np.repeat(np.arange(b.num_rows), pc.list_value_length(c).to_numpy(zero_copy_only=False)) for c in b.columns[1:]]
+                length = np.bincount(np.concatenate(rows), minlength=b.num_rows)
+                every = pa.table({
+                    "row": np.concatenate(rows), "term": pa.chunked_array([pc.list_flatten(c) for c in b.columns[1:]]), "w": np.repeat(weights, [len(r) for r in rows]),
+                })
+                got = every.group_by(["row", "term"]).aggregate([("w", "sum"), ("w", "count")]).combine_chunks()
+                row = got["row"].to_numpy()
+                cols = [got["term"], b.column(0).take(pa.array(row)), got["w_sum"], got["w_count"], pa.array(length[row])]
+                yield from pa.table(cols, names=["term", "doc_id", "weight", "tf", "len"]).to_batches()
+
+    toks = docs.select("doc_id", *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in WEIGHTS))
+    return toks.mapInArrow(run, f"term string, doc_id {kind}, weight double, tf long, len long")
+
+
 def build_index(docs: DataFrame) -> str:
     """Writes the inverted index of index documents to a new shared folder and returns its path.
 
-    ``postings`` has (term, doc_id, weight, len), in ranges of terms and sorted by term, so that Parquet's statistics
-    leave a search only the row groups of its prefixes; ``stats`` has one row (n, total), ``versions`` the (doc_id, version_id) that was indexed.
+    ``postings`` has (term, doc_id, weight, tf, len), each file sorted by term, so that Parquet's statistics
+    leave a search only the row groups and pages of its prefixes; ``stats`` has one row (n, total), ``versions`` the (doc_id, version_id) that was indexed.
     """
-    spark, path = docs.sparkSession, new_folder(docs.sparkSession)
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("field"))
-    toks = written(_fields(docs).select("doc_id", weight.alias("w"), "tokens"))
-    length = toks.groupBy("doc_id").agg(F.sum(F.size("tokens")).cast("long").alias("len"))
-    terms = toks.select("doc_id", "w", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
-    terms.join(length, "doc_id").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    path = new_folder(docs.sparkSession)
+    # dealt by hash, for ranges would be sampled, and that would tokenize every text a second time; each file is sorted
+    weighed_terms(docs).repartition("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
     docs.select("doc_id", "version_id").write.parquet(f"{path}/versions")
-    docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(length.agg(F.sum("len").alias("total"))).write.parquet(f"{path}/stats")
+    total = docs.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(total).write.parquet(f"{path}/stats")
     return path
 
 
@@ -101,15 +130,16 @@ def current_hits(hits: DataFrame, heads: DataFrame) -> DataFrame:
     return hits.join(heads, ["query_id", "version_id"])
 
 
-def lexical_score(query: str, now: Column) -> Column:
-    """The rank, squeezed below 1, and bonuses for exact title and table, trust, stars and recency."""
+def lexical_score(query: str, now: Column, named: Column | None = None) -> Column:
+    """The rank, squeezed below 1, and bonuses for exact title and table, trust, stars and recency. ``named``: whether a table is the query; else ``tables`` tells."""
+    named = F.exists("tables", lambda x: F.lower(x) == query.lower()) if named is None else named
     r = F.abs("rank")
     stars = F.when(F.col("star_count") >= 100, 0.05).when(F.col("star_count") >= 20, 0.035).when(F.col("star_count") >= 5, 0.02).otherwise(0.0)
     recent = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 86_400_000_000 <= 30
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
     return F.least(
         F.lit(1.0),
-        r / (1 + r) + flag(F.lower("title") == query.lower(), 0.22) + flag(F.exists("tables", lambda x: F.lower(x) == query.lower()), 0.12) + flag(F.col("trusted"), 0.03) + stars + flag(recent, 0.015),
+        r / (1 + r) + flag(F.lower("title") == query.lower(), 0.22) + flag(named, 0.12) + flag(F.col("trusted"), 0.03) + stars + flag(recent, 0.015),
     )
 
 
@@ -123,13 +153,21 @@ def lexical(heads: DataFrame, docs: DataFrame, index: str, query: str, readable:
     if not terms:
         return heads.limit(0).withColumn("score", F.lit(0.0))
     ranks = bm25(heads.sparkSession, index, terms)
-    narrow = heads.where(readable if filters is None else readable & filters).drop("kql", "description")
+    kept = ["doc_id", "query_id", "version_id", "title", "star_count", "trusted", "updated_at"]
+    later = [c for c in docs.columns if c not in kept]  # texts and lists of words: only hits get them
+    allowed = heads.where(readable if filters is None else readable & filters)
+    is_table = F.exists("tables", lambda x: F.lower(x) == query.lower())
+    if "tables" in later:
+        named = docs.where(is_table).select("doc_id").distinct().withColumn("_named", F.lit(True))
+        narrow = allowed.drop(*later).join(named, "doc_id", "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+    else:
+        narrow = allowed.withColumn("_named", F.coalesce(is_table, F.lit(False))).drop(*later)
     indexed = heads.sparkSession.read.parquet(f"{index}/versions").withColumnRenamed("version_id", "_indexed")
     current = narrow.join(ranks.join(indexed, "doc_id"), "doc_id").where(F.col("_indexed") == F.col("version_id")).drop("_indexed")
-    rows = current.withColumn("score", lexical_score(query, now))
+    rows = current.withColumn("score", lexical_score(query, now, F.col("_named"))).drop("_named")
     order = [F.desc(F.round("score", 9)), F.desc("star_count"), F.desc("updated_at"), F.col("query_id")]
     hits = rows.orderBy(*order).limit(limit)
-    return docs.select("doc_id", "kql", "description").join(F.broadcast(hits), "doc_id").orderBy(*order)
+    return docs.select("doc_id", *later).join(F.broadcast(hits), "doc_id").orderBy(*order)
 
 
 def cosine(left: Column, right: Column) -> Column:
