@@ -5,6 +5,8 @@ Only texts of restricted dialects are cut into tokens; windows over a text's tok
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,10 @@ def dialect_problems(dialect: Column, operators: Column) -> Column:
     return out
 
 
-def dialect_findings(rows: DataFrame, key: str, body: str, dialect: str) -> DataFrame:
-    """(key, code, message, start, length, line, col) for each place that a restricted dialect does not allow. ``key`` tells the texts apart."""
-    some = rows.where(F.col(dialect).isin(list(DIALECT_OPERATORS))).select(F.col(key), F.col(body), F.col(dialect).alias("_dialect"))
-    tokens = lexemes(some, key, body, names=True).where("kind <> 'comment'").withColumn("word", F.lower("token")).join(some.select(key, "_dialect"), key)
+def dialect_findings(rows: DataFrame, key: str, body: str, dialect: str, also: Sequence[str] = ()) -> DataFrame:
+    """(key, code, message, start, length, line, col) for each place that a restricted dialect does not allow, and the columns ``also`` of its text. ``key`` tells the texts apart."""
+    some = rows.where(F.col(dialect).isin(list(DIALECT_OPERATORS))).select(F.col(key), F.col(body), F.col(dialect).alias("_dialect"), *also)
+    tokens = lexemes(some, key, body, names=True, also=["_dialect", *also]).where("kind <> 'comment'").withColumn("word", F.lower("token")).drop("token")
     by = Window.partitionBy(key).orderBy("start")
     at = lambda k, c="word": (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(by)
     is_word = F.rlike("word", F.lit("^[a-z_]")) & (F.col("kind") != "string")
@@ -66,23 +68,27 @@ def dialect_findings(rows: DataFrame, key: str, body: str, dialect: str) -> Data
         hit(strategy, "KQL_ARG_JOIN_STRATEGY_NOT_SUPPORTED", F.lit("Azure Resource Graph does not support custom join strategies."), stop=F.coalesce("_4stop", "stop")),
         hit(wide, "KQL_ARG_MV_EXPAND_LIMIT", F.lit("Azure Resource Graph limits mv-expand to 2,000 rows.")),
     ))
-    return seen.select(key, "line", "col", F.explode(found).alias("d")).select(key, "d.code", "d.message", "d.start", "d.length", "line", "col")
+    return seen.select(key, "line", "col", *also, F.explode(found).alias("d")).select(key, "d.code", "d.message", "d.start", "d.length", "line", "col", *also)
 
 
 def diagnostics(rows: DataFrame, key: str, body: str, dialect: str) -> DataFrame:
     """(key, place, code, message, start, length, line, col), in order; beyond 20 of a text, 19 and one at its end that says so."""
-    broken = rows.withColumn("_p", q.policy_failure(F.col(body)))
+    # text and policy are made once, by a generator: as plain columns they would be made again for every condition that is pushed down to the text
+    some = rows.select(key, F.col(dialect).alias("_of"), F.explode(F.array(F.col(body))).alias("_text")).where("_text is not null")
+    broken = some.select("*", F.explode(F.array(q.policy_failure(F.col("_text")))).alias("_p"))
     message = F.coalesce(*(F.when(F.col("_p.code") == c, F.lit(m)) for c, m in POLICY_MESSAGES.items()))
     early = broken.where("_p is not null").select(key, "_p.code", message.alias("message"), "_p.start", "_p.length", "_p.line", "_p.col").withColumn("n", F.lit(1).cast("long"))
-    ranked = dialect_findings(broken.where("_p is null"), key, body, dialect)
+    last = location(F.col("_text"), F.length("_text"))
+    whole = broken.where("_p is null").where(F.col("_of").isin(list(DIALECT_OPERATORS))).select(key, "_of", "_text", F.length("_text").alias("_end"), last["line"].alias("_line"), last["col"].alias("_col"))
+    ends = ["_end", "_line", "_col"]
+    ranked = dialect_findings(whole, key, "_text", "_of", ends)
     by = Window.partitionBy(key)
     ranked = ranked.withColumn("place", F.row_number().over(by.orderBy("start", "length", "code", "message"))).withColumn("n", F.count(F.lit(1)).over(by))
-    shown = ranked.where((F.col("n") <= MOST) | (F.col("place") < MOST))
-    many = ranked.where((F.col("n") > MOST) & (F.col("place") == MOST)).select(key).join(rows.select(key, body), key)
-    end = F.length(body)
-    cut = many.select(
-        key, F.lit("KQL_DIAGNOSTICS_TRUNCATED").alias("code"), F.lit(f"Only the first {MOST - 1} syntax errors are shown.").alias("message"), end.alias("start"), F.lit(0).alias("length"),
-        location(F.col(body), end)["line"].alias("line"), location(F.col(body), end)["col"].alias("col"), F.lit(MOST).alias("place"),
-    )
+    # beyond 20, the twentieth says at the text's end that there are more
+    over = (F.col("n") > MOST) & (F.col("place") == MOST)
+    instead = {
+        "code": F.lit("KQL_DIAGNOSTICS_TRUNCATED"), "message": F.lit(f"Only the first {MOST - 1} syntax errors are shown."), "start": F.col("_end"), "length": F.lit(0), "line": F.col("_line"), "col": F.col("_col"),
+    }
+    shown = ranked.where(F.col("place") <= MOST).select(key, "place", *(F.when(over, v).otherwise(F.col(k)).alias(k) for k, v in instead.items()))
     cols = [key, "place", "code", "message", "start", "length", "line", "col"]
-    return early.withColumn("place", F.lit(1)).select(*cols).unionByName(shown.select(*cols)).unionByName(cut.select(*cols))
+    return early.withColumn("place", F.lit(1)).select(*cols).unionByName(shown.select(*cols))
