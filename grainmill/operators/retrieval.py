@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.lexer import bound
 from grainmill.functions.text import ACCENTS
 from grainmill.sources.scratch import new_folder, written
 
@@ -49,21 +48,33 @@ def index_documents(heads: DataFrame) -> DataFrame:
 
 
 def _fields(docs: DataFrame) -> DataFrame:
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("tokens")) for f in WEIGHTS))
+    """Rows (doc_id, the number of a field, its tokens)."""
+    parts = F.array(*(F.struct(F.lit(i).alias("field"), tokens(F.coalesce(f, F.lit(""))).alias("tokens")) for i, f in enumerate(WEIGHTS)))
     return docs.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.field", "p.tokens")
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, field, term, tf). A document is one row, so its terms are counted there, as runs of the sorted tokens, and nothing is shuffled."""
+    """Rows (doc_id, field, term, tf). A document's field is one row, so its terms are counted there and nothing is shuffled.
 
-    def counted(tokens: Column) -> Column:
-        begins = lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1) != x), F.struct(x.alias("term"), i.alias("at")))
-        runs = F.array_compact(F.transform(tokens, begins))
-        n = F.size(tokens)
-        tf = lambda r: F.transform(r, lambda x, k: F.struct(x["term"].alias("term"), (F.coalesce(F.get(r, k + 1)["at"], n) - x["at"]).cast("long").alias("tf")))
-        return bound(runs, tf)
+    Spark makes the tokens; 2,000 fields at a time are grouped as Arrow columns. A row for each field keeps the batches
+    that Spark hands over small, and a field travels as its number.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return _fields(docs).select("doc_id", "field", F.inline(bound(F.sort_array("tokens"), counted)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                ids, field, tokens = batch.slice(at, 2000).columns
+                row = np.repeat(np.arange(len(ids), dtype="int32"), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                every = pa.table({"row": row, "term": pc.list_flatten(tokens)})
+                got = every.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                cols = [ids.take(r := got["row"]), field.take(r), got["term"], got["count_all"]]
+                yield from pa.table(cols, names=["doc_id", "field", "term", "tf"]).to_batches(50_000)
+                del row, every, got, cols, r
+            pa.default_memory_pool().release_unused()
+
+    counted = _fields(docs).mapInArrow(run, f"doc_id {kind}, field int, term string, tf long")
+    return counted.withColumn("field", F.get(F.array(*(F.lit(f) for f in WEIGHTS)), "field"))
 
 
 def weighed_terms(docs: DataFrame) -> DataFrame:
